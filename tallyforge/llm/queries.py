@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, sharding, simhash
 
 QUERIES = {
     "op2_sharding": sharding.op2,
+    "op3_simhash": simhash.op3,
     "op9_mixing": mixing.op9,
 }
 
