@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, simhash
+from . import mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op2_sharding": sharding.op2,
     "op3_simhash": simhash.op3,
     "op9_mixing": mixing.op9,
+    "op10_toxicity": toxicity.op10,
 }
 
 ORACLES: dict[str, str] = {}
