@@ -177,13 +177,13 @@ def forest(n: int, found) -> np.ndarray:
     return low
 
 
-def trie_join(fps: DataFrame, max_bits: int = MAX_BITS, leaf: int = 4096) -> DataFrame:
+def trie_join(fps: DataFrame, max_bits: int = MAX_BITS, leaf: int = 16_384) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints of fps (column fp) within max_bits, without every link.
 
     The bits are put in an order of balance first, which no distance depends on. Counts of the upper TOP bits (at most
     2 ** 16) give the upper trie; its leaves hold `leaf` fingerprints, or one in 2,048 of all where that is more, and a
-    leaf at the lowest depth that is larger is cut into chunks that all meet. Leaf pairs that the traversal keeps are
-    solved in a task each, which goes on down the two tries. A task returns a spanning forest: at most one edge for
+    leaf at the lowest depth that is larger is cut into chunks that all meet. Leaves travel packed, one row each; the
+    pairs that the traversal keeps are solved in a task each, which goes on down the two tries. A task returns a spanning forest: at most one edge for
     each fingerprint it got, however many links there are in a group of copies.
     """
     spark = fps.sparkSession
@@ -210,22 +210,23 @@ def trie_join(fps: DataFrame, max_bits: int = MAX_BITS, leaf: int = 4096) -> Dat
     of = spark.createDataFrame(of, "top int, first int, chunks int")
     sides = spark.createDataFrame(sorted(meets.items()), "unit int, sides array<struct<pair:int,right:boolean>>")
     units = keyed.join(F.broadcast(of), "top").withColumn("unit", (F.col("first") + F.pmod(F.xxhash64("fp"), F.col("chunks"))).cast("int"))
-    dealt = units.join(F.broadcast(sides), "unit").select("fp", F.inline("sides"))
+    packed = units.groupBy("unit").agg(F.collect_list("fp").alias("fps"))  # a unit is bounded by the cap
+    dealt = packed.join(F.broadcast(sides), "unit").select("fps", F.inline("sides"))
 
     def solve(pdf):
         import pandas as pd
 
         def ready(part):
-            fp = np.ascontiguousarray(part.to_numpy(dtype=np.int64)).view(np.uint64)
+            fp = np.concatenate([np.asarray(x, dtype=np.int64) for x in part]).view(np.uint64)
             bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             put = np.ascontiguousarray(np.packbits(bits[:, order], axis=1, bitorder="big")).view(">u8").ravel().astype(np.uint64)
             at = np.argsort(put, kind="stable")
             return put[at], fp[at]
 
         right = pdf["right"].to_numpy(dtype=bool)
-        a, fa = ready(pdf["fp"][~right])
+        a, fa = ready(pdf["fps"][~right])
         if right.any():
-            b, fb = ready(pdf["fp"][right])
+            b, fb = ready(pdf["fps"][right])
             found = ((i, j + len(a)) for i, j in links(a, b, max_bits))
             fa = np.concatenate((fa, fb))
         else:
