@@ -42,6 +42,15 @@ class Vocabulary:
         if any(" " in p.lstrip(" ") or "\n" in p for p in self.id):
             raise ValueError("pieces reach over spaces or lines")
         self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        self.chars = np.full(0x110000, -1, dtype=np.int32)
+        for text, i in self.id.items():
+            if len(text) == 1:
+                self.chars[ord(text)] = i
+        # all (left, right) whose text together is a piece, as left * n + right, with the piece and its place by rank
+        ranks = {r: k for k, r in enumerate(sorted(set(self.rank.values())))}
+        place = {text: ranks[r] for text, r in self.rank.items()}
+        pairs = sorted((self.id[text[:k]] * n + self.id[text[k:]], i, place[text]) for text, i in self.id.items() for k in range(1, len(text)) if text[:k] in self.id and text[k:] in self.id)
+        self.pairs, self.pair_id, self.pair_rank = (np.array(x, dtype=np.int64) for x in zip(*pairs))
 
     def segment(self, chunk: str, key: int, dropout: int) -> list[int]:
         """Ids of one chunk. Candidates come off an agenda by rank, then place; one is skipped where its hash is below dropout.
@@ -90,6 +99,90 @@ class Vocabulary:
         return out
 
 
+    def segment_all(self, chunks: list[str], keys: list[int], dropout: int, most: int = 40, block: int = 1 << 15) -> list[bytes]:
+        """segment() of many chunks, as bytes of ids: the agendas of a block of chunks are worked off side by side.
+
+        In each round every chunk takes the first candidate of its agenda. Chunks over `most` characters, or with a
+        character that the vocabulary lacks, go through segment().
+        """
+        out: list[bytes | None] = [None] * len(chunks)
+        sizes = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        ids = self.chars[codes]
+        ends = np.cumsum(sizes)
+        odd = np.logical_or.reduceat(ids < 0, ends - sizes) | (sizes > most) if len(chunks) else np.empty(0, bool)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.array(self.segment(chunks[i], keys[i], dropout), dtype=self.kind).tobytes()
+        rest = np.flatnonzero(~odd)
+        rest = rest[np.argsort(sizes[rest], kind="stable")]
+        keys = np.array(keys, dtype=np.uint64)
+        for i in range(0, len(rest), block):
+            own = rest[i : i + block]
+            flat, counts = self._side_by_side(ids, ends[own] - sizes[own], sizes[own], keys[own], dropout)
+            data, at = flat.astype(self.kind).tobytes(), (np.concatenate(([0], np.cumsum(counts))) * self.kind.itemsize).tolist()
+            for j, a, b in zip(own.tolist(), at, at[1:]):
+                out[j] = data[a:b]
+        return out
+
+    def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Numbers of the pairs in self.pairs, -1 where the two don't merge."""
+        want = left.astype(np.int64) * len(self.data) + right
+        at = np.minimum(np.searchsorted(self.pairs, want), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == want, at, -1)
+
+    def _side_by_side(self, ids, starts, sizes, keys, dropout):
+        w, width, never = len(sizes), int(sizes.max()), np.iinfo(np.int64).max
+        place = np.arange(width)
+        inside = place < sizes[:, None]
+        sym = np.where(inside, ids[np.minimum(starts[:, None] + place, len(ids) - 1)], 0).astype(np.int64).ravel()
+        ends = np.tile(place + 1, w)  # of the symbol that begins here
+        before = np.tile(place - 1, w)
+        alive = inside.ravel().copy()
+        # a candidate's place on the agenda: rank, then position; `never` where there is none
+        agenda = np.full((w, width), never, dtype=np.int64)
+        result = np.zeros(w * width, dtype=np.int64)
+        flat = agenda.ravel()
+
+        def offer(rows, left, right_end, pair):
+            """Puts the merges that begin at `left` and end at right_end on the agenda, but for those that are skipped."""
+            good = pair >= 0
+            if dropout:
+                i, j = left.astype(np.uint64), right_end.astype(np.uint64)
+                h = (keys[rows] ^ (i * np.uint64(_M1)) ^ (j * np.uint64(_M2))) * np.uint64(_M3)
+                h ^= h >> np.uint64(33)
+                good &= (h * np.uint64(_M1)) >> np.uint64(32) >= dropout
+            at = rows * width + left
+            flat[at] = np.where(good, self.pair_rank[pair] * width + left, never)
+            result[at] = self.pair_id[pair]
+
+        rows, left = np.nonzero(inside[:, 1:])
+        at = rows * width + left
+        offer(rows, left, left + 2, self._merged(sym[at], sym[at + 1]))
+        rows = np.arange(w)
+        while len(rows):
+            left = agenda[rows].argmin(axis=1)
+            go = flat[rows * width + left] < never
+            rows, left = rows[go], left[go]
+            if not len(rows):
+                break
+            at = rows * width + left
+            middle = ends[at]
+            gone = rows * width + middle
+            sym[at], ends[at] = result[at], ends[gone]
+            alive[gone], flat[gone] = False, never
+            right = ends[at]
+            more = right < sizes[rows]
+            flat[at] = never
+            r, a, e = rows[more], left[more], right[more]
+            before[r * width + e] = a
+            offer(r, a, ends[r * width + e], self._merged(sym[r * width + a], sym[r * width + e]))
+            prior = before[at]
+            more = prior >= 0
+            r, a, e = rows[more], prior[more], right[more]
+            offer(r, a, e, self._merged(sym[r * width + a], sym[at[more]]))
+        return sym[alive], alive.reshape(w, width).sum(axis=1)
+
+
 class Segmenter:
     """Encodes texts. Each place of a text has one of `variants` keys, so that a word is cut in as many ways at most.
 
@@ -98,26 +191,29 @@ class Segmenter:
     next place with the same chunk and key. What is kept is bounded, which doesn't change results.
     """
 
-    def __init__(self, path: str, seed: int, dropout: float, variants: int, most: int = 300_000):
+    def __init__(self, path: str, seed: int, dropout: float, variants: int, most: int = 500_000):
         self.vocabulary = Vocabulary(path)
         self.seed, self.dropout, self.variants, self.most = seed, int(dropout * (1 << 32)), variants if dropout else 1, most
-        self.tables = [_Kept(self, v) for v in range(self.variants)]
+        self.tables = [_Kept() for _ in range(self.variants)]
 
-    def encode(self, text: str | None, key: str) -> bytes:
-        if not text:
-            return b""
-        chunks = _CHUNK.findall(" " + text)
+    def encode(self, texts: list[str | None], keys: list[str]) -> list[bytes]:
         if sum(map(len, self.tables)) > self.most:
             for t in self.tables:
                 t.clear()
-        if self.variants == 1:
-            return b"".join(map(self.tables[0].__getitem__, chunks))
-        base = np.uint64(xxhash.xxh64_intdigest(key.encode(), seed=self.seed))
-        h = (np.arange(len(chunks), dtype=np.uint64) * np.uint64(_M1)) ^ base
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(_M3)
-        which = ((h >> np.uint64(40)) % np.uint64(self.variants)).tolist()
-        tables = self.tables
-        return b"".join([tables[v][c] for v, c in zip(which, chunks)])
+        tables, found = self.tables, []
+        for text, key in zip(texts, keys):
+            chunks = _CHUNK.findall(" " + text) if text else []
+            base = np.uint64(xxhash.xxh64_intdigest(key.encode(), seed=self.seed))
+            h = (np.arange(len(chunks), dtype=np.uint64) * np.uint64(_M1)) ^ base
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(_M3)
+            which = ((h >> np.uint64(40)) % np.uint64(self.variants)).tolist()
+            found.append((chunks, which, [tables[v][c] for v, c in zip(which, chunks)]))
+        for v, table in enumerate(tables):
+            if new := list(dict.fromkeys(table.asked)):
+                table.asked = []
+                seed = (self.seed * 1_000_003 + v) & _MASK
+                table.update(zip(new, self.vocabulary.segment_all(new, [xxhash.xxh64_intdigest(c.encode(), seed=seed) for c in new], self.dropout)))
+        return [b"".join([x or tables[v][c] for x, v, c in zip(got, which, chunks)] if b"" in got else got) for chunks, which, got in found]
 
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 bytes of the text: the pieces' bytes, without the space put before it."""
@@ -126,17 +222,15 @@ class Segmenter:
 
 
 class _Kept(dict):
-    def __init__(self, of: Segmenter, variant: int):
+    """Ids of chunks; notes the chunks that it was asked for and lacks."""
+
+    def __init__(self):
         super().__init__()
-        self.of, self.variant = of, variant
+        self.asked: list[str] = []
 
     def __missing__(self, chunk: str) -> bytes:
-        of = self.of
-        key = xxhash.xxh64_intdigest(chunk.encode(), seed=(of.seed * 1_000_003 + self.variant) & _MASK)
-        ids = np.array(of.vocabulary.segment(chunk, key, of.dropout), dtype=of.vocabulary.kind).tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+        self.asked.append(chunk)
+        return b""
 
 
 _SEGMENTERS: dict[tuple, Segmenter] = {}
@@ -163,8 +257,8 @@ def encode(docs: DataFrame, model: str, seed: int = 42, dropout: float = 0.1, va
         for batch in batches:
             for part in pieces(batch):
                 out = {"ids": [], "n_tokens": [], "ids_crc32": [], "text_bytes": [], "text_crc32": [], "lossless": []}
-                for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found = run.encode(text, str(name))
+                texts = part.column(1).to_pylist()
+                for text, found in zip(texts, run.encode(texts, list(map(str, part.column(0).to_pylist())))):
                     ids = np.frombuffer(found, dtype=run.vocabulary.kind)
                     back = run.decode(found)
                     if keep:
