@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sentencepiece_dropout, sharding, simhash, token_output, toxicity
+from . import line_dedup, mixing, sentencepiece_dropout, sharding, simhash, token_output, toxicity, vectors
 
 QUERIES = {
+    "op1_cover_tree": vectors.op1,
     "op2_sharding": sharding.op2,
     "op3_simhash": simhash.op3,
     "op4_line_dedup": line_dedup.op4,
+    "op5_top_k": vectors.op5,
     "op6_sentencepiece": sentencepiece_dropout.op6,
     "op8_token_output": token_output.op8,
     "op9_mixing": mixing.op9,
