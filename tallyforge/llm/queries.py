@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sentencepiece_dropout, sharding, simhash, token_output, toxicity, vectors
+from . import line_dedup, mixing, sentencepiece_dropout, sharding, simhash, suffix_dedup, token_output, toxicity, vectors
 
 QUERIES = {
     "op1_cover_tree": vectors.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4,
     "op5_top_k": vectors.op5,
     "op6_sentencepiece": sentencepiece_dropout.op6,
+    "op7_suffix_dedup": suffix_dedup.op7,
     "op8_token_output": token_output.op8,
     "op9_mixing": mixing.op9,
     "op10_toxicity": toxicity.op10,
