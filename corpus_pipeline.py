@@ -2,11 +2,71 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialize
+from tallyforge.llm import line_dedup, mixing, sentencepiece_dropout, simhash, toxicity
+from tallyforge.llm.common import WORD, materialize
 
-STAGES: list = []
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under 0.5; rows of equal ids go or stay by each one's own text."""
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep(docs, model).select(*COLUMNS)
+
+
+def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines they share with earlier ones; one of which nothing is left goes."""
+    found = line_dedup.dedup(docs)
+    left = found.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each SimHash group; texts without a word are one group.
+
+    Rows that repeat both id and text are one document. Rows without an id can't be named by a group: they stay.
+    """
+    first = simhash.near_dedup(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text"))
+    return named.dropDuplicates(["doc_id", "_text"]).select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a document once for each epoch that takes it whole, and once cut after the words that the last one takes.
+
+    Documents without a word have no weight in a mix: they stay once. Rows of equal id, source and size share what the
+    mix takes of them evenly.
+    """
+    taken = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("taken"))
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "taken")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("size"))
+    rows = docs.withColumn("_size", size).join(taken, same)
+    whole = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size"))).cast("int")
+    rest = F.when(F.col("size") == 0, 0).otherwise(F.col("taken") % F.col("size"))
+    times = F.concat(F.array_repeat(F.lit(None).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    rows = rows.withColumn("_words", F.explode(times))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("_words").isNull(), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), ""))
+    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with what tells that they decode to its text."""
+    return sentencepiece_dropout.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("toxicity", not_toxic),
+    ("line_dedup", lines_once),
+    ("simhash_near_dedup", one_of_each_group),
+    ("mixing", mixed),
+    ("sentencepiece", tokens),
+]
 
 #: SQL can't express the stages; tests hold each one against a brute-force version.
 ORACLE_SQL = None

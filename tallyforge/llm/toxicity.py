@@ -230,6 +230,20 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(each, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, passages array<struct<start:int,end:int,score:double>>")
 
 
+def keep(docs: DataFrame, model: Model, text_col: str = "text", below: float = 0.5) -> DataFrame:
+    """The rows of docs whose text scores under `below`, with all their columns, without a shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def each(batches):
+        model = held.value
+        table = Scores(model.terms, model.drift)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([model.probability(word_scores(t, table)) < below for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = score(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
