@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from tallyforge.plans import outcomes, relations
+
+FLAGSHIP = "opportunity_rates"
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = "opportunity_rates"
+for _plans in (outcomes, relations):
+    QUERIES |= _plans.QUERIES
+    ORACLES |= _plans.ORACLES
