@@ -33,19 +33,29 @@ def exact_or_folded(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return both.withColumns({"how": how, "match": F.when(how == "exact", F.col("_exact")).when(how == "folded", F.col("_only"))}).drop("_exact", "_fold", "_n", "_only")
 
 
-def quotes(texts: DataFrame, quotes: DataFrame, text_id: str, text: str, quote_id: str, quote: str, most: int = 100_000, prefix: int = 12) -> DataFrame:
+def quotes(texts: DataFrame, quotes: DataFrame, text_id: str, text: str, quote_id: str, quote: str, most: int = 10_000) -> DataFrame:
     """Where quotes stand in texts: (text_id, quote_id, at, times), at from 0 in characters.
 
-    Quotes are keyed by their first `prefix` characters; a text's places are looked up there, so a text meets the quotes
-    that can begin in it and not all of them. Quotes shorter than the prefix meet every text. The quote side is sent to
-    all tasks while it has at most `most` rows, and is joined by key beyond.
+    A quote's second to fourth pieces between spaces stand whole in every text that holds it, so they are its key. A text
+    is cut into runs of three pieces; up to `most` quotes the runs are sifted by the set of keys while they are made,
+    beyond that they are joined by key. Only what passes is searched. Quotes of fewer than five pieces are searched in
+    every text, which needs them to be at most `most`.
     """
-    q = quotes.select(F.col(quote_id).alias("_q"), F.col(quote).alias("_said")).where(F.length("_said") >= prefix).withColumn("_key", F.substring("_said", 1, prefix))
-    if q.limit(most + 1).count() <= most:
-        q = F.broadcast(q)
-    words = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - prefix + 1)), lambda i: F.substring(F.col(text), i, F.lit(prefix))))
-    places = texts.select(F.col(text_id).alias("_t"), F.col(text).alias("_text"), F.explode(words).alias("_key"))
-    met = places.join(q, "_key").where(F.expr("instr(_text, _said) > 0"))
+    q = quotes.select(F.col(quote_id).alias("_q"), F.col(quote).alias("_said")).where("_said <> ''").withColumn("_p", F.split("_said", " "))
+    long, short = q.where(F.size("_p") >= 5).withColumn("_key", F.array_join(F.slice("_p", 2, 3), " ")).drop("_p"), q.where(F.size("_p") < 5).drop("_p")
+    few, keys = short.limit(most + 1).count(), [r[0] for r in long.select("_key").distinct().limit(most + 1).collect()]
+    if few > most:
+        raise ValueError(f"more than {most} quotes of fewer than five words")
+    small = len(keys) <= most
+    pieces = F.split(F.col(text), " ")
+    rest = lambda i: F.slice(pieces, i, F.greatest(F.size(pieces), F.lit(1)))
+    with_space = lambda x, y: F.concat(x, F.lit(" "), y)
+    runs = F.zip_with(F.zip_with(pieces, rest(2), with_space), rest(3), with_space)  # null at the end
+    runs = F.array_distinct(F.filter(runs, lambda r: r.isin(keys)) if small and keys else runs)
+    met = texts.select(F.col(text_id).alias("_t"), F.col(text).alias("_text"), F.explode(runs).alias("_key")).join(F.broadcast(long) if small else long, "_key").drop("_key")
+    if few:
+        met = met.unionByName(texts.select(F.col(text_id).alias("_t"), F.col(text).alias("_text")).crossJoin(F.broadcast(short)))
+    met = met.where(F.expr("instr(_text, _said) > 0"))
     times = F.expr("(length(_text) - length(replace(_text, _said, ''))) div length(_said)")
     return met.select(F.col("_t").alias(text_id), F.col("_q").alias(quote_id), (F.expr("instr(_text, _said)") - 1).cast("long").alias("at"), times.cast("long").alias("times"))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import outcomes, relations
+from tallyforge.plans import outcomes, relations, texts
 
 FLAGSHIP = "opportunity_rates"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plans in (outcomes, relations):
+for _plans in (outcomes, relations, texts):
     QUERIES |= _plans.QUERIES
     ORACLES |= _plans.ORACLES
