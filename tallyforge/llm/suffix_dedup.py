@@ -164,15 +164,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     def parsed(batch):
         """Pieces of a batch as (part, uid, doc, offset, first, last, trigger, phrase) of each phrase."""
-        for piece in _slices(batch, "data", 8 << 20):
+        for piece in _slices(batch, "data", 2 << 20):
             held = [(i, x.as_buffer()) for i, x in enumerate(piece.column("data")) if len(x.as_buffer()) >= width]
             doc = piece.column("doc").to_pylist()
-            step = 1 << 23
+            step = 1 << 21
             cut = [(i, a, memoryview(b)[a : a + step + width - 1]) for i, b in held if doc[i] is not None for a in range(0, max(1, len(b) - width + 1), step)]
             uid, numbers = piece.column("uid").to_numpy(), piece.column("part").to_numpy()
             while cut:
                 own, size = [], 0
-                while cut and (not own or size + len(cut[-1][2]) <= 12 << 20):
+                while cut and (not own or size + len(cut[-1][2]) <= 3 << 20):
                     own.append(cut.pop())
                     size += len(own[-1][2])
                 data = np.frombuffer(b"".join(b for *_, b in own), dtype=np.uint8)
@@ -184,21 +184,35 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 docs_ = np.array([doc[i] for i, *_ in own], dtype=np.int64)[t]
                 yield numbers[row].astype(np.int64), uid[row].astype(np.int64), docs_, first + offset, last - first, a, p
 
+    def pack(phrases):
+        """Packed rows of a few hundred thousand phrases: those that stand earlier among them are removed at once."""
+        part, uid, doc, first, size, a, p = map(np.concatenate, zip(*phrases))
+        order = np.lexsort((doc, p, a))
+        new = np.concatenate(([True], (np.diff(a[order]) != 0) | (np.diff(p[order]) != 0)))
+        low = np.empty(len(order), dtype=np.int64)
+        low[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        gone = np.flatnonzero(doc > low)
+        for k, o in _keys(part[gone]):
+            own = gone[o]
+            yield _table([_pack(k, REMOVED, part[own], uid[own], doc[own], first[own], size[own])]).to_batches()[0]
+        left = np.flatnonzero(doc <= low)
+        left = left[np.lexsort((first[left], uid[left]))]
+        for k, o in _keys((a[left] % np.uint64(groups)).astype(np.int64)):
+            own = left[o]
+            yield _table([_pack(-1 - k, OCCURS, part[own], uid[own], doc[own], first[own], size[own], a[own], p[own])]).to_batches()[0]
+
     def occurrences(batches):
+        held, n = [], 0
         for batch in batches:
-            for part, uid, doc, first, size, a, p in parsed(batch):
-                order = np.lexsort((doc, p, a))
-                new = np.concatenate(([True], (np.diff(a[order]) != 0) | (np.diff(p[order]) != 0)))
-                low = np.empty(len(order), dtype=np.int64)
-                low[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-                gone = doc > low
-                out = [_pack(k, REMOVED, part[own], uid[own], doc[own], first[own], size[own]) for k, own in ((k, np.flatnonzero(gone)[o]) for k, o in _keys(part[gone]))]
-                left = np.flatnonzero(~gone)
-                left = left[np.lexsort((first[left], uid[left]))]
-                for k, o in _keys((a[left] % np.uint64(groups)).astype(np.int64)):
-                    own = left[o]
-                    out.append(_pack(-1 - k, OCCURS, part[own], uid[own], doc[own], first[own], size[own], a[own], p[own]))
-                yield from _table(out).to_batches()
+            for phrases in parsed(batch):
+                if len(phrases[0]):
+                    held.append(phrases)
+                    n += len(phrases[0])
+                if n >= 400_000:
+                    yield from pack(held)
+                    held, n = [], 0
+        if held:
+            yield from pack(held)
 
     def dictionary(table):
         """One group of triggers: what is removed, and the entries whose bytes are needed."""
