@@ -55,8 +55,9 @@ def unit_length(v: np.ndarray) -> np.ndarray | None:
 class CoverTree:
     """Nested levels over rows of x: each node covers a run of `order`, a child's radius is about half its parent's.
 
-    A node's centre is one of its rows, and its radius the largest distance from there to any of its rows, so bounds
-    are tight whatever the net left over. A node is a leaf when it is small, or when halving the radius parts nothing.
+    The rows have length 1. A node's centre is one of its rows, and its radius the largest distance from there to any of
+    its rows, so bounds are tight. A node is a leaf when it is small, or when its rows are scattered: further levels
+    would give nearly each row a node of its own, and the product of two leaves compares those nodes all at once.
     """
 
     def __init__(self, x: np.ndarray, leaf: int = 96):
@@ -71,7 +72,7 @@ class CoverTree:
             d = self._distance(rows, first)
             node = len(self.center)
             self.center.append(int(rows[first]))
-            self.radius.append(float(d.max()))
+            self.radius.append(float(d.max()) + 1e-7)
             self.kids.append([])
             if parent is not None:
                 self.kids[parent].append(node)
@@ -87,20 +88,23 @@ class CoverTree:
                 stack += [(p, 0, half, node) for p in parts]
 
     def _distance(self, rows, first):
-        return np.sqrt(np.maximum(0.0, ((self.x[rows] - self.x[rows[first]]) ** 2).sum(axis=1)))
+        """Distances of rows of length 1, by one product."""
+        return np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[rows] @ self.x[rows[first]])))
 
     def _net(self, rows, first, d, cover):
-        """Parts of the rows within half the radius of the centres of a net; the first centre is the parent's own."""
+        """Parts of the rows within half the radius of the centres of a net; the first centre is the parent's own.
+
+        None where the rows are scattered at this scale, which shows when the first centres cover little.
+        """
         half, left, parts, now = min(cover, d.max()) / 2, np.arange(len(rows)), [], first
-        most = max(8, len(rows) // 8)
         while len(left):
-            at = self.x[rows[left]] - self.x[rows[now]]
-            near = (at * at).sum(axis=1) <= half * half
+            near = self.x[rows[left]] @ self.x[rows[now]] >= 1 - half * half / 2
+            near[left == now] = True
             own = left[near]
             parts.append(rows[np.concatenate(([now], own[own != now]))])
             left = left[~near]
-            if len(parts) > most:
-                return None  # scattered at this scale
+            if len(parts) == 16 and len(left) > len(rows) // 2 or len(parts) > len(rows) // 8 + 8:
+                return None
             if len(left):
                 now = left[0]
         return parts if len(parts) > 1 else None
