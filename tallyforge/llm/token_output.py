@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import drop_table, materialize, shared_path
 
@@ -121,7 +122,7 @@ class Encoder:
 
     MARK = "¤"
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -154,7 +155,7 @@ class Encoder:
         all_chunks, all_found, lacking = [], [], []
         for text in texts:
             text = text or ""
-            if not _MARKS.search(text):  # nothing that combines: case can go first
+            if text.isascii() or not _MARKS.search(text):  # nothing that combines: case can go first
                 text = text.lower()
             chunks = text.replace("\n", " ").split(" ")
             found = list(map(get, chunks))
@@ -205,27 +206,26 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
+    size, kind = encoder(tokenizer).size, encoder(tokenizer).kind
+    id_arrow = to_arrow_type(rows.schema["doc_id"].dataType)
+
     def tokenize(batches):
-        run = encoder(tokenizer)
+        """Ids of each row; at the end of a task one row more, with the task's counts."""
+        run, total = encoder(tokenizer), np.zeros(size, dtype=np.int64)
+        names = ["doc_id", "ids", "used", "n"]
         for batch in batches:
             for part in pieces(batch):
                 found = run(part.column(1).to_pylist(), end_id)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc_id", "ids"])
-
-    ids = materialize(rows.mapInArrow(tokenize, f"doc_id {id_type}, ids binary"), "token-ids", compression="zstd")
-    size = encoder(tokenizer).size
-    kind = encoder(tokenizer).kind
-
-    def count(batches):
-        total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype=kind), minlength=size)
+                total += np.bincount(np.frombuffer(b"".join(found), dtype=kind), minlength=size)
+                none = pa.nulls(len(found), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), none, none], names=names)
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, id_arrow), pa.nulls(1, pa.binary()), pa.array([used], pa.list_(pa.int64())), pa.array([total[used]], pa.list_(pa.int64()))], names=names)
 
+    ids = materialize(rows.mapInArrow(tokenize, f"doc_id {id_type}, ids binary, used array<long>, n array<long>"), "token-ids", compression="zstd")
     counts = np.zeros(size, dtype=np.int64)
-    for r in ids.select("ids").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():  # one row an id
+    tallied = ids.select(F.inline(F.arrays_zip(F.col("used").alias("token"), F.col("n").alias("n"))))
+    for r in tallied.groupBy("token").agg(F.sum("n").alias("n")).collect():  # one row an id
         counts[r["token"]] = r["n"]
     table = scaled(counts)
     used = np.flatnonzero(table.freq)
@@ -259,7 +259,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
         if parts:
             yield done()
 
-    ranged = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    ranged = ids.where("ids is not null").select("doc_id", "ids").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     ranged.mapInArrow(encode, BLOCK_SCHEMA.format(id=id_type)).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     drop_table(ids)
     return table.freq
