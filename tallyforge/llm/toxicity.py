@@ -142,7 +142,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Seven folds of ten give the log-odds, with a Dirichlet prior of `prior` pseudo-counts a feature, dealt to
     the classes by their size; a feature counts only where its log-odds are least_z standard errors from zero. The other
-    folds give the tail of the best segment of clean texts and the weights of the evidence. Without labelled rows of both
+    folds give the tail of the best segment of clean texts and the weights of the evidence; the log-odds that are used then
+    come from all folds. Without labelled rows of both
     classes there is nothing to learn: every text then gets the share of toxic rows (none: 0).
     """
     train = sample(docs, labels, max_train, id_col, text_col)
@@ -160,20 +161,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             if found:
                 yield pa.RecordBatch.from_pydict({"f": list(found), "n0": [x[0] for x in found.values()], "n1": [x[1] for x in found.values()]})
 
-    counts = train.where("fold < 7").mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = materialize(counts, "tox-counts")
-    total = counts.where(~F.col("f").endswith("*")).agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
+    def log_odds(part: DataFrame) -> dict[str, float] | None:
+        """Log-odds of the features that count; None without words of both classes."""
+        counts = part.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        counts = materialize(counts, "tox-counts")
+        total = counts.where(~F.col("f").endswith("*")).agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
+        if not total["n0"] or not total["n1"]:
+            return None
+        share = total["n1"] / (total["n0"] + total["n1"])
+        p1, p0 = F.col("n1") + prior * share, F.col("n0") + prior * (1 - share)
+        odds = F.log(p1 / total["n1"]) - F.log(p0 / total["n0"])
+        scored = counts.where(F.col("n0") + F.col("n1") >= min_count).select("f", odds.alias("d"), (odds / F.sqrt(1 / p1 + 1 / p0)).alias("z"))
+        kept = scored.where(F.abs("z") >= least_z).orderBy(F.abs(F.col("z")).desc(), "f").limit(max_terms)
+        return {r["f"]: r["d"] for r in kept.collect()}  # max_terms rows
+
+    terms = log_odds(train.where("fold < 7"))
     rows = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
-    if not total["n0"] or not total["n1"]:
+    if terms is None:
         share = (rows["t"] + 1e-3) / (rows["n"] + 1) if rows["n"] else 1e-6
         return Model({}, drift, 1.0, 1.0, (math.log(share / (1 - share)), 0.0, 0.0))
-    share = total["n1"] / (total["n0"] + total["n1"])
-    p1, p0 = F.col("n1") + prior * share, F.col("n0") + prior * (1 - share)
-    odds = F.log(p1 / total["n1"]) - F.log(p0 / total["n0"])
-    scored = counts.where(F.col("n0") + F.col("n1") >= min_count).select("f", odds.alias("d"), (odds / F.sqrt(1 / p1 + 1 / p0)).alias("z"))
-    kept = scored.where(F.abs("z") >= least_z).orderBy(F.abs(F.col("z")).desc(), "f").limit(max_terms)
-    terms = {r["f"]: r["d"] for r in kept.collect()}  # max_terms rows
-
     blank = Model(terms, drift, 1.0, 1.0, (0.0, 0.0, 0.0))
 
     def best(batches):
@@ -191,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # tail of the best segment of a clean text: P(S >= s) = 1 - exp(-k n exp(-lam s)); its slope from the mean excess
     lam = 1 / max(0.25, float(quiet.mean()))
     k = max(1e-6, 1 / float(np.mean(n * np.exp(-lam * quiet))))
-    model = Model(terms, drift, lam, k, (0.0, 0.0, 0.0))
+    model, terms = Model(terms, drift, lam, k, (0.0, 0.0, 0.0)), log_odds(train)  # calibrated on other rows, used with all
     if len({r["y"] for r in rest}) < 2:
         return Model(terms, drift, lam, k, (-2.0, 0.5, 1.0))
     x = np.array([_evidence(model, r["n"], r["s"]) for r in rest])
