@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import outcomes, relations, texts
+from tallyforge.plans import outcomes, relations, streams, texts
 
 FLAGSHIP = "opportunity_rates"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plans in (outcomes, relations, texts):
+for _plans in (outcomes, relations, texts, streams):
     QUERIES |= _plans.QUERIES
     ORACLES |= _plans.ORACLES
