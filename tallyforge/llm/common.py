@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,31 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Holds the batches that Python workers get to a few megabytes, however long the texts are.
+
+    The setting bounds the memory of all later Arrow stages of the session and changes no result.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def frugal(each):
+    """A function over batches that gives memory back to the system when a task ends, as idle workers are kept."""
+
+    def run(batches):
+        try:
+            yield from each(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files behind a DataFrame of materialize() that nothing reads any more."""
     spark = df.sparkSession

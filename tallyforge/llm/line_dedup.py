@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, frugal, materialize, small_batches
 
 
 def longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -109,7 +109,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], names=["id", "text_hash", "ranges"])
 
     id_type = met.schema["id"].dataType.simpleString()
-    found = met.select("id", "text_hash", "lines").mapInArrow(align, f"id {id_type}, text_hash long, ranges array<struct<first:int,last:int>>")
+    small_batches(docs.sparkSession)
+    found = met.select("id", "text_hash", "lines").mapInArrow(frugal(align), f"id {id_type}, text_hash long, ranges array<struct<first:int,last:int>>")
     return found.where(F.size("ranges") > 0).groupBy("id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"))
 
 

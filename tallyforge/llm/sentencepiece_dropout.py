@@ -12,6 +12,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, small_batches
 from .token_output import pieces
 
 #: A line feed, or spaces with the word after them, or a word: no piece of the vocabulary reaches over these borders.
@@ -191,7 +192,7 @@ class Segmenter:
     next place with the same chunk and key. What is kept is bounded, which doesn't change results.
     """
 
-    def __init__(self, path: str, seed: int, dropout: float, variants: int, most: int = 500_000):
+    def __init__(self, path: str, seed: int, dropout: float, variants: int, most: int = 250_000):
         self.vocabulary = Vocabulary(path)
         self.seed, self.dropout, self.variants, self.most = seed, int(dropout * (1 << 32)), variants if dropout else 1, most
         self.tables = [_Kept() for _ in range(self.variants)]
@@ -276,7 +277,8 @@ def encode(docs: DataFrame, model: str, seed: int = 42, dropout: float = 0.1, va
     kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_crc32": pa.int64(), "text_bytes": pa.int64(), "text_crc32": pa.int64(), "lossless": pa.bool_()}
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + "ids array<int>, " * keep + "n_tokens long, ids_crc32 long, text_bytes long, text_crc32 long, lossless boolean"
-    return rows.mapInArrow(each, schema)
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(frugal(each), schema)
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:

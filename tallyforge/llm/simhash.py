@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, frugal, materialize, small_batches
 
 MAX_BITS = 3
 #: Depth of the trie's upper part, whose nodes are counted; at most 2 ** TOP counts are gathered.
@@ -47,7 +47,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(each, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(frugal(each), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def leaves(counts: dict[int, int], cap: int) -> list[tuple[int, int, int]]:

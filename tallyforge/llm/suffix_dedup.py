@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path
+from .common import frugal, materialize, shared_path, small_batches
 
 #: Bytes of the string that triggers a phrase.
 TRIGGER = 16
@@ -149,6 +149,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     if not TRIGGER < width < 200:
         raise ValueError("width must be over 16 and under 200")
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("data"))
     total = rows.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
@@ -238,7 +239,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     out[-1]["text"] = np.int64(-1 - rows[0]["key"]).tobytes()
         return _table(out)
 
-    found = materialize(corpus.mapInArrow(occurrences, LAYOUT).groupBy("key").applyInArrow(dictionary, LAYOUT), "phrases", compression="zstd")
+    found = materialize(corpus.mapInArrow(frugal(occurrences), LAYOUT).groupBy("key").applyInArrow(dictionary, LAYOUT), "phrases", compression="zstd")
 
     def spell(left, right):
         """Bytes of the entries asked for, by group."""

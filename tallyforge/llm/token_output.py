@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import drop_table, materialize, shared_path
+from .common import drop_table, materialize, shared_path, small_batches
 
 #: Frequencies add up to 2 ** SCALE; states stay in [2 ** 31, 2 ** 63) and move in words of 32 bits.
 SCALE = 20
@@ -203,6 +203,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
     tokens are shuffled. Returns the frequencies (as many as the tokenizer has ids).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import frugal, materialize, small_batches
 
 #: Prefix lengths (in characters) that stand in for words too rare to judge.
 PREFIXES = (4, 5, 6)
@@ -31,7 +31,7 @@ def features(word: str) -> list[str]:
 class Scores(dict):
     """Score of each raw word: that of its longest feature with one, less the drift; looked up once for each word."""
 
-    def __init__(self, terms: dict[str, float], drift: float, most: int = 300_000):
+    def __init__(self, terms: dict[str, float], drift: float, most: int = 150_000):
         super().__init__()
         self.terms, self.drift, self.most = terms, drift, most
 
@@ -146,6 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     come from all folds. Without labelled rows of both
     classes there is nothing to learn: every text then gets the share of toxic rows (none: 0).
     """
+    small_batches(docs.sparkSession)
     train = sample(docs, labels, max_train, id_col, text_col)
 
     def count(batches):
@@ -163,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def log_odds(part: DataFrame) -> dict[str, float] | None:
         """Log-odds of the features that count; None without words of both classes."""
-        counts = part.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        counts = part.mapInArrow(frugal(count), "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
         counts = materialize(counts, "tox-counts")
         total = counts.where(~F.col("f").endswith("*")).agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1")).first()
         if not total["n0"] or not total["n1"]:
@@ -233,7 +234,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(where, kind)], names=["doc_id", "score", "passages"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(each, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, passages array<struct<start:int,end:int,score:double>>")
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(frugal(each), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, passages array<struct<start:int,end:int,score:double>>")
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", below: float = 0.5) -> DataFrame:
@@ -247,7 +249,8 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", below: float = 0
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([model.probability(word_scores(t, table)) < below for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(frugal(each), docs.schema)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
