@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import evidence, outcomes, relations, streams, texts
+from tallyforge.plans import evidence, outcomes, reconcile, relations, streams, texts
 
 FLAGSHIP = "opportunity_rates"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plans in (outcomes, relations, texts, evidence, streams):
+for _plans in (outcomes, relations, texts, evidence, reconcile, streams):
     QUERIES |= _plans.QUERIES
     ORACLES |= _plans.ORACLES
