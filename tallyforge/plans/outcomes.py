@@ -34,7 +34,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     docs = table(spark, sf, "documents").select(
         "doc_id", "lang", "source", F.md5("text").alias("digest"), F.regexp_count(t, F.lit(r"\S+")).alias("w"), (F.length(t) - F.length(F.replace(t, F.lit("\n"))) + 1).alias("nl"),
-        t.rlike(r"[^\x00-\x7F]").alias("nonascii"), t.rlike("[0-9]").alias("digit"), t.rlike(r"(^|[^A-Za-z])[Tt]he([^A-Za-z]|$)").alias("article"), t.contains("?").alias("ask"), t.rlike("[A-Z]{3,}").alias("caps"), t.contains("!").alias("bang"),
+        (F.octet_length(t) != F.length(t)).alias("nonascii"), t.rlike("[0-9]").alias("digit"), ((F.col("lang") == "en") & t.rlike(r"(^|[^A-Za-z])[Tt]he([^A-Za-z]|$)")).alias("article"), t.contains("?").alias("ask"), t.rlike("[A-Z]{3,}").alias("caps"), t.contains("!").alias("bang"),
     )
     copies = docs.groupBy("digest").agg(F.count(F.lit(1)).alias("dup"))
     return docs.join(copies, "digest").join(table(spark, sf, "labels"), "doc_id", "left")
