@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Words that carry no meaning in a title.
-STOP_WORDS = ("a", "an", "and", "at", "by", "for", "from", "in", "is", "of", "on", "or", "the", "to", "with")
+STOP_WORDS = ("a", "an", "and", "at", "by", "conference", "for", "from", "in", "keynote", "of", "on", "or", "session", "talk", "the", "to", "with")
 #: A Unicode word without digits: letters, letter-like and other numerals.
 WORD = r"[\p{L}\p{Nl}\p{No}]+"
 
@@ -53,32 +53,40 @@ def alias(text: Column, unicode: bool = False) -> Column:
     return F.array_join(F.regexp_extract_all(_unmarked(text) if unicode else F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), "-")
 
 
+#: A word of a title: letters and digits of any script.
+TITLE_WORD = r"[\p{L}\p{N}]+"
+#: What parts a title from its subtitle.
+SUBTITLE = r"^(.*?)(?::|\s[-–—]\s|\s\()"
+
+
+def all_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TITLE_WORD), F.lit(0))
+
+
 def title_words(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Ordered words of a title over one character long and outside the stop list."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(found, lambda w: ~w.isin(*stop) & (F.length(w) > 1))
+    return F.filter(all_words(text), lambda w: ~w.isin(*stop) & (F.length(w) > 1))
 
 
 def titles_agree(expected: Column, observed: Column) -> Column:
-    """Whether two titles name the same thing; asymmetric, counted over the expected title's words.
+    """Whether an observed title names what an expected one does; asymmetric, null where a title is missing.
 
-    True for containment at word borders; for containment without any separators from 8 characters on; for a shared
-    word set of one (titles of one word) or of max(2, half rounded up); or where what stands before a colon or dash, of
-    two words or more (two only with one of 8 characters), is contained. Null where either side has no words.
+    True where all expected words stand side by side in the observed title; where they do without separators, from 8
+    characters on; where enough significant words are shared: one of one, else half rounded up and two at least, counted
+    over the expected title; or where what stands before a subtitle, two significant words or more (two only with one of
+    8 characters), stands side by side among the observed significant words.
     """
-    e, o = title_words(expected), title_words(observed)
-    spaced_e, spaced_o = F.concat(F.lit(" "), F.array_join(e, " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(o, " "), F.lit(" "))
-    tight_e, tight_o = F.array_join(e, ""), F.array_join(o, "")
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    flat_e, flat_o, e, o = all_words(expected), all_words(observed), title_words(expected), title_words(observed)
+    tight = F.array_join(flat_e, "")
     n = F.size(F.array_distinct(e))
     least = F.when(n == 1, 1).otherwise(F.greatest(F.lit(2), F.floor((n + 1) / 2)))
-    base = title_words(F.regexp_extract(expected, r"^(.*?)(?::| - | — )", 1))
-    spaced_base = F.concat(F.lit(" "), F.array_join(base, " "), F.lit(" "))
-    long_word = F.exists(base, lambda w: F.length(w) >= 8)
-    base_ok = (F.size(base) > 2) | ((F.size(base) == 2) & long_word)
-    agree = spaced_o.contains(spaced_e) | spaced_e.contains(spaced_o)
-    agree = agree | ((F.length(tight_e) >= 8) & tight_o.contains(tight_e)) | ((F.length(tight_o) >= 8) & tight_e.contains(tight_o))
-    agree = agree | (F.size(F.array_intersect(e, o)) >= least) | (base_ok & spaced_o.contains(spaced_base))
-    return F.when((F.size(e) > 0) & (F.size(o) > 0), agree)
+    base = title_words(F.regexp_extract(expected, SUBTITLE, 1))
+    base_ok = (F.size(base) > 2) | ((F.size(base) == 2) & F.exists(base, lambda w: F.length(w) >= 8))
+    agree = (F.size(flat_e) > 0) & spaced(flat_o).contains(spaced(flat_e))
+    agree = agree | ((F.length(tight) >= 8) & F.array_join(flat_o, "").contains(tight))
+    agree = agree | ((n > 0) & (F.size(F.array_intersect(e, o)) >= least)) | (base_ok & spaced(o).contains(spaced(base)))
+    return F.when(expected.isNotNull() & observed.isNotNull(), agree)
 
 
 def names_agree(expected: Column, observed: Column) -> Column:

@@ -88,10 +88,22 @@ def score_resolution(stored: Column, computed: Column) -> Column:
     return F.when(stored.isNull(), "missing").when(d(stored) == d(computed), "agrees").otherwise("differs")
 
 
-def non_delivery(title_marks: Column, length_ratio: Column, seconds: Column) -> Column:
-    """Signals that a recording is no full delivery; a weak one counts only beside a strong one."""
-    strong = F.array_compact(F.array(F.when(title_marks, "clip_marker"), F.when(length_ratio < 0.55, "short_ratio")))
-    return F.when(F.size(strong) > 0, F.array_compact(F.concat(strong, F.array(F.when(seconds < 120, "under_two_minutes"))))).otherwise(F.array().cast("array<string>"))
+#: Words of a title that mark a clip.
+CLIP_MARKERS = ("clip", "demo", "excerpt", "highlight", "highlights", "preview", "promo", "short", "teaser", "trailer")
+
+
+def non_delivery(marked: Column, title_agrees: Column, expected_seconds: Column, seconds: Column, lightning: Column) -> Column:
+    """Signals that a recording is no full delivery, kept only where one is strong or a marker has support.
+
+    marked: the title has a clip marker. Durations are strong signals; a marker needs a title that disagrees, or under
+    fifteen minutes. Ratios count from ten expected minutes on, and two minutes are enough for a lightning talk.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    ratio = yes((expected_seconds >= 600) & (seconds / expected_seconds < 0.55))
+    brief, mismatch = yes((seconds < 120) & ~lightning), yes(~title_agrees & (seconds < 600))
+    signals = F.array_compact(F.array(F.when(yes(marked), "clip_marker"), F.when(ratio, "short_ratio"), F.when(brief, "under_two_minutes"), F.when(mismatch, "mismatch_under_ten_minutes")))
+    kept = ratio | brief | mismatch | (yes(marked) & (yes(~title_agrees) | yes(seconds < 900)))
+    return F.when(kept, signals).otherwise(F.array().cast("array<string>"))
 
 
 def disposition(verdict: Column, selected: Column, stored: Column) -> Column:

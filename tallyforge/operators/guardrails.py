@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-#: What a number needs near it to count as sourced, and words that a closing has.
-SOURCE_MARKS = r"(?i)(source:|according to|\bcf\.|https?://|\[\d+\])"
-CLAIM = r"(\d+(\.\d+)?\s?%|\b\d{2,}x\b|\$\s?\d)"
-CLOSING_WORDS = ("summary", "takeaway", "thank", "questions")
+#: Numeric claims, signs of a source, the signs of a full closing, words of the register rule, and the words
+#: of a path that name an artifact's role, in order of precedence.
+CLAIM = r"(?i)(\d{1,3}\s*%|\$\s*\d|\d{4,}\b|\b\d+(\.\d+)?\s*(k|m|b)\b|\b\d+(\.\d+)?\s+(million|billion|thousand|trillion)\b)"
+SOURCE_MARKS = r"(?i)(\bsource\b|\bcitation\b|\bref\b|\bvia\b|\(20\d{2}\)|\bsurvey\b|\bstudy\b|\baccording to\b|https?://)"
+CLOSING_SUMMARY = ("summary", "takeaway", "recap", "cheat sheet")
+CLOSING_ACTION = ("call to action", "cta", "action item", "this week", "doer", "monday", "next step")
+CLOSING_SOCIAL = ("shownotes", "social", "qr", "@")
+CLOSING_LINKS = ("@", "http", ".com", ".dev", ".io", "/")
+REGISTER_WORDS = ("damn", "hell", "shit", "fuck", "fucking", "ass", "crap", "bullshit")
+ROLES = {"backup": ("backup", "backups", "bak", "archive", "archived", "old"), "master": ("master", "masters", "template", "templates", "source"), "static_export": ("static", "export", "exports", "exported")}
 
 
 def unsourced_claim(text: Column) -> Column:
@@ -26,8 +32,18 @@ def branding(text: Column, elements: list[str]) -> Column:
     return F.filter(F.array(*map(F.lit, elements)), lambda e: ~F.coalesce(F.contains(F.lower(text), F.lower(e)), F.lit(False)))
 
 
-def closing_status(last_text: Column, words: tuple[str, ...] = CLOSING_WORDS) -> Column:
-    return F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(last_text), w)), "PASS").otherwise("WARN")
+def closing_missing(last_text: Column) -> Column:
+    """What a last chapter's text lacks of summary, CTA and social; thanks are social only beside a link."""
+    low = F.lower(last_text)
+    any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    social = any_of(CLOSING_SOCIAL) | (low.contains("thank") & any_of(CLOSING_LINKS))
+    return F.array_compact(F.array(F.when(~any_of(CLOSING_SUMMARY), "summary"), F.when(~any_of(CLOSING_ACTION), "CTA"), F.when(~social, "social")))
+
+
+def register_verdict(register: Column, on_slide: Column, spoken: Column) -> Column:
+    """Strong words (counts of them) against a register: none forbids all, 'never on slide' those on slides, else a warning."""
+    low = F.lower(register)
+    return F.when(low.contains("none") & (on_slide + spoken > 0), "FAIL").when((on_slide > 0) & low.contains("never on slide"), "FAIL").when(on_slide > 0, "WARN").otherwise("PASS")
 
 
 def cut_lines(chapters: DataFrame, least: int = 1) -> DataFrame:
@@ -48,12 +64,12 @@ def skip_reason(name: Column, patterns: list[str] = ()) -> Column:
 
 
 def artifact_role(path: Column) -> Column:
-    """Role by the whole words of a path, the first of: template, draft, handout, backup; else delivery."""
-    words = F.split(F.lower(path), r"[^a-z0-9]+")
-    role = F.when(F.arrays_overlap(words, F.array(F.lit("template"), F.lit("theme"))), "template")
-    role = role.when(F.arrays_overlap(words, F.array(F.lit("draft"), F.lit("wip"))), "draft")
-    role = role.when(F.arrays_overlap(words, F.array(F.lit("handout"), F.lit("handouts"))), "handout")
-    return role.when(F.arrays_overlap(words, F.array(F.lit("backup"), F.lit("old"), F.lit("copy"))), "backup").otherwise("delivery")
+    """Role by the whole words of a path, the first of ROLES; else delivery."""
+    words, role = F.regexp_extract_all(F.lower(path), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), None
+    for name, marks in ROLES.items():
+        found = F.arrays_overlap(words, F.array(*map(F.lit, marks)))
+        role = F.when(found, name) if role is None else role.when(found, name)
+    return role.otherwise("delivery")
 
 
 def sentences(text: Column) -> Column:

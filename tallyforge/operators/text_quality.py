@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.text import word_count
 
-#: Signs of a crashed tool at the start of a text, of raw captions, and marks of what isn't speech.
-CRASH = r"(Traceback \(most recent call last\)|Segmentation fault|<!DOCTYPE html|<html)"
-CAPTIONS = r"(WEBVTT|<c>|\d{2}:\d{2}:\d{2}\.\d{3} -->)"
-MARKS = r"\[[^\]\n]{1,40}\]|\([^)\n]{1,40}\)|♪+"
+#: Signs of a crashed tool at a text's start, timing tags of raw captions, and marks of what isn't speech.
+CRASHES = ("Traceback (most recent call last)", "AttributeError:", "NameError:", "ModuleNotFoundError:", "ImportError:")
+CAPTIONS = r"<(?:\d{2}:)?\d{2}:\d{2}\.\d{3}>|</?c(?:\.[^>]*)?>"
+MARKS = ("[Music]", "[Applause]", "[Laughter]", "[музыка]")
 
 
 def word_floor(requested: Column, seconds: Column) -> Column:
@@ -19,12 +19,16 @@ def word_floor(requested: Column, seconds: Column) -> Column:
 
 
 def verdict(text: Column, requested: Column, seconds: Column) -> Column:
-    marks = F.aggregate(F.regexp_extract_all(text, F.lit(MARKS), F.lit(0)), F.lit(0), lambda n, x: n + F.length(x))
+    marks = sum((F.length(text) - F.length(F.replace(text, F.lit(m))) for m in MARKS), F.lit(0))
+    head = F.substring(text, 1, 400)
+    crashed = F.lit(False)
+    for sign in CRASHES:
+        crashed = crashed | head.contains(sign)
     words = word_count(text)
     return (
         F.when(text.isNull() | (F.btrim(text, F.lit(" \t\n\r")) == ""), "empty")
         .when(seconds <= 0, "invalid_parameters")
-        .when(F.substring(text, 1, 400).rlike(CRASH), "crash_output")
+        .when(crashed, "crash_output")
         .when(F.substring(text, 1, 4000).rlike(CAPTIONS), "raw_captions")
         .when(marks > 0.5 * F.length(text), "non_speech")
         .when(words < word_floor(requested, seconds), "too_few_words")

@@ -68,7 +68,7 @@ def dispositions(spark, sf):
     p = table(spark, sf, "part")
     verdict = F.element_at(F.array(*map(F.lit, ("matched", "ambiguous", "conflicting", "unmatched"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     stored = F.when(F.col("p_partkey") % 5 != 0, F.col("p_size"))
-    return p.select("p_partkey", ev.disposition(verdict, F.col("p_size") % 10, stored % 20).alias("disposition"), F.array_join(ev.non_delivery(F.col("p_size") % 7 == 0, F.col("p_size") / 50, F.col("p_size") * 10), ",").alias("signals"))
+    return p.select("p_partkey", ev.disposition(verdict, F.col("p_size") % 10, stored % 20).alias("disposition"), F.array_join(ev.non_delivery(F.col("p_size") % 7 == 0, F.when(F.col("p_partkey") % 3 != 0, F.col("p_partkey") % 2 == 0), F.lit(1200), F.col("p_size") * 30, F.col("p_partkey") % 4 == 0), ",").alias("signals"))
 
 
 def callbacks(spark, sf):
@@ -142,7 +142,7 @@ ORACLES = {
     "citations_outside": "SELECT l_orderkey, l_linenumber AS start, l_linenumber + 1 AS \"end\" FROM lineitem c WHERE l_quantity > 40 AND NOT EXISTS (SELECT 1 FROM lineitem s WHERE s.l_orderkey = c.l_orderkey AND s.l_quantity > 10 AND s.l_linenumber >= c.l_linenumber + 1)",
     "batch_match": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN 'not_returned' WHEN o_orderkey % 3 <> 0 THEN 'not_claimed' ELSE 'returned_twice' END AS code FROM orders WHERE (o_orderkey % 3 = 0) <> (o_orderkey % 4 = 0) OR (o_orderkey % 12 = 0 AND o_orderkey % 5 = 0)",
     "dispositions": """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'unbound' WHEN p_partkey % 4 = 0 AND p_size % 10 = p_size % 20 THEN 'confirmed' WHEN p_partkey % 4 = 0 THEN 'contradicted' WHEN p_partkey % 4 IN (1, 2) THEN 'review' ELSE 'unproven' END AS disposition,
- CASE WHEN p_size % 7 = 0 OR p_size / 50.0 < 0.55 THEN concat_ws(',', CASE WHEN p_size % 7 = 0 THEN 'clip_marker' END, CASE WHEN p_size / 50.0 < 0.55 THEN 'short_ratio' END, CASE WHEN p_size * 10 < 120 THEN 'under_two_minutes' END) ELSE '' END AS signals FROM part""",
+ CASE WHEN p_size * 30 < 660 OR (p_partkey % 3 <> 0 AND p_partkey % 2 = 1 AND p_size * 30 < 600) OR (p_size % 7 = 0 AND ((p_partkey % 3 <> 0 AND p_partkey % 2 = 1) OR p_size * 30 < 900)) THEN concat_ws(',', CASE WHEN p_size % 7 = 0 THEN 'clip_marker' END, CASE WHEN p_size * 30 < 660 THEN 'short_ratio' END, CASE WHEN p_size * 30 < 120 AND p_partkey % 4 <> 0 THEN 'under_two_minutes' END, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 1 AND p_size * 30 < 600 THEN 'mismatch_under_ten_minutes' END) ELSE '' END AS signals FROM part""",
     "callback_ledger": _CALLBACKS,
     "outline_checks": _OUTLINES,
     "contiguous_members": _MEMBERS,

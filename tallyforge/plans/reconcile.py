@@ -55,7 +55,7 @@ def prose(spark, sf):
     return docs.select("doc_id", gr.unsourced_claim(F.col("text")).alias("unsourced"), F.array_join(gr.words_found(F.col("text"), ["license", "the", "und"]), ",").alias("words"), gr.sentences(F.col("text")).alias("sentences"), F.array_join(gr.branding(F.col("text"), ["License", "version"]), ",").alias("lacks"))
 
 
-_PROSE = r"""SELECT doc_id, regexp_matches(text, '(\d+(\.\d+)?\s?%|\b\d{2,}x\b|\$\s?\d)') AND NOT regexp_matches(text, '(?i)(source:|according to|\bcf\.|https?://|\[\d+\])') AS unsourced,
+_PROSE = r"""SELECT doc_id, regexp_matches(text, '(?i)(\d{1,3}\s*%|\$\s*\d|\d{4,}\b|\b\d+(\.\d+)?\s*(k|m|b)\b|\b\d+(\.\d+)?\s+(million|billion|thousand|trillion)\b)') AND NOT regexp_matches(text, '(?i)(\bsource\b|\bcitation\b|\bref\b|\bvia\b|\(20\d{2}\)|\bsurvey\b|\bstudy\b|\baccording to\b|https?://)') AS unsourced,
  concat_ws(',', CASE WHEN regexp_matches(text, '(?i)\blicense\b') THEN 'license' END, CASE WHEN regexp_matches(text, '(?i)\bthe\b') THEN 'the' END, CASE WHEN regexp_matches(text, '(?i)\bund\b') THEN 'und' END) AS words,
  len(regexp_extract_all(text, '[.!?]+(\s|$)')) AS sentences, concat_ws(',', CASE WHEN NOT contains(lower(text), 'license') THEN 'License' END, CASE WHEN NOT contains(lower(text), 'version') THEN 'version' END) AS lacks FROM documents"""
 
@@ -67,7 +67,7 @@ def names(spark, sf):
 
 
 _NAMES = """SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'lock' WHEN contains(lower(p_name), 'static') THEN 'static' WHEN p_partkey % 4 = 0 AND p_partkey % 5 <> 0 THEN 'conflict_copy' WHEN contains(lower(p_name), 'small') THEN 'pattern' END AS skip,
- CASE WHEN list_has_any(w, ['template', 'theme']) THEN 'template' WHEN list_has_any(w, ['draft', 'wip']) THEN 'draft' WHEN list_has_any(w, ['handout', 'handouts']) THEN 'handout' WHEN p_partkey % 5 = 0 OR list_has_any(w, ['backup', 'old', 'copy']) THEN 'backup' ELSE 'delivery' END AS role FROM (SELECT *, string_split(lower(p_name), ' ') AS w FROM part)"""
+ CASE WHEN p_partkey % 5 = 0 OR list_has_any(w, ['backup', 'backups', 'bak', 'archive', 'archived', 'old']) THEN 'backup' WHEN list_has_any(w, ['master', 'masters', 'template', 'templates', 'source']) THEN 'master' WHEN list_has_any(w, ['static', 'export', 'exports', 'exported']) THEN 'static_export' ELSE 'delivery' END AS role FROM (SELECT *, string_split(lower(p_name), ' ') AS w FROM part)"""
 
 QUERIES = {"field_differences": differences, "proposal_fields": proposed, "relation_findings": relations, "span_overlaps": overlaps, "mutation_plan": plan, "requeue_stale": requeued, "prose_rules": prose, "deck_names": names}
 ORACLES = {

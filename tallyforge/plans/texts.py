@@ -18,9 +18,9 @@ def transcript_quality(spark, sf):
 
 _QUALITY = r"""WITH q AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}]+')) AS words, CASE WHEN doc_id % 3 = 0 THEN n_chars / 10.0 END AS s FROM documents),
 r AS (SELECT *, CASE WHEN s IS NULL THEN 30 ELSE greatest(30, least(400, greatest(1, ceil(s / 60 * 30)::INT))) END AS floor,
- coalesce(list_sum(list_transform(regexp_extract_all(text, '\[[^\]\n]{1,40}\]|\([^)\n]{1,40}\)|♪+'), lambda x: length(x))), 0) AS marks FROM q)
-SELECT doc_id, words, floor, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' WHEN s IS NOT NULL AND s <= 0 THEN 'invalid_parameters' WHEN regexp_matches(substr(text, 1, 400), '(Traceback \(most recent call last\)|Segmentation fault|<!DOCTYPE html|<html)') THEN 'crash_output'
- WHEN regexp_matches(substr(text, 1, 4000), '(WEBVTT|<c>|\d{2}:\d{2}:\d{2}\.\d{3} -->)') THEN 'raw_captions' WHEN marks > 0.5 * length(text) THEN 'non_speech' WHEN words < floor THEN 'too_few_words'
+ length(text) * 4 - length(replace(text, '[Music]', '')) - length(replace(text, '[Applause]', '')) - length(replace(text, '[Laughter]', '')) - length(replace(text, '[музыка]', '')) AS marks FROM q)
+SELECT doc_id, words, floor, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'empty' WHEN s IS NOT NULL AND s <= 0 THEN 'invalid_parameters' WHEN regexp_matches(substr(text, 1, 400), '(Traceback \(most recent call last\)|AttributeError:|NameError:|ModuleNotFoundError:|ImportError:)') THEN 'crash_output'
+ WHEN regexp_matches(substr(text, 1, 4000), '<(\d{2}:)?\d{2}:\d{2}\.\d{3}>|</?c(\.[^>]*)?>') THEN 'raw_captions' WHEN marks > 0.5 * length(text) THEN 'non_speech' WHEN words < floor THEN 'too_few_words'
  WHEN s IS NOT NULL AND words / (s / 60) < 30 THEN 'too_slow' ELSE 'ok' END AS verdict FROM r"""
 
 
@@ -46,12 +46,15 @@ def titles(spark, sf):
 
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
-_W = "list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda x: NOT list_contains([" + _STOP + "], x) AND length(x) > 1)"
-_TITLES = f"""WITH r AS (SELECT p_partkey, p_name AS expected, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN regexp_replace(p_name, '^(\\S+) ', '') || ': ' || p_type ELSE p_type END AS observed FROM part),
-w AS (SELECT *, {_W.format('expected')} AS e, {_W.format('observed')} AS o, {_W.format("regexp_extract(expected, '^(.*?)(?::| - | — )', 1)")} AS b FROM r),
-x AS (SELECT *, ' ' || array_to_string(e, ' ') || ' ' AS se, ' ' || array_to_string(o, ' ') || ' ' AS so, array_to_string(e, '') AS te, array_to_string(o, '') AS t, len(list_distinct(e)) AS n FROM w)
-SELECT p_partkey, array_to_string(e, ' ') AS words, CASE WHEN len(e) > 0 AND len(o) > 0 THEN contains(so, se) OR contains(se, so) OR (length(te) >= 8 AND contains(t, te)) OR (length(t) >= 8 AND contains(te, t))
- OR len(list_intersect(list_distinct(e), o)) >= CASE WHEN n = 1 THEN 1 ELSE greatest(2, (n + 1) // 2) END OR ((len(b) > 2 OR (len(b) = 2 AND len(list_filter(b, lambda y: length(y) >= 8)) > 0)) AND contains(so, ' ' || array_to_string(b, ' ') || ' ')) END AS agree FROM x"""
+_ALL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_W = "list_filter(" + _ALL + ", lambda x: NOT list_contains([" + _STOP + "], x) AND length(x) > 1)"
+_LEAD = rf"regexp_extract(expected, '{tx.SUBTITLE}', 1)"
+_TITLES = rf"""WITH r AS (SELECT p_partkey, p_name AS expected, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN regexp_replace(p_name, '^(\S+) ', '') || ': ' || p_type ELSE p_type END AS observed FROM part),
+w AS (SELECT *, {_ALL.format('expected')} AS fe, {_ALL.format('observed')} AS fo, {_W.format('expected')} AS e, {_W.format('observed')} AS o, {_W.format(_LEAD)} AS b FROM r),
+x AS (SELECT *, array_to_string(fe, '') AS te, len(list_distinct(e)) AS n FROM w)
+SELECT p_partkey, array_to_string(e, ' ') AS words, (len(fe) > 0 AND contains(' ' || array_to_string(fo, ' ') || ' ', ' ' || array_to_string(fe, ' ') || ' ')) OR (length(te) >= 8 AND contains(array_to_string(fo, ''), te))
+ OR (n > 0 AND len(list_intersect(list_distinct(e), o)) >= CASE WHEN n = 1 THEN 1 ELSE greatest(2, (n + 1) // 2) END)
+ OR ((len(b) > 2 OR (len(b) = 2 AND len(list_filter(b, lambda y: length(y) >= 8)) > 0)) AND contains(' ' || array_to_string(o, ' ') || ' ', ' ' || array_to_string(b, ' ') || ' ')) AS agree FROM x"""
 
 
 def verdicts(spark, sf):

@@ -55,7 +55,7 @@ def test_citations(spark):
 def test_dispositions(spark):
     rows = spark.createDataFrame([("matched", "a", "a"), ("matched", "a", "b"), ("ambiguous", None, "b"), ("unmatched", None, "b"), ("matched", "a", None)], "v string, s string, t string")
     assert [r[0] for r in rows.select(ev.disposition(F.col("v"), F.col("s"), F.col("t"))).collect()] == ["confirmed", "contradicted", "review", "unproven", "unbound"]
-    signals = spark.range(1).select(ev.non_delivery(F.lit(False), F.lit(0.9), F.lit(60)).alias("a"), ev.non_delivery(F.lit(True), F.lit(0.5), F.lit(60)).alias("b"), ev.score_resolution(F.lit(1.0), F.lit("1.00")).alias("c"), ev.capabilities(x=F.lit(True), y=F.lit(False), z=F.lit(True)).alias("d")).first()
+    signals = spark.range(1).select(ev.non_delivery(F.lit(True), F.lit(True), F.lit(None), F.lit(1000), F.lit(False)).alias("a"), ev.non_delivery(F.lit(True), F.lit(None).cast("boolean"), F.lit(600), F.lit(60), F.lit(False)).alias("b"), ev.score_resolution(F.lit(1.0), F.lit("1.00")).alias("c"), ev.capabilities(x=F.lit(True), y=F.lit(False), z=F.lit(True)).alias("d")).first()
     assert (signals.a, signals.b, signals.c, signals.d) == ([], ["clip_marker", "short_ratio", "under_two_minutes"], "agrees", ["x", "z"])
     goals = spark.createDataFrame([("f", 1, "i"), ("g", 1, "i"), (None, 1, "i")], "fingerprint string, version int, identity string")
     assert [r.comparability for r in ev.goal_comparability(goals, {"fingerprint": "f", "version": 1, "identity": "i"}).collect()] == ["comparable", "not_comparable", "legacy_unknown"]

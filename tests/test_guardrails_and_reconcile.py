@@ -13,17 +13,17 @@ from tallyforge.operators import guardrails as gr, reconcile as rc
 def test_prose_rules(spark):
     row = spark.range(1).select(
         gr.unsourced_claim(F.lit("grew 40% last year")).alias("a"), gr.unsourced_claim(F.lit("grew 40% (source: X)")).alias("b"), gr.words_found(F.lit("Damn, a dam."), ["dam", "damn", "hell"]).alias("c"),
-        gr.branding(F.lit("@me | conf"), ["@ME", "site.org"]).alias("d"), gr.closing_status(F.lit("Thank you")).alias("e"), gr.sentences(F.lit("One. Two! Three?")).alias("f"), gr.prose_status(F.lit(0), F.lit(2)).alias("g"),
+        gr.branding(F.lit("@me | conf"), ["@ME", "site.org"]).alias("d"), gr.closing_missing(F.lit("Recap. Next step: thank you, see a.dev/")).alias("e"), gr.sentences(F.lit("One. Two! Three?")).alias("f"), gr.prose_status(F.lit(0), F.lit(2)).alias("g"),
         gr.comparison_valid(F.lit("One."), F.lit(9), F.lit(1.0), F.lit(2.0)).alias("h"), gr.stale(F.lit(dt.date(2024, 1, 1)), F.lit(dt.date(2024, 3, 31))).alias("i"), gr.stale(F.lit(dt.date(2024, 1, 1)), F.lit(dt.date(2024, 4, 1))).alias("j"),
         gr.recommended(F.lit("Nano-Banana-2")).alias("k"), gr.recommended(F.lit("other")).alias("l"),
     ).first()
-    assert tuple(row) == (True, False, ["dam", "damn"], ["site.org"], "PASS", 3, "WARN", ["too_few_compared", "score_differs", "sentence_count"], False, True, "gemini", None)
+    assert tuple(row) == (True, False, ["dam", "damn"], ["site.org"], [], 3, "WARN", ["too_few_compared", "score_differs", "sentence_count"], False, True, "gemini", None)
 
 
 def test_names(spark):
-    names = spark.createDataFrame([("~$a.pptx",), ("Static (1).pptx",), ("talk (2).pptx",), ("my backup.pptx",), ("talk.pptx",)], "n string")
+    names = spark.createDataFrame([("~$a.pptx",), ("Static (1).pptx",), ("talk (2).pptx",), ("my backup.pptx",), ("masterclass.pptx",)], "n string")
     assert [r[0] for r in names.select(gr.skip_reason(F.col("n"), ["BACKUP"])).collect()] == ["lock", "static", "conflict_copy", "pattern", None]
-    assert [r[0] for r in names.select(gr.artifact_role(F.col("n"))).collect()] == ["delivery", "delivery", "delivery", "backup", "delivery"]
+    assert [r[0] for r in names.select(gr.artifact_role(F.col("n"))).collect()] == ["delivery", "static_export", "delivery", "backup", "delivery"]
 
 
 def test_operations(spark):
