@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, frugal, materialize, small_batches
+from .common import drop_table, frugal, materialize, small_batches
 
 
 def longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -71,47 +73,182 @@ def blocks(aligned: list[tuple[int, int]], words: dict[int, int], least: int) ->
     return out
 
 
+#: A line of a packed document: hash, words, number of the line in the text.
+_LINE = np.dtype([("hash", "V16"), ("words", "<i4"), ("line", "<i4")])
+_GAP = bytes(16)
+
+
+def packed(text: bytes) -> np.ndarray:
+    """The lines of a text that are not empty, without white space at their ends."""
+    lines = [(n, said) for n, x in enumerate(text.split(b"\n")) if (said := x.strip(b" \t\r\f\x0b"))]
+    return np.array([(xxhash.xxh3_128_digest(said), len(said.split()), n) for n, said in lines], dtype=_LINE)
+
+
+def runs(lines: np.ndarray, least: int) -> dict[bytes, list[tuple[int, int]]]:
+    """Places (first, last line) of the shortest runs of at least `least` words, by the hash of their lines.
+
+    The shortest ones that begin and that end at each line, and where empty lines stand before it also the shortest one
+    that reaches over them. Any block of `least` words is covered by such runs inside it, with the empty lines in it.
+    Single lines of fewer words are there without places.
+    """
+    hashes, words, number = lines["hash"].tolist(), lines["words"].tolist(), lines["line"].tolist()
+    n, found = len(words), set()
+    sums = [0, *np.cumsum(lines["words"]).tolist()]
+    j = 0
+    for i in range(n):  # begins at i
+        while j < n and sums[j] - sums[i] < least:
+            j += 1
+        if sums[j] - sums[i] < least:
+            break
+        found.add((i, j - 1))
+    i = 0
+    for j in range(n):  # ends at j
+        while i < j and sums[j + 1] - sums[i + 1] >= least:
+            i += 1
+        if sums[j + 1] - sums[i] >= least:
+            found.add((i, j))
+            if i == j and j and number[j] > number[j - 1] + 1:
+                found.add((j - 1, j))
+    out: dict[bytes, list[tuple[int, int]]] = {key: [] for key in hashes}
+    for i, j in sorted(found):
+        key = hashes[i] if i == j else xxhash.xxh3_128_digest(b"".join(hashes[i : j + 1]))
+        out.setdefault(key, []).append((number[i], number[j]))
+    return out
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8, min_words: int = 5) -> DataFrame:
     """Ranges of lines to delete: (id, text_hash, ranges array<struct<first, last>>), line numbers from 0.
 
-    A line that at most `rare` documents hold leads from each of them to every earlier one; a line of more leads each to
-    the first that holds it, so that the lines of thousands of copies cost one pair a document and none is left out.
+    Each pair of a document and an earlier one is aligned on all lines that both hold, and all pairs count that can delete
+    anything. Of equal texts, the one with the smallest id stands for all; the others go whole. A line, or run of lines of
+    `min_words` words, that at most `rare` texts hold leads from each to every earlier one. A run of more leads each to
+    the first that holds it, which deletes it nearly always. Where it is left, as it stands in another order there or more
+    often here, all earlier ones are tried: those that share no rare line with the document meet it in frequent lines
+    alone, so texts are classes by their outline, the frequent lines with what stands between as gaps, and each pair
+    of outlines is aligned once.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
     text = F.col(text_col)
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(" \t\r\f\x0b")).alias("said"))), lambda x: x["said"] != "")
-    rows = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(lines).alias("place", "at"))
-    said = F.col("at.said")
-    rows = rows.select("id", "text_hash", F.xxhash64(said).alias("h1"), F.xxhash64(F.lit(1), said).alias("h2"), F.regexp_count(said, F.lit(WORD)).alias("words"), "place", F.col("at.line").alias("line"))
-    # one row for each line of a document, however often it stands there
-    held = rows.groupBy("h1", "h2", "id", "text_hash").agg(F.first("words").alias("words"), F.sort_array(F.collect_list(F.struct("place", "line"))).alias("at"))
-    held = materialize(held, "lines")
-    known = held.groupBy("h1", "h2").agg(F.countDistinct("id").alias("n"), F.min(F.struct("id", "text_hash")).alias("first"), F.min_by("at", F.struct("id", "text_hash")).alias("first_at")).where("n > 1")
-    shared = materialize(held.join(known, ["h1", "h2"]), "lines-shared")
-    e_id, e_hash, e_at = F.col("first.id").alias("e_id"), F.col("first.text_hash").alias("e_hash"), F.col("first_at").alias("e_at")
-    often = shared.where((F.col("n") > rare) & (F.col("id") > F.col("first.id"))).select("h1", "id", "text_hash", "words", "at", e_id, e_hash, e_at)
-    few = shared.where(F.col("n") <= rare)
-    left = few.select("h1", "h2", "id", "text_hash", "words", "at")
-    right = few.select("h1", "h2", F.col("id").alias("e_id"), F.col("text_hash").alias("e_hash"), F.col("at").alias("e_at"))
-    pairs = left.join(right, ["h1", "h2"]).where("id > e_id").select(often.columns).unionByName(often)
-    met = pairs.groupBy("id", "text_hash", "e_id", "e_hash").agg(F.collect_list(F.struct("h1", "words", "at", "e_at")).alias("lines"))
+    rows = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    ranges = "array<struct<first:int,last:int>>"
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+
+    def pack(batches):
+        for batch in batches:
+            texts = [x.as_py() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([xxhash.xxh3_128_digest(x) for x in texts], pa.binary()), pa.array([packed(x).tobytes() for x in texts], pa.binary())], names=["id", "text_hash", "whole", "lines"])
+
+    held = materialize(rows.mapInArrow(frugal(pack), f"id {id_type}, text_hash long, whole binary, lines binary"), "lines", compression="zstd")
+    firsts = materialize(held.groupBy("whole").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.first("lines").alias("lines")).select("whole", "first.*", "lines"), "lines-first", compression="zstd")
+
+    def span(batches):
+        """Copies: all from the first to the last line, if long enough for a block."""
+        for batch in batches:
+            found = [np.frombuffer(x.as_buffer(), dtype=_LINE) for x in batch.column(2)]
+            found = [[{"first": int(x["line"][0]), "last": int(x["line"][-1])}] if x["words"].sum() >= min_words else [] for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], names=["id", "text_hash", "ranges"])
+
+    copies = held.join(firsts.select("whole", F.col("id").alias("e_id")), "whole").where("id > e_id").select("id", "text_hash", "lines")
+    copies = copies.mapInArrow(frugal(span), f"id {id_type}, text_hash long, ranges {ranges}")
+
+    def split(batches):
+        for batch in batches:
+            out = [(i, t, k, at) for i, t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)) for k, at in runs(np.frombuffer(x.as_buffer(), dtype=_LINE), min_words).items()]
+            if out:
+                i, t, k, at = zip(*out)
+                at = [[{"first": a, "last": b} for a, b in x] for x in at]
+                yield pa.RecordBatch.from_arrays([pa.array(i, batch.column(0).type), pa.array(t, pa.int64()), pa.array(k, pa.binary()), pa.array(at, kind)], names=["id", "text_hash", "run", "at"])
+
+    all_runs = firsts.select("id", "text_hash", "lines").mapInArrow(frugal(split), f"id {id_type}, text_hash long, run binary, at {ranges}")
+    all_runs = materialize(all_runs, "runs", compression="zstd")
+    known = all_runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "text_hash")).alias("first")).where("n > 1")
+    shared = materialize(all_runs.join(known, "run"), "runs-shared", compression="zstd")
+    drop_table(all_runs)
+    often = shared.where((F.col("n") > rare) & (F.col("id") > F.col("first.id")) & (F.size("at") > 0))
+    few = shared.where(F.col("n") <= rare).select("run", "id", "text_hash")
+    earlier = shared.select("run", F.col("id").alias("e_id"), F.col("text_hash").alias("e_hash"))
+    pair = ["id", "text_hash", "e_id", "e_hash"]
+    to_first = often.select("id", "text_hash", F.col("first.id").alias("e_id"), F.col("first.text_hash").alias("e_hash"))
+    pairs = few.join(earlier, "run").where("id > e_id").select(pair).unionByName(to_first).distinct()
 
     def align(batches):
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        known: dict[tuple, tuple[list[bytes], set[bytes]]] = {}
+
+        def lines(name, data):
+            if name not in known:
+                if len(known) >= 256:
+                    known.clear()
+                hashes = np.frombuffer(data.as_buffer(), dtype=_LINE)["hash"].tolist()
+                known[name] = hashes, set(hashes)
+            return known[name]
+
         for batch in batches:
+            names = [batch.column(k).to_pylist() for k in range(4)]
             found = []
-            for lines in batch.column(2).to_pylist():
-                later = {p["place"]: i for i, x in enumerate(lines) for p in x["at"]}
-                earlier = {p["place"]: i for i, x in enumerate(lines) for p in x["e_at"]}
-                number = {p["place"]: p["line"] for x in lines for p in x["at"]}
-                words = {p["place"]: x["words"] for x in lines for p in x["at"]}
-                runs = blocks(patience(later, earlier, max(later) + 1, max(earlier) + 1), words, min_words)
-                found.append([{"first": number[a], "last": number[b]} for a, b in runs])
+            for i, t, e, f, mine, other in zip(*names, batch.column(4), batch.column(5)):
+                (a, a_set), (b, b_set) = lines((i, t), mine), lines((e, f), other)
+                both = (a_set & b_set) - {_GAP}
+                later, before = ({p: x for p, x in enumerate(y) if x in both} for y in (a, b))
+                x = np.frombuffer(mine.as_buffer(), dtype=_LINE)
+                words, number = x["words"].tolist(), x["line"].tolist()
+                found.append([{"first": number[p], "last": number[q]} for p, q in blocks(patience(later, before, len(a), len(b)), words, min_words)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], names=["id", "text_hash", "ranges"])
 
-    id_type = met.schema["id"].dataType.simpleString()
-    small_batches(docs.sparkSession)
-    found = met.select("id", "text_hash", "lines").mapInArrow(frugal(align), f"id {id_type}, text_hash long, ranges array<struct<first:int,last:int>>")
-    return found.where(F.size("ranges") > 0).groupBy("id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"))
+    def aligned(pairs: DataFrame) -> DataFrame:
+        other = firsts.select(F.col("id").alias("e_id"), F.col("text_hash").alias("e_hash"), F.col("lines").alias("e_lines"))
+        met = pairs.join(firsts.drop("whole"), ["id", "text_hash"]).join(other, ["e_id", "e_hash"]).select(*pair, "lines", "e_lines")
+        found = met.mapInArrow(frugal(align), f"id {id_type}, text_hash long, ranges {ranges}")
+        return together(found)
+
+    def together(found: DataFrame) -> DataFrame:
+        return found.where(F.size("ranges") > 0).groupBy("id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"))
+
+    once = materialize(aligned(pairs), "ranges")
+    gone = lambda x: F.exists(F.coalesce("ranges", F.array().cast(ranges)), lambda r: (r["first"] <= x["first"]) & (x["last"] <= r["last"]))
+    left = often.join(once, ["id", "text_hash"], "left").where(F.exists("at", lambda x: ~gone(x))).select("run", "id", "text_hash")
+    left = materialize(left, "runs-left", compression="zstd")
+
+    def outline(batches):
+        for batch in batches:
+            key, lines, number = [], [], []
+            for data, own in zip(batch.column(2), batch.column(3).to_pylist()):
+                x, own = np.frombuffer(data.as_buffer(), dtype=_LINE), set(own)
+                stays = np.array([h in own for h in x["hash"].tolist()])
+                x = x[stays | np.concatenate(([True], stays[:-1]))].copy()  # one line of each gap
+                x["hash"][[h not in own for h in x["hash"].tolist()]] = _GAP
+                number.append(x["line"].tolist())
+                key.append(xxhash.xxh3_128_digest(x["hash"].tobytes()))
+                x["line"] = np.arange(len(x))
+                lines.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.binary()), pa.array(lines, pa.binary()), pa.array(number, pa.list_(pa.int32()))], names=["id", "text_hash", "outline", "lines", "number"])
+
+    asked = shared.join(left.select("run").distinct(), "run", "left_semi").select("run", "id", "text_hash")
+    # a line's run is its own hash, so the frequent lines of a text are among its shared runs
+    frequent = shared.where(F.col("n") > rare).join(asked.select("id", "text_hash").distinct(), ["id", "text_hash"], "left_semi").groupBy("id", "text_hash").agg(F.collect_list("run").alias("own"))
+    outlines = firsts.drop("whole").join(frequent, ["id", "text_hash"]).select("id", "text_hash", "lines", "own")
+    outlines = materialize(outlines.mapInArrow(frugal(outline), f"id {id_type}, text_hash long, outline binary, lines binary, number array<int>"), "outlines", compression="zstd")
+    of = outlines.select("id", "text_hash", "outline")
+    here = left.join(of, ["id", "text_hash"]).groupBy("run", "outline").agg(F.max("id").alias("last_id"))
+    there = asked.join(of, ["id", "text_hash"]).select("run", F.col("outline").alias("e_outline")).distinct()
+    one = outlines.groupBy("outline").agg(F.min("id").alias("e_id"), F.min("lines").alias("lines"))
+    one = materialize(one, "outlines-once", compression="zstd")
+    there = there.join(one.select(F.col("outline").alias("e_outline"), "e_id"), "e_outline")
+    pairs = here.join(there, "run").where("last_id > e_id").select("outline", "e_outline", "e_id").distinct()
+    met = pairs.join(one.select("outline", "lines"), "outline").join(one.select(F.col("outline").alias("e_outline"), F.col("lines").alias("e_lines")), "e_outline")
+
+    def align_outlines(batches):
+        for batch in batches:
+            names = [batch.column(0), pa.nulls(batch.num_rows, pa.int64()), batch.column(1), pa.nulls(batch.num_rows, pa.int64()), batch.column(3), batch.column(4)]
+            for found in align([pa.RecordBatch.from_arrays(names, names=[*pair, "lines", "e_lines"])]):
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), found.column(2)], names=["outline", "e_id", "ranges"])
+
+    met = met.select("outline", "e_outline", "e_id", "lines", "e_lines").mapInArrow(frugal(align_outlines), f"outline binary, e_id {id_type}, ranges {ranges}")
+    met = met.select("outline", "e_id", F.explode("ranges").alias("at")).groupBy("outline", "at").agg(F.min("e_id").alias("e_id"))
+    number = lambda k: F.get("number", F.col(f"at.{k}")).alias(k)
+    more = outlines.join(met, "outline").where("id > e_id").select("id", "text_hash", F.array(F.struct(number("first"), number("last"))).alias("ranges"))
+    return together(copies.unionByName(once).unionByName(more))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8, min_words: int = 5) -> DataFrame:

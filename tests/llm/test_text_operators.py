@@ -261,6 +261,36 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def every_pair(docs, least=5):
+    """Lines that go, by aligning each document with every earlier one on all lines that both hold."""
+    clean = [(i, [(n, y) for n, x in enumerate(t.split("\n")) if (y := x.strip(" \t\r\f\x0b"))]) for i, t in docs]
+    gone = {i: set() for i, _ in docs}
+    for i, a in clean:
+        for e, b in clean:
+            both = {x for _, x in a} & {x for _, x in b}
+            if e < i and both:
+                later, earlier = ({p: x for p, (_, x) in enumerate(y) if x in both} for y in (a, b))
+                words = {p: len(WORD.findall(x)) for p, (_, x) in enumerate(a)}
+                for p, q in line_dedup.blocks(line_dedup.patience(later, earlier, len(a), len(b)), words, least):
+                    gone[i].update(range(a[p][0], a[q][0] + 1))
+    return gone
+
+
+def test_line_dedup_equals_every_pair(spark):
+    rng = np.random.default_rng(8)
+    common = ["by the river", "under stones", "a paper moon", "seven birds fly over green hills", "fire", "", "never across the hills again tomorrow"]
+    split = [(0, "under stones")] + [(i, f"own line number {i}\nby the river\nunder stones\na paper moon\nend of {i}") for i in range(1, 15)]
+    order = [(20, "x y z u v\np q r s t")] + [(i, f"p q r s t\nx y z u v\nonly {i} is here") for i in range(21, 35)]
+    twice = [(i, "\n".join(["l m n o p"] * (1 + (i % 3)) + [f"tail {i}"])) for i in range(40, 54)]
+    mixed = [(i, "\n".join(common[k] for k in rng.integers(0, len(common), rng.integers(1, 9)))) for i in range(60, 120)]
+    data = split + order + twice + mixed
+    found = line_dedup.dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    gone = every_pair(data)
+    want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in data}
+    assert {r.doc_id: r.text for r in found} == want
+    assert "by the river" not in want[5]
+
+
 def test_patience_aligns_around_unique_lines():
     a, b = dict(enumerate("xabcyd")), dict(enumerate("abczxd"))
     assert line_dedup.patience(a, b, 6, 6) == [(1, 0), (2, 1), (3, 2), (5, 5)]
