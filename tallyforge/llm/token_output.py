@@ -128,6 +128,7 @@ class Encoder:
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.size = self.tokenizer.get_vocab_size()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # found in texts as they stand, with case
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.mark = np.array(self.tokenizer.encode(self.MARK, add_special_tokens=False).ids, dtype=self.kind)
 
@@ -155,9 +156,13 @@ class Encoder:
         all_chunks, all_found, lacking = [], [], []
         for text in texts:
             text = text or ""
+            chunks = None
             if text.isascii() or not _MARKS.search(text):  # nothing that combines: case can go first
-                text = text.lower()
-            chunks = text.replace("\n", " ").split(" ")
+                lowered = text.lower()
+                if any(t in lowered and lowered.count(t) != text.count(t) for t in self.added):  # an added token that only its case keeps apart
+                    chunks = [c if any(t in c.lower() for t in self.added) else c.lower() for c in text.replace("\n", " ").split(" ")]
+                text = lowered
+            chunks = chunks or text.replace("\n", " ").split(" ")
             found = list(map(get, chunks))
             lacks = [i for i, x in enumerate(found) if x is None] if None in found else ()
             all_chunks.append(chunks)

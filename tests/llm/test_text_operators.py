@@ -129,6 +129,16 @@ def test_token_files(spark):
     assert token_output.digests(docs.limit(0), path).count() == 0
 
 
+def test_added_tokens_keep_their_case():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["a <|EndOfText|> b", "A <|ENDOFTEXT|>\nx<|endoftext|>y <|StartOfText|>Z", "<|endoftext|> Plain"]
+    found = [np.frombuffer(x, "<u2").tolist() for x in token_output.Encoder(path)(texts)]
+    assert found == [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 @pytest.mark.parametrize("n,kinds", [(0, 1), (1, 1), (63, 2), (5000, 1), (70_000, 3000)])
 def test_rans_blocks(n, kinds):
     rng = np.random.default_rng(n)
