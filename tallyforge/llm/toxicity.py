@@ -102,15 +102,9 @@ class Model:
 
 
 def word_scores(text: str | None, table: Scores) -> np.ndarray:
-    """A score for each word of a text; a word's evidence counts where it first stands, as in training."""
+    """A score for each word of a text, wherever it stands; repeats are curbed in the training counts alone."""
     found = (text or "").split()
-    scores = np.fromiter(map(table.__getitem__, found), dtype=float, count=len(found))
-    seen: set[str] = set()
-    for i in np.flatnonzero(scores != -table.drift).tolist():
-        if found[i] in seen:
-            scores[i] = -table.drift
-        seen.add(found[i])
-    return scores
+    return np.fromiter(map(table.__getitem__, found), dtype=float, count=len(found))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:

@@ -342,6 +342,13 @@ def test_toxicity(spark, sf_dir):
     assert toxicity.keep(documents(spark), model).columns == documents(spark).columns
 
 
+def test_repeated_passages_are_found():
+    model = toxicity.Model({"vile": 3.0, "scum": 3.0}, 0.5, 1.0, 0.01, (-2.0, 0.5, 1.0))
+    text = " ".join(["vile", *["calm"] * 30, "scum", *["calm"] * 30, *["vile", "scum"] * 6, *["calm"] * 60, *["vile", "scum"] * 6])
+    found = model.passages(toxicity.word_scores(text, toxicity.Scores(model.terms, model.drift)))
+    assert [(a, b) for a, b, *_ in found] == [(62, 74), (134, 146)]
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
