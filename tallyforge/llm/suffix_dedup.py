@@ -137,8 +137,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
        16 bytes each and packed, to the group of their trigger's hash.
     2. A group is the dictionary of its triggers: equal phrases are one entry, held by the smallest id; in all later
        documents the whole phrase is removed. Triggers with several entries need more: their bytes are asked for.
-    3. The parts spell out the entries asked for, and the groups put the entries' suffixes in order by their first `width`
-       bytes: each run of equal ones, with the parse's documents in corpus order, tells which windows begin earlier.
+    3. The parts spell out the entries asked for, and the groups bring the entries' windows of `width` bytes together by
+       hash, and by their bytes where a hash stands twice: the smallest document of equal ones tells which begin earlier.
+       This replaces the suffix arrays of dictionary and parse: only equality counts here, no order of all suffixes.
     4. The parts join their removals, and are cut.
     Equality of phrases rests on 128 bits of two hashes (104 that travel), of windows in step 3 on their bytes.
 
@@ -256,7 +257,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         return _table(out)
 
     def suffixes(table):
-        """Order of the entries' suffixes by their first `width` bytes, and the windows that begin in an earlier document."""
+        """The entries' windows that also begin in an earlier document, found by hash and then by bytes."""
         rows = table.to_pylist()
         x = _unpack(rows)
         data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r["text"]) for r in rows), dtype=np.uint8)
