@@ -185,36 +185,35 @@ class Vocabulary:
 
 
 class Segmenter:
-    """Encodes texts. Each place of a text has one of `variants` keys, so that a word is cut in as many ways at most.
+    """Encodes texts. Each place of a text has a key of its own: a hash of seed, document and number of the chunk.
 
-    The key of a place is a hash of seed, document and number of the chunk; the candidates of a chunk hash by seed, key
-    and the chunk itself. So a result depends on nothing but the document, its key and the seed, and can be kept for the
-    next place with the same chunk and key. What is kept is bounded, which doesn't change results.
+    So a result depends on nothing but the document, its key and the seed. Only what no dropout touches is kept for the
+    next place with the same chunk. What is kept is bounded, which doesn't change results.
     """
 
-    def __init__(self, path: str, seed: int, dropout: float, variants: int, most: int = 250_000):
+    def __init__(self, path: str, seed: int, dropout: float, most: int = 250_000):
         self.vocabulary = Vocabulary(path)
-        self.seed, self.dropout, self.variants, self.most = seed, int(dropout * (1 << 32)), variants if dropout else 1, most
-        self.tables = [_Kept() for _ in range(self.variants)]
+        self.seed, self.dropout, self.most = seed, int(dropout * (1 << 32)), most
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None], keys: list[str]) -> list[bytes]:
-        if sum(map(len, self.tables)) > self.most:
-            for t in self.tables:
-                t.clear()
-        tables, found = self.tables, []
-        for text, key in zip(texts, keys):
-            chunks = _CHUNK.findall(" " + text) if text else []
-            base = np.uint64(xxhash.xxh64_intdigest(key.encode(), seed=self.seed))
-            h = (np.arange(len(chunks), dtype=np.uint64) * np.uint64(_M1)) ^ base
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(_M3)
-            which = ((h >> np.uint64(40)) % np.uint64(self.variants)).tolist()
-            found.append((chunks, which, [tables[v][c] for v, c in zip(which, chunks)]))
-        for v, table in enumerate(tables):
-            if new := list(dict.fromkeys(table.asked)):
-                table.asked = []
-                seed = (self.seed * 1_000_003 + v) & _MASK
-                table.update(zip(new, self.vocabulary.segment_all(new, [xxhash.xxh64_intdigest(c.encode(), seed=seed) for c in new], self.dropout)))
-        return [b"".join([x or tables[v][c] for x, v, c in zip(got, which, chunks)] if b"" in got else got) for chunks, which, got in found]
+        found = [_CHUNK.findall(" " + text) if text else [] for text in texts]
+        chunks = [c for own in found for c in own]
+        if self.dropout:
+            parts = []
+            for own, key in zip(found, keys):
+                h = (np.arange(len(own), dtype=np.uint64) * np.uint64(_M1)) ^ np.uint64(xxhash.xxh64_intdigest(key.encode(), seed=self.seed))
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(_M3)
+                parts += (h ^ (h >> np.uint64(32))).tolist()
+            got = self.vocabulary.segment_all(chunks, parts, self.dropout)
+        else:
+            if len(self.known) > self.most:
+                self.known.clear()
+            new = list({c for c in chunks if c not in self.known})
+            self.known.update(zip(new, self.vocabulary.segment_all(new, [0] * len(new), 0)))
+            got = [self.known[c] for c in chunks]
+        ends = np.cumsum([len(own) for own in found]).tolist()
+        return [b"".join(got[a:b]) for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 bytes of the text: the pieces' bytes, without the space put before it."""
@@ -222,18 +221,6 @@ class Segmenter:
         return b"".join(map(data.__getitem__, np.frombuffer(ids, dtype=self.vocabulary.kind).tolist()))[1:]
 
 
-class _Kept(dict):
-    """Ids of chunks; notes the chunks that it was asked for and lacks."""
-
-    def __init__(self):
-        super().__init__()
-        self.asked: list[str] = []
-
-    def __missing__(self, chunk: str) -> bytes:
-        self.asked.append(chunk)
-        return b""
-
-
 _SEGMENTERS: dict[tuple, Segmenter] = {}
 
 
@@ -244,7 +231,7 @@ def segmenter(*args) -> Segmenter:
     return _SEGMENTERS[args]
 
 
-def encode(docs: DataFrame, model: str, seed: int = 42, dropout: float = 0.1, variants: int = 4, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model: str, seed: int = 42, dropout: float = 0.1, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """(doc_id, ids, n_tokens, ids_crc32, text_bytes, text_crc32, lossless) of each row, without a shuffle.
 
     The ids (array<int>; left out with keep=False) are decoded again at once: text_bytes and text_crc32 describe the decoded text and lossless
@@ -254,7 +241,7 @@ def encode(docs: DataFrame, model: str, seed: int = 42, dropout: float = 0.1, va
     """
 
     def each(batches):
-        run = segmenter(model, seed, dropout, variants)
+        run = segmenter(model, seed, dropout)
         for batch in batches:
             for part in pieces(batch):
                 out = {"ids": [], "n_tokens": [], "ids_crc32": [], "text_bytes": [], "text_crc32": [], "lossless": []}
@@ -285,7 +272,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """encoded with its ids decoded to a column `text`; null ids give null."""
 
     def each(batches):
-        run = segmenter(model, 0, 0.0, 1)
+        run = segmenter(model, 0, 0.0)
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
             texts = [None if x.as_py() is None else run.decode(np.array(x.as_py(), dtype=run.vocabulary.kind).tobytes()).decode() for x in batch.column(at)]

@@ -195,6 +195,12 @@ def test_dropout_depends_on_seed_and_document_alone():
     assert a.vocabulary.segment_all(chunks, keys, a.dropout) == [np.array(a.vocabulary.segment(x, k, a.dropout), "<u2").tobytes() for x, k in zip(chunks, keys)]
 
 
+def test_every_place_has_its_own_dropout():
+    run = spd.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 1, 0.3)
+    cuts = run.encode(["tomorrow"] * 300, [f"d{i}" for i in range(300)])
+    assert len(set(cuts)) > 8 and {run.decode(x) for x in cuts} == {b"tomorrow"}
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
