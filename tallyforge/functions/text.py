@@ -24,9 +24,19 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+#: Typographic marks and the plain ones they are compared as.
+SMART, PLAIN = "‘’“”–—\u00a0", "''\"\"-- "
+_MARKS = str.maketrans(SMART, PLAIN)
+
+
+def plain_form(text: str) -> str:
+    """for_match() of one text."""
+    return " ".join(unicodedata.normalize("NFKC", text).translate(_MARKS).split()).casefold()
+
+
 @F.pandas_udf(StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
+    return x.map(lambda s: None if s is None else plain_form(s))
 
 
 @F.pandas_udf(StringType())
@@ -37,10 +47,15 @@ def _unmarked(x: pd.Series) -> pd.Series:
     return x.map(bare)
 
 
-def for_match(text: Column, unicode: bool = False) -> Column:
-    """Text as it is compared: plain quotes and dashes, one space, no case. unicode adds NFKC and full case folding."""
-    plain = F.translate(text, "‘’“”–—‐‑ ", "''\"\"---- ")
-    return collapse(_nfkc(plain) if unicode else F.lower(plain))
+def _beyond_ascii(text: Column) -> Column:
+    """The text where it has a character beyond ASCII; others need no Unicode form, so Python gets a null for them."""
+    return F.when(F.octet_length(text) != F.length(text), text)
+
+
+def for_match(text: Column) -> Column:
+    """Text as it is compared: compatibility forms, plain quotes and dashes, one space, no case."""
+    plain = F.btrim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.when(F.octet_length(text) == F.length(text), plain).otherwise(_nfkc(_beyond_ascii(text)))
 
 
 def slug(text: Column) -> Column:
@@ -48,9 +63,9 @@ def slug(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\w]+", "-"), "_+", "-"), F.lit("-"))
 
 
-def alias(text: Column, unicode: bool = False) -> Column:
-    """Runs of a-z and 0-9 joined by hyphens; unicode strips marks first."""
-    return F.array_join(F.regexp_extract_all(_unmarked(text) if unicode else F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), "-")
+def alias(text: Column) -> Column:
+    """Runs of a-z and 0-9 without marks joined by hyphens."""
+    return F.array_join(F.regexp_extract_all(F.coalesce(_unmarked(_beyond_ascii(text)), F.lower(text)), F.lit("[a-z0-9]+"), F.lit(0)), "-")
 
 
 #: A word of a title: letters and digits of any script.

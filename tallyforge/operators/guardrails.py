@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Numeric claims, signs of a source, the signs of a full closing, words of the register rule, and the words
 #: of a path that name an artifact's role, in order of precedence.
-CLAIM = r"(?i)(\d{1,3}\s*%|\$\s*\d|\d{4,}\b|\b\d+(\.\d+)?\s*(k|m|b)\b|\b\d+(\.\d+)?\s+(million|billion|thousand|trillion)\b)"
-SOURCE_MARKS = r"(?i)(\bsource\b|\bcitation\b|\bref\b|\bvia\b|\(20\d{2}\)|\bsurvey\b|\bstudy\b|\baccording to\b|https?://)"
+CLAIM = r"\d{1,3}\s*%|\$\s*\d|\d{4,}\b|\b\d+(?:\.\d+)?\s*(?:k|m|b)\b|\b\d+(?:\.\d+)?\s+(?:million|billion|thousand|trillion)\b"
+SOURCE_MARKS = r"\bsource\b|\bcitation\b|\bref\b|\bvia\b|\(20\d{2}\)|\bsurvey\b|\bstudy\b|\baccording to\b|https?://"
 CLOSING_SUMMARY = ("summary", "takeaway", "recap", "cheat sheet")
 CLOSING_ACTION = ("call to action", "cta", "action item", "this week", "doer", "monday", "next step")
 CLOSING_SOCIAL = ("shownotes", "social", "qr", "@")
@@ -17,14 +17,18 @@ REGISTER_WORDS = ("damn", "hell", "shit", "fuck", "fucking", "ass", "crap", "bul
 ROLES = {"backup": ("backup", "backups", "bak", "archive", "archived", "old"), "master": ("master", "masters", "template", "templates", "source"), "static_export": ("static", "export", "exports", "exported")}
 
 
+#: No case; borders, digits and spaces of any script.
+ANY_SCRIPT = "(?iU)"
+
+
 def unsourced_claim(text: Column) -> Column:
     """A percentage, multiple or sum of money without a sign of its source."""
-    return F.coalesce(text.rlike(CLAIM) & ~text.rlike(SOURCE_MARKS), F.lit(False))
+    return F.coalesce(text.rlike(ANY_SCRIPT + CLAIM) & ~text.rlike(ANY_SCRIPT + SOURCE_MARKS), F.lit(False))
 
 
 def words_found(text: Column, words: list[str]) -> Column:
     """Of a list of words those that stand whole in a text, whatever their case, in the list's order."""
-    return F.filter(F.array(*map(F.lit, words)), lambda w: F.coalesce(F.regexp_like(text, F.concat(F.lit(r"(?i)\b"), w, F.lit(r"\b"))), F.lit(False)))
+    return F.filter(F.array(*map(F.lit, words)), lambda w: F.coalesce(F.regexp_like(text, F.concat(F.lit(ANY_SCRIPT + r"\b"), w, F.lit(r"\b"))), F.lit(False)))
 
 
 def branding(text: Column, elements: list[str]) -> Column:

@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 
-def keep_apart(rows: DataFrame, key: str, order: str, value: str, threshold: float) -> DataFrame:
+def keep_apart(rows: DataFrame, key: str, order: list[str], value: str, threshold: float) -> DataFrame:
     """Rows of each key that differ by over threshold from the last row kept; the first is kept.
 
-    The fold carries the last kept value, which no lag can; it runs over one array a key, in order.
+    No lag can carry the last kept value. Each partition is sorted by key and order, with spilling, and one pass over it
+    carries the value along, so memory does not grow with the rows of a key. Rows with a null value are left out.
     """
-    def step(kept, x):
-        far = (F.size(kept) == 0) | (F.abs(x[value] - F.element_at(kept, -1)[value]) > threshold)
-        return F.when(far, F.array_append(kept, x)).otherwise(kept)
+    import pyarrow as pa
 
-    each = F.sort_array(F.collect_list(F.struct(order, value)))
-    kind = f"array<struct<{order}:{rows.schema[order].dataType.simpleString()},{value}:{rows.schema[value].dataType.simpleString()}>>"
-    return rows.groupBy(key).agg(each.alias("all")).select(key, F.inline(F.aggregate("all", F.array().cast(kind), step)))
+    def fold(batches):
+        now, held = object(), None
+        for batch in batches:
+            keep = []
+            for k, v in zip(batch.column(key).to_pylist(), batch.column(value).to_pylist()):
+                if k != now or abs(v - held) > threshold:
+                    now, held = k, v
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.where(F.col(value).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInArrow(fold, rows.schema)
 
 
 def changed(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -33,12 +42,13 @@ def offsets(rows: DataFrame, key: str, order: str, length: Column, gap: int = 1,
 
 
 def islands(ranges: DataFrame, key: str, start: str, end: str, touch: float = 1) -> DataFrame:
-    """Unions of a key's ranges; ranges at most `touch` apart are one."""
-    w = W.partitionBy(key).orderBy(start, end)
+    """Unions of a key's ranges; ranges at most `touch` apart are one. Ranges with one start count as the longest of them."""
+    ranges = ranges.groupBy(key, start).agg(F.max(end).alias(end), F.count(F.lit(1)).alias("_n"))  # no ties in the order
+    w = W.partitionBy(key).orderBy(start)
     reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
     marked = ranges.withColumn("_new", (reach.isNull() | (F.col(start) > reach + touch)).cast("int"))
     numbered = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("ranges")).drop("_island")
+    return numbered.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("_n").alias("ranges")).drop("_island")
 
 
 def complete(ranges: DataFrame, key: str, start: str, end: str, lowest: Column, highest: Column, touch: float = 1) -> DataFrame:

@@ -12,7 +12,7 @@ from tallyforge.sources.tables import table
 
 def derived(spark, sf):
     """Outcomes of documents: sources by language, gates over them, detections by length."""
-    docs = table(spark, sf, "documents").where("n_chars > 500")
+    docs = table(spark, sf, "documents")
     available = F.array_compact(F.array(F.lit("text"), F.when(F.col("lang") == "en", "audio"), F.when(F.col("doc_id") % 2 == 0, "slides"), F.when(F.col("doc_id") % 3 == 0, ev.COMPARISON)))
     entities = docs.select(F.col("doc_id").alias("entity"), available.alias("available"), F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("assessed"))).otherwise(F.array().cast("array<string>")).alias("not_applicable"))
     catalog = spark.createDataFrame([("plain", None, [["text"]], "x"), ("spoken", [["audio"]], [["text"]], "x"), ("both", None, [["audio", "slides"]], "x"), ("assessed", None, [["text"]], "x"), ("open", None, None, None), ("positive", None, None, "x")], "entry string, applicability_gate array<array<string>>, absence_gate array<array<string>>, evaluable_from string")
@@ -20,7 +20,7 @@ def derived(spark, sf):
     return ev.derive(entities, catalog, hits)
 
 
-_DERIVED = """WITH d AS (SELECT doc_id AS entity, lang, n_chars, doc_id % 2 = 0 AS slides, doc_id % 3 = 0 AS compared FROM documents WHERE n_chars > 500), c AS (SELECT unnest(['plain', 'spoken', 'both', 'assessed', 'open', 'positive']) AS entry),
+_DERIVED = """WITH d AS (SELECT doc_id AS entity, lang, n_chars, doc_id % 2 = 0 AS slides, doc_id % 3 = 0 AS compared FROM documents), c AS (SELECT unnest(['plain', 'spoken', 'both', 'assessed', 'open', 'positive']) AS entry),
 x AS (SELECT *, entry IN ('plain', 'both') AND n_chars > 2000 AS hit, entry = 'spoken' AND lang <> 'en' AS closed, entry = 'assessed' AND entity % 7 = 0 AS away, entry IN ('open', 'positive') AS nogate, entry = 'both' AND NOT (lang = 'en' AND slides AND compared) AS shut FROM d, c)
 SELECT entity, entry, CASE WHEN hit THEN 'detected' WHEN closed THEN 'not_evaluable' WHEN away THEN 'not_applicable' WHEN nogate OR shut THEN 'not_evaluable' ELSE 'undetected' END AS outcome,
  CASE WHEN hit THEN NULL WHEN closed THEN 'applicability_incomplete' WHEN away THEN 'assessed' WHEN entry = 'open' THEN 'pending' WHEN nogate THEN 'positive_only' WHEN shut THEN 'inspection_incomplete' END AS reason FROM x"""

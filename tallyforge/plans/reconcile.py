@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tallyforge.operators import guardrails as gr, reconcile as rc
@@ -55,8 +57,15 @@ def prose(spark, sf):
     return docs.select("doc_id", gr.unsourced_claim(F.col("text")).alias("unsourced"), F.array_join(gr.words_found(F.col("text"), ["license", "the", "und"]), ",").alias("words"), gr.sentences(F.col("text")).alias("sentences"), F.array_join(gr.branding(F.col("text"), ["License", "version"]), ",").alias("lacks"))
 
 
-_PROSE = r"""SELECT doc_id, regexp_matches(text, '(?i)(\d{1,3}\s*%|\$\s*\d|\d{4,}\b|\b\d+(\.\d+)?\s*(k|m|b)\b|\b\d+(\.\d+)?\s+(million|billion|thousand|trillion)\b)') AND NOT regexp_matches(text, '(?i)(\bsource\b|\bcitation\b|\bref\b|\bvia\b|\(20\d{2}\)|\bsurvey\b|\bstudy\b|\baccording to\b|https?://)') AS unsourced,
- concat_ws(',', CASE WHEN regexp_matches(text, '(?i)\blicense\b') THEN 'license' END, CASE WHEN regexp_matches(text, '(?i)\bthe\b') THEN 'the' END, CASE WHEN regexp_matches(text, '(?i)\bund\b') THEN 'und' END) AS words,
+def bordered(pattern: str) -> str:
+    """A pattern for an engine whose word border knows ASCII alone: letters, digits and underscores of any script instead."""
+    pattern = re.sub(r"(^|[|(:])\\b", r"\1(?:^|[^\\p{L}\\p{N}_])", pattern)
+    return "(?i)" + re.sub(r"\\b", r"(?:[^\\p{L}\\p{N}_]|$)", pattern)
+
+
+_WORD = lambda w: f"CASE WHEN regexp_matches(text, '{bordered(chr(92) + 'b' + w + chr(92) + 'b')}') THEN '{w}' END"
+_PROSE = rf"""SELECT doc_id, regexp_matches(text, '{bordered(gr.CLAIM)}') AND NOT regexp_matches(text, '{bordered(gr.SOURCE_MARKS)}') AS unsourced,
+ concat_ws(',', {", ".join(map(_WORD, ("license", "the", "und")))}) AS words,
  len(regexp_extract_all(text, '[.!?]+(\s|$)')) AS sentences, concat_ws(',', CASE WHEN NOT contains(lower(text), 'license') THEN 'License' END, CASE WHEN NOT contains(lower(text), 'version') THEN 'version' END) AS lacks FROM documents"""
 
 

@@ -76,7 +76,7 @@ def nearest_budget(spark, sf):
 def shortlist(spark, sf):
     tiers = {"p_brand": ["Brand#11", "Brand#12", "Brand#13"], "p_container": ["SM BOX", "MED BOX", "LG BOX"]}
     tiers = {c: t for c, t in tiers.items() if c in table(spark, sf, "part").columns}
-    return matching.shortlist(table(spark, sf, "part"), "p_partkey", F.col("p_size") <= 25, tiers, "p_partkey").where("rank <= 50")
+    return matching.shortlist(table(spark, sf, "part"), "p_partkey", F.col("p_size") <= 25, tiers, "p_partkey", 50)
 
 
 def shortlist_sql():
@@ -90,8 +90,8 @@ def status_rollup(spark, sf):
 
 
 def keep_apart(spark, sf):
-    events = table(spark, sf, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "value")
-    return sequences.keep_apart(events, "user_id", "at", "value", 8.0).select("user_id", F.col("at.event_id").alias("event_id"), "value")
+    events = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
+    return sequences.keep_apart(events, "user_id", ["ts", "event_id"], "value", 8.0).select("user_id", "event_id", "value")
 
 
 _KEEP = """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
@@ -110,9 +110,9 @@ def coverage(spark, sf):
     return sequences.complete(lines, "l_orderkey", "s", "e", F.lit(1), F.lit(4)).select("l_orderkey", "islands", "first", "last", "complete")
 
 
-_ISLANDS = """l AS (SELECT l_orderkey, l_linenumber::BIGINT AS s, (l_linenumber + l_quantity % 2)::BIGINT AS e FROM lineitem),
-m AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM l),
-n AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM m),
+_ISLANDS = """l AS (SELECT l_orderkey, l_linenumber::BIGINT AS s, max(l_linenumber + l_quantity % 2)::BIGINT AS e FROM lineitem GROUP BY 1, 2),
+m AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM l),
+n AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY s ROWS UNBOUNDED PRECEDING) AS i FROM m),
 g AS (SELECT l_orderkey, i, min(s) AS s, max(e) AS e FROM n GROUP BY ALL)"""
 
 
@@ -145,14 +145,14 @@ def references(spark, sf):
 
 def edges(spark, sf):
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    steps = table(spark, sf, "events").select(F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst"), "user_id").where("dst is not null and user_id % 37 = 0")
+    steps = table(spark, sf, "events").select(F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst"), "user_id").where("dst is not null")
     pairs = steps.select("src", "dst").union(table(spark, sf, "nation").select(F.col("n_name").alias("src"), F.lit("click").alias("dst")))
     nodes = table(spark, sf, "events").where("event_type <> 'error'").select(F.col("event_type").alias("node")).distinct()
     return findings.edge_findings(pairs, nodes)
 
 
 _EDGES = """WITH s AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst, user_id FROM events),
-e AS (SELECT DISTINCT src, dst FROM s WHERE dst IS NOT NULL AND user_id % 37 = 0 UNION SELECT n_name, 'click' FROM nation),
+e AS (SELECT DISTINCT src, dst FROM s WHERE dst IS NOT NULL UNION SELECT n_name, 'click' FROM nation),
 n AS (SELECT DISTINCT event_type AS node FROM events WHERE event_type <> 'error')
 SELECT src, dst, 'self_reference' AS code FROM e WHERE src = dst UNION ALL SELECT src, dst, 'dangling' FROM e WHERE dst NOT IN (SELECT node FROM n)
 UNION ALL SELECT src, dst, 'non_reciprocal' FROM e WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src)"""

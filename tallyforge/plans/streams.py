@@ -1,4 +1,4 @@
-"""Queries that SQL can't express: streams."""
+"""Queries run as streams, the same over finished tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ from tallyforge.streaming import leases
 
 
 def _scratch(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one where the setting is missing (tests)."""
+    """A new folder under spark.checkpoint.dir; a temporary one only where the setting is missing and Spark is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(found or tempfile.mkdtemp(prefix='stream-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -19,21 +21,24 @@ def lease_stream(spark, sf):
     """Leases of the events table run as a stream to a table; one more with every restart is not written."""
     folder = _scratch(spark, "leases")
     leases.run_to_table(leases.leases(leases.read_events(spark, f"{sf}/events.parquet")), f"{folder}/out", f"{folder}/state")
-    return spark.read.schema("user_id long, claimed_at timestamp, state string, at timestamp").parquet(f"{folder}/out")
+    return _seconds(spark.read.schema("user_id long, claimed_at timestamp, state string, at timestamp").parquet(f"{folder}/out"))
+
+
+def _seconds(rows):
+    return rows.selectExpr("user_id", "unix_seconds(claimed_at) AS claimed_at", "state", "unix_seconds(at) AS at")
 
 
 def lease_history(spark, sf):
-    return leases.leases_batch(table(spark, sf, "events"))
+    return _seconds(leases.leases_batch(table(spark, sf, "events")))
 
 
 def event_windows(spark, sf):
     """Events by type and hour through the stream's plan, run over a finished table."""
     folder = _scratch(spark, "windows")
     counts = leases.windowed_counts(leases.read_events(spark, f"{sf}/events.parquet"), "1 hour", "365 days").selectExpr("window.start AS start", "event_type", "n")
-    name = f"windows_{uuid.uuid4().hex}"
-    query = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).selectExpr("unix_seconds(start) AS start", "event_type", "n")
+    out = f"{folder}/out"
+    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out).selectExpr("unix_seconds(start) AS start", "event_type", "n")
 
 
 _HISTORY = """WITH RECURSIVE e AS (SELECT user_id, floor(epoch(ts))::BIGINT AS t, event_type, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i FROM events WHERE event_type IN ('signup', 'purchase')),
@@ -45,12 +50,13 @@ UNION ALL SELECT e.user_id, e.i, e.t, e.event_type,
  FROM k JOIN e ON e.user_id = k.user_id AND e.i = k.i + 1)"""
 
 
-def lease_seconds(spark, sf):
-    return lease_history(spark, sf).selectExpr("user_id", "unix_seconds(claimed_at) AS claimed_at", "state", "unix_seconds(at) AS at")
-
+_LEASES = _HISTORY + """, z AS (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM events WHERE event_type IN ('signup', 'purchase'))
+SELECT user_id, c1 AS claimed_at, 'expired' AS state, a1 AS at FROM k WHERE c1 IS NOT NULL UNION ALL SELECT user_id, c2, 'completed', a2 FROM k WHERE c2 IS NOT NULL
+UNION ALL SELECT user_id, held, 'expired', held + 3600 FROM k, z WHERE held IS NOT NULL AND (held + 3600) * 1000 < mark AND i = (SELECT max(i) FROM e WHERE e.user_id = k.user_id)"""
 
-QUERIES = {"lease_stream": lease_stream, "lease_history": lease_seconds, "event_windows": event_windows}
+QUERIES = {"lease_stream": lease_stream, "lease_history": lease_history, "event_windows": event_windows}
 ORACLES = {
-    "lease_history": _HISTORY + " SELECT user_id, c1 AS claimed_at, 'expired' AS state, a1 AS at FROM k WHERE c1 IS NOT NULL UNION ALL SELECT user_id, c2, 'completed', a2 FROM k WHERE c2 IS NOT NULL",
+    "lease_stream": _LEASES,
+    "lease_history": _LEASES,
     "event_windows": "SELECT floor(epoch(time_bucket(INTERVAL 1 hour, ts)))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -74,7 +74,14 @@ SELECT s_suppkey, verdict, CASE WHEN verdict = 'matched' THEN f END AS n_nationk
 
 
 def quotes(spark, sf):
-    return matching.quotes(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
+    return matching.quotes(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text").drop("start_seconds", "end_seconds")
+
+
+#: By a regular expression with borders over each pair, and lines by their places in the joined text.
+_QUOTES = r"""WITH p AS (SELECT doc_id, item_id, d.text AS whole, trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')) AS said, trim(regexp_replace(lower(d.text), '\s+', ' ', 'g')) AS hay FROM documents d JOIN benchmark b ON contains(regexp_replace(lower(d.text), '\s+', ' ', 'g'), trim(regexp_replace(lower(b.text), '\s+', ' ', 'g'))) WHERE b.text <> ''),
+f AS (SELECT *, list_filter(range(1, length(hay) - length(said) + 2), lambda i: substr(hay, i, length(said)) = said AND NOT (regexp_matches(substr(hay, i - 1, 1), '[\p{L}\p{N}_]') AND i > 1 AND regexp_matches(substr(hay, i, 1), '[\p{L}\p{N}_]')) AND NOT (regexp_matches(substr(hay, i + length(said), 1), '[\p{L}\p{N}_]') AND regexp_matches(substr(hay, i + length(said) - 1, 1), '[\p{L}\p{N}_]'))) AS hits FROM p),
+l AS (SELECT doc_id, item_id, n, length(line) AS k, sum(length(line) + 1) OVER (PARTITION BY doc_id, item_id ORDER BY n) - length(line) AS begins FROM (SELECT doc_id, item_id, unnest(range(1, len(string_split(whole, chr(10))) + 1)) AS n, unnest(list_transform(string_split(whole, chr(10)), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g')))) AS line FROM f WHERE len(hits) = 1) WHERE line <> '')
+SELECT f.doc_id, f.item_id, CASE WHEN len(hits) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, min(n) AS line_start, max(n) AS line_end FROM f LEFT JOIN l ON l.doc_id = f.doc_id AND l.item_id = f.item_id AND begins < hits[1] + length(said) AND begins + k > hits[1] WHERE len(hits) > 0 GROUP BY f.doc_id, f.item_id, hits"""
 
 
 def folded(spark, sf):
@@ -148,7 +155,7 @@ ORACLES = {
     "url_identity": r"SELECT page_id, lower(regexp_extract(p, '^([^/?#]*)', 1)) || regexp_extract(p, '^[^/?#]*(.*)$', 1) AS identity, 'relative' AS kind FROM (SELECT page_id, regexp_replace(regexp_replace(url, '(?i)^https?://(www\.)?', ''), '/+$', '') AS p FROM pages)",
     "title_agreement": _TITLES,
     "entity_verdict": _VERDICTS,
-    "quote_resolve": "SELECT d.doc_id, b.item_id, instr(d.text, b.text) - 1 AS at, (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) AS times FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
+    "quote_resolve": _QUOTES,
     "folded_keys": _FOLDED,
     "rule_report": _RULES,
     "normal_forms": _FORMS,

@@ -13,9 +13,11 @@ class Conflict(RuntimeError):
 
 
 class VersionedTable:
-    """A folder of versions and a pointer file; a commit succeeds only from the version it names.
+    """A folder of versions and pointer files; a commit succeeds only from the version it names.
 
-    The pointer is created exclusively under the version's number by the file system, so of two writers one fails.
+    A writer claims the next version's number exclusively, moves its data there, and only then publishes the pointer, so
+    what a pointer names can always be read. A writer that dies after its claim leaves the last version as it is; the
+    claim holds further writers off until recover() is called.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -44,13 +46,24 @@ class VersionedTable:
             raise Conflict(f"version is {self.version()}, not {expected}")
         staged = f"{self.path}/_staged/{expected + 1}-{self.spark.sparkContext.applicationId}-{id(candidate)}"
         candidate.write.mode("errorifexists").parquet(staged)
-        pointer = self._path(f"{self.path}/_pointers/{expected + 1}")
+        self._exclusively(f"{self.path}/_claims/{expected + 1}", f"version {expected + 1} is taken")
+        if not self._fs.rename(self._path(staged), self._path(f"{self.path}/v={expected + 1}")):
+            self._fs.delete(self._path(f"{self.path}/_claims/{expected + 1}"), False)
+            raise OSError(f"{staged} could not be moved")
+        self._exclusively(f"{self.path}/_pointers/{expected + 1}", f"version {expected + 1} is published")
+        return expected + 1
+
+    def _exclusively(self, path: str, otherwise: str) -> None:
         try:
-            self._fs.create(pointer, False).close()
+            self._fs.create(self._path(path), False).close()
         except Exception as e:
-            raise Conflict(f"version {expected + 1} is taken") from e
-        self._fs.rename(self._path(staged), self._path(f"{self.path}/v={expected + 1}"))
-        return expected + 1
+            raise Conflict(otherwise) from e
+
+    def recover(self) -> None:
+        """Gives up the claim and the data of a next version that was never published; only while no writer is at work."""
+        after = self.version() + 1
+        for path in (f"v={after}", f"_claims/{after}"):
+            self._fs.delete(self._path(f"{self.path}/{path}"), True)
 
 
 def initialise(df: DataFrame, path: str) -> None:

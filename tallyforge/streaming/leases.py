@@ -64,8 +64,12 @@ def leases(events: DataFrame, stale_after: int = 3600, late: str = "10 minutes",
     return kept.groupBy("user_id").applyInPandasWithState(step, schema, "claimed long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def leases_batch(events: DataFrame, stale_after: int = 3600, opens: str = "signup", closes: str = "purchase") -> DataFrame:
-    """The same leases of a finished table, as a fold over each key's events in order; open ones at the end are left out."""
+def leases_batch(events: DataFrame, stale_after: int = 3600, opens: str = "signup", closes: str = "purchase", late: int = 600) -> DataFrame:
+    """The same leases of a finished table, as a fold over each key's events in order.
+
+    A lease that is open at the end has expired if it ran out before the last event less `late` seconds, where the
+    stream's watermark ends; else it is left out.
+    """
     kept = events.where(F.col("event_type").isin(opens, closes)).select("user_id", F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "event_id", "event_type").alias("e"))
     each = kept.groupBy("user_id").agg(F.sort_array(F.collect_list("e")).alias("all"))
     kind = "array<struct<claimed:bigint,state:string,at:bigint>>"
@@ -80,7 +84,11 @@ def leases_batch(events: DataFrame, stale_after: int = 3600, opens: str = "signu
         return F.struct(now.alias("claimed"), out.alias("out"))
 
     folded = F.aggregate("all", F.struct(F.lit(None).cast("long").alias("claimed"), F.array().cast(kind).alias("out")), step)
-    rows = each.select("user_id", F.inline(folded["out"]))
+    last = events.where(F.col("event_type").isin(opens, closes)).agg((F.unix_millis(F.max(F.col("ts").cast("timestamp"))) - 1000 * late).alias("mark"))
+    each = each.crossJoin(F.broadcast(last)).withColumn("end", folded)  # one row
+    gone = F.col("end.claimed").isNotNull() & ((F.col("end.claimed") + stale_after) * 1000 < F.col("mark"))
+    ended = F.when(gone, F.array(F.struct(F.col("end.claimed").alias("claimed"), F.lit("expired").alias("state"), (F.col("end.claimed") + stale_after).alias("at")))).otherwise(F.array().cast(kind))
+    rows = each.select("user_id", F.inline(F.concat("end.out", ended)))
     return rows.select("user_id", F.timestamp_seconds("claimed").alias("claimed_at"), "state", F.timestamp_seconds("at").alias("at"))
 
 
