@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import components, materialize
 from .simhash import forest
@@ -53,105 +54,256 @@ def unit_length(v: np.ndarray) -> np.ndarray | None:
 
 
 class CoverTree:
-    """Nested levels over rows of x: each node covers a run of `order`, a child's radius is about half its parent's.
+    """Nested levels over rows of x: each node covers a run of `order`, and a child's cover is half its parent's radius.
 
     The rows have length 1. A node's centre is one of its rows, and its radius the largest distance from there to any of
-    its rows, so bounds are tight. A node is a leaf when it is small, or when its rows are scattered: further levels
-    would give nearly each row a node of its own, and the product of two leaves compares those nodes all at once.
+    its rows, so bounds are tight. Levels go on until a node has one row or a radius under `floor`; on scattered rows they
+    are few and wide, as most nodes of a level have one row. The arrays are all there is of the tree, so it can travel.
     """
 
-    def __init__(self, x: np.ndarray, leaf: int = 96):
-        self.x, self.leaf = x, leaf
-        order = np.arange(len(x))
-        self.order = np.empty(len(x), dtype=np.int64)
-        self.center, self.radius, self.begin, self.end, self.kids = [], [], [], [], []
-        self.filled = 0
-        stack = [(order, 0, 2.0, None)]
-        while stack:
-            rows, first, cover, parent = stack.pop()
-            d = self._distance(rows, first)
-            node = len(self.center)
-            self.center.append(int(rows[first]))
-            self.radius.append(float(d.max()) + 1e-7)
-            self.kids.append([])
-            if parent is not None:
-                self.kids[parent].append(node)
-            parts = self._net(rows, first, d, cover) if len(rows) > leaf and d.max() > 1e-9 else None
-            self.begin.append(-1)
-            self.end.append(-1)
-            if parts is None:
-                self.order[self.filled : self.filled + len(rows)] = rows
-                self.begin[node], self.end[node] = self.filled, self.filled + len(rows)
-                self.filled += len(rows)
-            else:
-                half = min(cover, d.max()) / 2
-                stack += [(p, 0, half, node) for p in parts]
-
-    def _distance(self, rows, first):
-        """Distances of rows of length 1, by one product."""
-        return np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[rows] @ self.x[rows[first]])))
-
-    def _net(self, rows, first, d, cover):
-        """Parts of the rows within half the radius of the centres of a net; the first centre is the parent's own.
-
-        None where the rows are scattered at this scale, which shows when the first centres cover little.
+    FIELDS = (("order", "<i4"), ("center", "<i4"), ("begin", "<i4"), ("end", "<i4"), ("kid", "<i4"), ("kids", "<i4"), ("radius", "<f8"))
+
+    def __init__(self, x: np.ndarray, floor: float = 0.08):
+        self.x, n = x, len(x)
+        self.order = np.arange(n)
+        center, begin, end, kid, kids, radius = [0], [0], [n], [0], [0], [self._far(self.order, 0) if n else 0.0]
+        todo = [(0, 2.0)]
+        while todo:
+            node, cover = todo.pop()
+            first, last = begin[node], end[node]
+            if last - first < 2 or radius[node] <= floor:
+                continue
+            half = min(cover, radius[node]) / 2
+            rows = self.order[first:last]
+            where = self._net(rows, center[node], half)
+            by = np.argsort(where, kind="stable")
+            self.order[first:last] = rows = rows[by]
+            cuts = np.flatnonzero(np.diff(where[by])) + 1
+            starts, stops = [0, *cuts.tolist()], [*cuts.tolist(), len(rows)]
+            kid[node], kids[node] = len(center), len(starts)
+            for a, b in zip(starts, stops):
+                c = int(self.centers[where[by[a]]])
+                if b - a > 1:
+                    todo.append((len(center), half))
+                center.append(c)
+                begin.append(first + a)
+                end.append(first + b)
+                kid.append(0)
+                kids.append(0)
+                radius.append(self._far(rows[a:b], c) if b - a > 1 else 0.0)
+        self.center, self.begin, self.end, self.kid, self.kids = (np.array(v, dtype=np.int64) for v in (center, begin, end, kid, kids))
+        self.radius = np.array(radius)
+
+    def _far(self, rows: np.ndarray, center: int) -> float:
+        return float(np.sqrt(max(0.0, 2 - 2 * float((self.x[rows] @ self.x[center]).min())))) + 1e-7
+
+    def _net(self, rows: np.ndarray, first: int, half: float, block: int = 256) -> np.ndarray:
+        """A net of centres over half apart, the parent's own among them, and for each row the number of its nearest one.
+
+        Rows are taken as they stand, a block at a time: those of a block that are apart become centres, and all rows
+        within half of these are covered.
         """
-        half, left, parts, now = min(cover, d.max()) / 2, np.arange(len(rows)), [], first
+        least = 1 - half * half / 2
+        where, best = np.full(len(rows), -1), np.full(len(rows), -np.inf)
+        self.centers = np.empty(0, np.int64)
+        left = np.argsort(rows != first, kind="stable")
         while len(left):
-            near = self.x[rows[left]] @ self.x[rows[now]] >= 1 - half * half / 2
-            near[left == now] = True
-            own = left[near]
-            parts.append(rows[np.concatenate(([now], own[own != now]))])
-            left = left[~near]
-            if len(parts) == 16 and len(left) > len(rows) // 2 or len(parts) > len(rows) // 8 + 8:
-                return None
-            if len(left):
-                now = left[0]
-        return parts if len(parts) > 1 else None
-
-
-def close_pairs(a: CoverTree, b: CoverTree | None, least: float):
-    """Yields (i, j) arrays: rows of the two trees (of one: i < j) with inner product at least `least`; rows have length 1.
-
-    The trees are walked together; two nodes part when the distance of their centres, less both radii, is over the
-    distance that belongs to the threshold. Pairs of leaves that are left are multiplied out in double precision.
+            own = self.x[rows[left[:block]]]
+            close, picked, held = own @ own.T >= least, [], np.zeros(len(own), dtype=bool)
+            for i in range(len(own)):
+                if not held[i]:
+                    picked.append(i)
+                    held |= close[i]
+            new = rows[left[picked]]
+            dots = self.x[rows[left]] @ self.x[new].T
+            near = dots.argmax(axis=1)
+            near[picked] = np.arange(len(picked))  # a row that equals an earlier centre is covered, no centre
+            dots = dots[np.arange(len(left)), near]
+            dots[picked] = 2.0
+            better = (dots >= least) & (dots > best[left])
+            where[left[better]], best[left[better]] = near[better] + len(self.centers), dots[better]
+            self.centers = np.concatenate((self.centers, new))
+            left = left[where[left] < 0]
+        return where
+
+    def depth(self) -> int:
+        level = np.zeros(len(self.center), dtype=np.int64)
+        for node in np.flatnonzero(self.kids):  # parents stand before their children
+            level[self.kid[node] : self.kid[node] + self.kids[node]] = level[node] + 1
+        return int(level.max(initial=0))
+
+    def packed(self) -> bytes:
+        return b"".join(np.int64(len(v)).tobytes() + v.tobytes() for v in (np.ascontiguousarray(getattr(self, k).astype(t)) for k, t in self.FIELDS))
+
+    @classmethod
+    def unpacked(cls, x: np.ndarray, data: bytes) -> CoverTree:
+        self, at = cls.__new__(cls), 0
+        self.x = x
+        for k, t in cls.FIELDS:
+            n, size = int(np.frombuffer(data, np.int64, 1, at)[0]), np.dtype(t).itemsize
+            setattr(self, k, np.frombuffer(data, t, n, at + 8).astype(np.float64 if t == "<f8" else np.int64))
+            at += 8 + n * size
+        return self
+
+
+class DualWalk:
+    """Walks two trees (or one with itself) together and finds all rows with inner product at least `least`.
+
+    A pair of nodes is dropped when the distance of its centres, less both radii, is over the distance that belongs to the
+    threshold; it is taken whole, as a block of links, when that distance with both radii is under it; else the children
+    are paired. Many small pairs are worked on side by side, large ones by products of their children's centres. `whole`
+    and `compared` count pairs of rows decided so; all others of `total` were dropped by a bound.
     """
-    own = b is None
-    b = a if own else b
-    reach = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-7
-    stack = [(0, 0)]
-    while stack:
-        i, j = stack.pop()
-        if i != j or not own:
-            gap = np.sqrt(((a.x[a.center[i]] - b.x[b.center[j]]) ** 2).sum())
-            if gap > a.radius[i] + b.radius[j] + reach:
+
+    def __init__(self, a: CoverTree, b: CoverTree | None, least: float):
+        self.a, self.own, self.least = a, b is None, least
+        self.b = a if b is None else b
+        self.reach = float(np.sqrt(max(0.0, 2 - 2 * least)))
+        self.whole = self.compared = 0
+        self.total = len(a.x) * (len(a.x) - 1) // 2 if self.own else len(a.x) * len(self.b.x)
+
+    def __iter__(self):
+        """Yields ("rows", p, q), arrays of linked rows (of one tree: p < q), and ("block", i, j), nodes linked throughout."""
+        a, b = self.a, self.b
+        if not len(a.x) or not len(b.x):
+            return
+        stack = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while stack:
+            i, j = stack.pop()
+            if len(i) > 1 << 16:
+                half = len(i) // 2
+                stack += [(i[:half], j[:half]), (i[half:], j[half:])]
+                continue
+            dots = np.einsum("ij,ij->i", a.x[a.center[i]], b.x[b.center[j]])
+            gap = np.sqrt(np.maximum(0.0, 2 - 2 * dots))
+            same = (i == j) if self.own else np.zeros(len(i), dtype=bool)
+            gap[same] = 0.0
+            radii = a.radius[i] + b.radius[j]
+            size_a, size_b = a.end[i] - a.begin[i], b.end[j] - b.begin[j]
+            pairs = np.where(same, size_a * (size_a - 1) // 2, size_a * size_b)
+            far = ~same & (gap - radii > self.reach + 1e-7)
+            whole = ~far & (gap + radii < self.reach - 1e-7) & (pairs > 1)
+            self.whole += int(pairs[whole].sum())
+            for p, q in zip(i[whole].tolist(), j[whole].tolist()):
+                yield "block", p, q
+            rest = ~far & ~whole & (pairs > 0)
+            i, j, same = i[rest], j[rest], same[rest]
+            leaf = (a.kids[i] == 0) & (b.kids[j] == 0)
+            if leaf.any():
+                yield from self._rows(i[leaf], j[leaf])
+            i, j, same = i[~leaf], j[~leaf], same[~leaf]
+            wide = np.maximum(a.kids[i], 1) * np.maximum(b.kids[j], 1) > 2048
+            for p, q in zip(i[wide].tolist(), j[wide].tolist()):
+                stack += self._kids(p, q)
+            if not wide.all():
+                stack.append(self._spread(i[~wide], j[~wide], same[~wide]))
+
+    def _spread(self, i: np.ndarray, j: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of children of pairs of nodes; a leaf stands for its children, and of a node with itself each pair once."""
+        a, b = self.a, self.b
+        na, nb = np.maximum(a.kids[i], 1), np.maximum(b.kids[j], 1)
+        first_a, first_b = np.where(a.kids[i] > 0, a.kid[i], i), np.where(b.kids[j] > 0, b.kid[j], j)
+        n = na * nb
+        at = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        p, q = first_a[at] + k // nb[at], first_b[at] + k % nb[at]
+        once = ~same[at] | (p <= q)
+        return p[once], q[once]
+
+    def _kids(self, i: int, j: int, block: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of children of two wide nodes that the bound keeps, by blocks of products."""
+        a, b = self.a, self.b
+        mine = np.arange(a.kid[i], a.kid[i] + a.kids[i]) if a.kids[i] else np.array([i])
+        other = np.arange(b.kid[j], b.kid[j] + b.kids[j]) if b.kids[j] else np.array([j])
+        own = self.own and i == j
+        out = []
+        parts, others = ((x[t.radius[x] == 0], x[t.radius[x] > 0]) for x, t in ((mine, a), (other, b)))  # single rows have one bound
+        for k, x in enumerate(parts):
+            for m, y in enumerate(others):
+                if own and k > m or not len(x) or not len(y):
+                    continue
+                for at in range(0, len(x), block):
+                    p, q = x[at : at + block], y[at:] if own and k == m else y
+                    edge = self.reach + 1e-7
+                    if k or m:
+                        edge = np.minimum(2.0, edge + a.radius[p][:, None] + b.radius[q][None, :])
+                    near = a.x[a.center[p]] @ b.x[b.center[q]].T >= 1 - edge * edge / 2 - 1e-12
+                    if own and k == m:
+                        near[:, : len(p)] = np.triu(near[:, : len(p)])
+                    r, c = np.nonzero(near)
+                    if len(r):
+                        out.append((p[r], q[c]))
+        return out
+
+    def _rows(self, i: np.ndarray, j: np.ndarray, most: int = 1 << 18):
+        """Rows of pairs of leaves, compared in double precision."""
+        a, b = self.a, self.b
+        n = (a.end[i] - a.begin[i]) * (b.end[j] - b.begin[j])
+        cut = [0, *(np.flatnonzero(np.diff(np.cumsum(n) // most)) + 1).tolist(), len(n)]
+        for x, y in zip(cut, cut[1:]):
+            if x == y:
                 continue
-        if not a.kids[i] and not b.kids[j]:
-            ra, rb = a.order[a.begin[i] : a.end[i]], b.order[b.begin[j] : b.end[j]]
-            for k in range(0, len(ra), 1024):
-                p, q = np.nonzero(a.x[ra[k : k + 1024]] @ b.x[rb].T >= least)
-                p, q = ra[k : k + 1024][p], rb[q]
-                if own:
-                    keep = p < q if i == j else p != q
+            at = np.repeat(np.arange(x, y), n[x:y])
+            k = np.arange(len(at)) - np.repeat(np.cumsum(n[x:y]) - n[x:y], n[x:y])
+            wide = (b.end[j] - b.begin[j])[at]
+            for z in range(0, len(at), most):  # two leaves of many rows
+                t = slice(z, z + most)
+                p, q = a.order[a.begin[i[at[t]]] + k[t] // wide[t]], b.order[b.begin[j[at[t]]] + k[t] % wide[t]]
+                if self.own:
+                    keep = (i[at[t]] != j[at[t]]) | (p < q)
                     p, q = np.minimum(p, q)[keep], np.maximum(p, q)[keep]
-                if len(p):
-                    yield p, q
-        elif own and i == j:
-            k = a.kids[i]
-            stack += [(x, y) for n, x in enumerate(k) for y in k[n:]]
-        elif not b.kids[j] or (a.kids[i] and a.radius[i] >= b.radius[j]):
-            stack += [(x, j) for x in a.kids[i]]
+                self.compared += len(p)
+                good = np.einsum("ij,ij->i", a.x[p], b.x[q]) >= self.least
+                if good.any():
+                    yield "rows", p[good], q[good]
+
+
+def linked(walk: DualWalk, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(links, low) of the rows of a walk, those of a second tree after those of the first.
+
+    links: summed weights n of the rows that each row links to; low: the smallest row reachable. Blocks of links cost as
+    much as they have rows, not pairs.
+    """
+    a, b = walk.a, walk.b
+    shift = 0 if walk.own else len(a.x)
+    links, edges_a, edges_b, tied = np.zeros(len(n), dtype=np.int64), [], [], set()
+
+    def tie(tree, node, shift):
+        rows = tree.order[tree.begin[node] : tree.end[node]] + shift
+        if (shift, node) not in tied:
+            tied.add((shift, node))
+            edges_a.append(rows[1:])
+            edges_b.append(np.full(len(rows) - 1, rows[0]))
+        return rows
+
+    for kind, i, j in walk:
+        if kind == "rows":
+            q = j + shift
+            np.add.at(links, i, n[q])
+            np.add.at(links, q, n[i])
+            edges_a.append(i)
+            edges_b.append(q)
+        elif walk.own and i == j:
+            rows = tie(a, i, 0)
+            links[rows] += n[rows].sum() - n[rows]
         else:
-            stack += [(i, y) for y in b.kids[j]]
+            mine, other = tie(a, i, 0), tie(b, j, shift)
+            links[mine] += n[other].sum()
+            links[other] += n[mine].sum()
+            edges_a.append(mine[:1])
+            edges_b.append(other[:1])
+    found = [(np.concatenate(edges_a), np.concatenate(edges_b))] if edges_a else []
+    return links, forest(len(n), found)
 
 
-def near_pairs(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, cells: int = 64, fit: int = 2048) -> DataFrame:
+def near_pairs(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95, cells: int | None = None, fit: int = 4096, unit: int = 2 * UNIT) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row: links are pairs of rows with cosine >= least.
 
-    Equal directions are one vertex with a weight. A cover tree over at most `fit` of them (those with the smallest
-    hashes) gives at most `cells` upper nodes; every vector goes to the nearest, which makes the covering radii, taken
-    over all vectors. Pairs of nodes that the radii don't part are solved in tasks of their own, a node of more than UNIT
-    vectors in units that all meet. A task returns sums of links and a spanning forest, not the pairs.
+    Equal directions are one vertex with a weight. The upper levels come from a cover tree over at most `fit` vectors
+    (those with the smallest hashes): `cells` of its nodes, by default one for each two units and 1,024 at most. Every
+    vector goes to the nearest, which makes the covering radii, taken over all vectors. A cell is cut into units of about
+    `unit` vectors, each with a cover tree of its own, built once. Pairs of cells that the radii don't part meet, unit by
+    unit, in tasks that walk the two trees together. A task returns sums of links and a spanning forest, not the pairs.
 
     Null, zero, empty and non-finite vectors link with nothing; they are components of their own. Vectors of different
     length compare as if filled up with zeros. Null ids take part; repeated rows link with each other. component_id is
@@ -160,91 +312,95 @@ def near_pairs(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     spark = rows.sparkSession
     every = materialize(packed(rows, id_col, vector_col, unit_length).withColumn("c", F.md5("v")), "vectors")
     known = every.where("v is not null").groupBy("c").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
-    known = materialize(known, "vectors-distinct")
-    some = known.orderBy("c").select("v").limit(fit).collect()  # fit rows
-    if some:
-        x = matrix([r["v"] for r in some])
-        tree = CoverTree(x, leaf=max(1, fit // cells))
-        tops = [k for k in range(len(tree.center)) if not tree.kids[k]]
-        tops = sorted(tops, key=lambda k: -(tree.end[k] - tree.begin[k]))[:cells]
-        centers = x[[tree.center[k] for k in tops]]
-    else:
-        centers = np.zeros((1, 1))
+    # a vertex's name begins with its smallest id, so the smallest name of a component has that of the component
+    known = materialize(known.select(F.struct(F.col("low").isNull().alias("none"), "low", "c").alias("name"), "n", "v"), "vectors-distinct")
+    name_type, count = known.schema["name"].dataType.simpleString(), known.count()
+    some = known.orderBy("name.c").select("v").limit(fit).collect()  # fit rows
+    centers = upper_nodes(matrix([r["v"] for r in some]), cells or max(1, min(1024, count // (2 * unit)))) if some else np.zeros((1, 1))
 
     def assign(batches):
         for batch in batches:
-            v, c = _same_width(matrix(batch.column(1)), centers)
+            v, c = _same_width(matrix(batch.column(2)), centers)
             out, far = np.zeros(len(v), dtype=np.int32), np.zeros(len(v))
             if len(v):
                 d = np.maximum(0.0, (v * v).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * v @ c.T)
                 out = d.argmin(axis=1).astype(np.int32)
                 far = np.sqrt(((v - c[out]) ** 2).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out), pa.array(far)], names=["c", "v", "n", "cell", "far"])
-
-    dealt = materialize(known.select("c", "v", "n").mapInArrow(assign, "c string, v binary, n long, cell int, far double"), "vectors-cells")
-    stats = {r["cell"]: (r["count"], r["far"]) for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("count"), F.max("far").alias("far")).collect()}  # cells rows
-    reach, first, units = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-7, {}, 0
-    for cell, (n, _) in sorted(stats.items()):
-        first[cell] = (units, -(-n // UNIT))
-        units += first[cell][1]
-    meets: dict[int, list[tuple[int, bool]]] = {}
-    pair = 0
-    for i in sorted(stats):
-        for j in sorted(stats):
-            if i <= j and (i == j or np.sqrt(((centers[i] - centers[j]) ** 2).sum()) <= stats[i][1] + stats[j][1] + reach):
-                for x in range(first[i][0], sum(first[i])):
-                    for y in range(first[j][0], sum(first[j])):
-                        if i != j or x <= y:
-                            meets.setdefault(x, []).append((pair, False))
-                            if x != y:
-                                meets.setdefault(y, []).append((pair, True))
-                            pair += 1
-    where = spark.createDataFrame([(c, *first[c]) for c in sorted(first)], "cell int, first int, units int")
-    sides = spark.createDataFrame(sorted(meets.items()), "unit int, sides array<struct<pair:int,right:boolean>>")
-    unit = (F.col("first") + F.pmod(F.xxhash64("c"), F.col("units"))).cast("int")
-    blocks = dealt.join(F.broadcast(where), "cell").groupBy(unit.alias("unit")).agg(F.collect_list(F.struct("c", "v", "n")).alias("rows"))  # about UNIT rows
-    met = blocks.join(F.broadcast(sides), "unit").select("rows", F.inline("sides"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out), pa.array(far)], names=["name", "n", "v", "cell", "far"])
+
+    dealt = materialize(known.mapInArrow(assign, f"name {name_type}, n long, v binary, cell int, far double"), "vectors-cells")
+    stats = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / unit).cast("int").alias("units"), F.max("far").alias("far"))  # cells rows
+    reach = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-7
+    index = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centers)], "cell int, at array<double>")
+    there = stats.join(F.broadcast(index), "cell")
+    left, right = there.select(*(F.col(c).alias(f"{c}_l") for c in there.columns)), there.select(*(F.col(c).alias(f"{c}_r") for c in there.columns))
+    gap = F.sqrt(F.aggregate(F.zip_with("at_l", "at_r", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    met = left.join(F.broadcast(right), (F.col("cell_l") <= F.col("cell_r")) & ((F.col("cell_l") == F.col("cell_r")) | (gap <= F.col("far_l") + F.col("far_r") + reach)))  # summaries of cells
+    met = met.select("cell_l", "cell_r", F.explode(F.sequence(F.lit(0), F.col("units_l") - 1)).alias("unit_l"), "units_r").select("cell_l", "unit_l", "cell_r", F.explode(F.sequence(F.lit(0), F.col("units_r") - 1)).alias("unit_r"))
+    met = met.where("cell_l <> cell_r or unit_l <= unit_r")
+    same = (F.col("cell_l") == F.col("cell_r")) & (F.col("unit_l") == F.col("unit_r"))
+    pair = F.struct("cell_l", "unit_l", "cell_r", "unit_r")
+    first = F.struct(F.col("cell_l").alias("cell"), F.col("unit_l").alias("unit"), F.lit(False).alias("right"))
+    second = F.struct(F.col("cell_r").alias("cell"), F.col("unit_r").alias("unit"), F.lit(True).alias("right"))
+    sides = met.select(pair.alias("pair"), F.inline(F.when(same, F.array(first)).otherwise(F.array(first, second))))
+    numbered = dealt.join(F.broadcast(stats.select("cell", "units")), "cell").withColumn("unit", F.pmod(F.xxhash64("name.c"), F.col("units")).cast("int"))
+
+    def grow(table):
+        x = matrix(table.column("v").combine_chunks())
+        return pa.table({"cell": table.column("cell")[:1], "unit": table.column("unit")[:1], "names": pa.array([table.column("name").to_pylist()], pa.list_(table.schema.field("name").type)), "n": pa.array([table.column("n").to_pylist()], pa.list_(pa.int64())), "v": pa.array([x.astype("<f8").tobytes()]), "tree": pa.array([CoverTree(x).packed()])})
+
+    units = materialize(numbered.groupBy("cell", "unit").applyInArrow(grow, f"cell int, unit int, names array<{name_type}>, n array<long>, v binary, tree binary"), "vector-units")
+    dealt_out = units.join(F.broadcast(sides) if count <= 256 * unit else sides, ["cell", "unit"]).select("pair", "right", "names", "n", "v", "tree")
 
     def solve(table):
         def ready(part):
-            part = [r for x in part for r in x]
-            return [r["c"] for r in part], matrix([r["v"] for r in part]), np.array([r["n"] for r in part], dtype=np.int64)
+            row = part.slice(0, 1).to_pylist()[0]
+            x = np.frombuffer(row["v"], "<f8").reshape(len(row["n"]), -1)
+            return row["names"], x, np.array(row["n"], dtype=np.int64), row["tree"]
 
         right = table.column("right").to_numpy()
-        c, x, n = ready(table.filter(pa.array(~right)).column("rows").to_pylist())
+        c, x, n, tree = ready(table.filter(pa.array(~right)))
         if right.any():
-            c2, y, n2 = ready(table.filter(pa.array(right)).column("rows").to_pylist())
+            c2, y, n2, tree2 = ready(table.filter(pa.array(right)))
             x, y = _same_width(x, y)
-            shift = len(c)
-            pairs = ((i, j + shift) for i, j in close_pairs(CoverTree(x), CoverTree(y), least))
             c, n = c + c2, np.concatenate((n, n2))
+            walk = DualWalk(CoverTree.unpacked(x, tree), CoverTree.unpacked(y, tree2), least)
         else:
-            pairs = close_pairs(CoverTree(x), None, least)
-        links = np.zeros(len(c), dtype=np.int64)
-
-        def counted():
-            for i, j in pairs:
-                np.add.at(links, i, n[j])
-                np.add.at(links, j, n[i])
-                yield i, j
-
-        low = forest(len(c), counted())
-        some, tied = np.flatnonzero(links), np.flatnonzero(low != np.arange(len(low)))
-        columns = [[c[i] for i in some] + [c[i] for i in tied], [None] * len(some) + [c[i] for i in low[tied]], [*links[some].tolist(), *[0] * len(tied)]]
-        return pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["a", "b", "n"])
-
-    found = materialize(met.groupBy("pair").applyInArrow(solve, "a string, b string, n long"), "vector-links")
-    links = found.where("b is null").groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("links"))
-    joined = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "c")
-    groups = known.select("c", "low", "n").join(links, "c", "left").join(joined, "c", "left").withColumn("group", F.coalesce("component", "c"))
-    lows = groups.groupBy("group").agg(F.min("low").alias("component_id"))
-    groups = groups.join(lows, "group").select("c", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+            walk = DualWalk(CoverTree.unpacked(x, tree), None, least)
+        links, low = linked(walk, n)
+        some, ties = np.flatnonzero(links), np.flatnonzero(low != np.arange(len(low)))
+        kind = table.schema.field("names").type.value_type
+        columns = [[c[i] for i in some] + [c[i] for i in ties], [None] * len(some) + [c[i] for i in low[ties]], [*links[some].tolist(), *[0] * len(ties)]]
+        return pa.table([pa.array(columns[0], kind), pa.array(columns[1], kind), pa.array(columns[2], pa.int64())], names=["a", "b", "n"])
+
+    found = materialize(dealt_out.groupBy("pair").applyInArrow(solve, f"a {name_type}, b {name_type}, n long"), "vector-links")
+    links = found.where("b is null").groupBy(F.col("a.c").alias("c")).agg(F.sum("n").alias("links"))
+    joined = components(found.where("b is not null").select("a", "b")).select(F.col("node.c").alias("c"), F.col("component.low").alias("component_id"))
+    groups = known.select("name.c", "name.low", "n").join(links, "c", "left").join(joined, "c", "left")
+    groups = groups.select("c", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
     out = every.select("id", "c").join(groups, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id"))
     out = out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def upper_nodes(x: np.ndarray, cells: int) -> np.ndarray:
+    """Centres of at most `cells` nodes of a cover tree: the largest node that can be opened gives way to its children."""
+    tree = CoverTree(x)
+    picked = [0]
+    while True:
+        open_ = [k for k in picked if tree.kids[k] and len(picked) - 1 + tree.kids[k] <= cells]
+        if not open_:
+            break
+        k = max(open_, key=lambda k: tree.end[k] - tree.begin[k])
+        picked.remove(k)
+        picked += range(tree.kid[k], tree.kid[k] + tree.kids[k])
+    if len(picked) == 1 and tree.kids[0]:  # a scattered level is wider than that: its largest nodes
+        kids = np.arange(tree.kid[0], tree.kid[0] + tree.kids[0])
+        picked = kids[np.argsort(tree.begin[kids] - tree.end[kids], kind="stable")][:cells].tolist()
+    return x[tree.center[picked]]
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     return near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -258,23 +414,12 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.vectorize(lambda s: max(-(1 << 63), min((1 << 63) - 1, s)), otypes=[np.int64])(whole)
 
 
-def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, every: int = 50, pivots: int = 64, fit: int = 4096, group: int = 1024) -> DataFrame:
-    """The k rows with the highest inner product for each query: query_id, rank, vec_id, score.
-
-    Components become floor(scale * x). Queries are the rows whose id is divisible by `every`; candidates are all rows
-    but the query's own. Pivots are picked far apart among at most `fit` vectors (the smallest hashes). Each cell's
-    summary has its radius and the distances of its k + 1 members nearest to the pivot: they bound each query's k-th best
-    score from below, and a cell, and then each vector of it, goes to a group of queries only if its bound from above
-    (for the vector: its product with the group's centre plus its length times the group's radius) reaches that. Groups
-    are solved by blocks of UNIT vectors, and the blocks' best are merged.
-
-    Vectors that are null or have null or non-finite components take no part; empty ones count as zeros, and shorter
-    ones as filled up with zeros. Ties go to the smaller id, null last. Repeated rows are rows: of rows equal to the query
-    only one is its own; a query that is there twice is answered twice. An empty table gives an empty result. Other
-    columns are not read.
-    """
+def voronoi(rows: DataFrame, id_col: str, vector_col: str, k: int, scale: float, every: int, pivots: int | None, fit: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(queries, sent) of top_k: queries with their group g, and the vectors that each group needs."""
     spark = rows.sparkSession
     base = materialize(packed(rows, id_col, vector_col, lambda v: np.floor(scale * v)).where("v is not null").withColumn("h", F.xxhash64("v")), "whole-vectors")
+    total = base.count()
+    pivots = pivots or max(16, min(2048, total // 1024))
     some = base.orderBy("h", "id").select("v").limit(fit).collect()  # fit rows
     x = matrix([r["v"] for r in some]) if some else np.zeros((1, 1))
     picked, d = [0], ((x - x[0]) ** 2).sum(axis=1)
@@ -307,11 +452,11 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
     inner = [(c, f) for c in range(len(p)) for f in summary[c][1]]
 
     queries = dealt.where(F.col("id") % every == 0).groupBy("id", "v", "cell", "size").agg(F.count(F.lit(1)).alias("times"))
-    n = queries.count()
-    groups = max(1, n // group)
-    # groups of queries: runs of cells, then of hashes, so that a group's queries lie near each other
-    rank = F.ntile(groups).over(W.orderBy("cell", F.xxhash64("v"))) - 1 if n <= 50_000 else F.pmod(F.xxhash64("v"), F.lit(groups)).cast("int")
-    queries = materialize(queries.withColumn("g", rank.cast("int")), "queries")
+    queries = materialize(queries, "queries")
+    # groups of queries: a cell's, dealt by hash where they are many
+    parts = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))  # pivots rows
+    name = F.struct("cell", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
+    queries = queries.join(F.broadcast(parts), "cell").withColumn("g", name).drop("parts")
 
     def bounds(batches):
         """For each query its centre-free data: group, vector, lower bound of its k-th best score."""
@@ -328,7 +473,7 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
             ok = with_pivot + size[:, None] * radius[None, :] + slack[:, None] >= low[:, None]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array([np.flatnonzero(o).tolist() for o in ok], pa.list_(pa.int32()))], names=["g", "v", "low", "cells"])
 
-    bounded = queries.select("g", "v").mapInArrow(bounds, "g int, v binary, low double, cells array<int>")
+    bounded = queries.select("g", "v").mapInArrow(bounds, "g struct<cell:int,part:int>, v binary, low double, cells array<int>")
     per_group = bounded.groupBy("g").agg(F.min("low").alias("low"), F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells"), F.collect_list("v").alias("v"))  # about `group` queries each
 
     def shape(batches):
@@ -337,9 +482,9 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
                 q = matrix(r["v"])
                 mid = q.mean(axis=0)
                 far = float(np.sqrt(((q - mid) ** 2).sum(axis=1)).max()) * (1 + 1e-9)
-                yield pa.RecordBatch.from_pylist([{"g": r["g"], "low": r["low"], "cells": r["cells"], "mid": mid.astype("<f8").tobytes(), "far": far}], schema=pa.schema([("g", pa.int32()), ("low", pa.float64()), ("cells", pa.list_(pa.int32())), ("mid", pa.binary()), ("far", pa.float64())]))
+                yield pa.RecordBatch.from_pylist([{"g": r["g"], "low": r["low"], "cells": r["cells"], "mid": mid.astype("<f8").tobytes(), "far": far}], schema=pa.schema([("g", pa.struct([("cell", pa.int32()), ("part", pa.int32())])), ("low", pa.float64()), ("cells", pa.list_(pa.int32())), ("mid", pa.binary()), ("far", pa.float64())]))
 
-    shapes = per_group.mapInArrow(shape, "g int, low double, cells array<int>, mid binary, far double")
+    shapes = per_group.mapInArrow(shape, "g struct<cell:int,part:int>, low double, cells array<int>, mid binary, far double")
     shapes = materialize(shapes.select("g", "low", "mid", F.col("far").alias("g_far"), F.explode("cells").alias("cell")), "query-groups")
 
     def needed(batches):
@@ -354,13 +499,36 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 
     per_cell = dealt.withColumn("salt", F.pmod(F.xxhash64("v", "id"), F.lit(16)).cast("int"))
     copies = shapes.withColumn("salt", F.explode(F.array(*map(F.lit, range(16)))))
-    sent = per_cell.join(copies, ["cell", "salt"]).select("g", "id", "v", "mid", "size", "g_far", "low").mapInArrow(needed, f"g int, id {id_type}, v binary")
-    total = dealt.count()
-    blocks = sent.groupBy("g", F.pmod(F.xxhash64("v", "id"), F.lit(-(-max(1, total) // UNIT))).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("data"))
+    sent = per_cell.join(copies, ["cell", "salt"]).select("g", "id", "v", "mid", "size", "g_far", "low").mapInArrow(needed, f"g struct<cell:int,part:int>, id {id_type}, v binary")
+    return queries, sent
+
+
+def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, every: int = 50, pivots: int | None = None, fit: int = 4096, group: int = 1024) -> DataFrame:
+    """The k rows with the highest inner product for each query: query_id, rank, vec_id, score.
+
+    Components become floor(scale * x). Queries are the rows whose id is divisible by `every`; candidates are all rows
+    but the query's own. Pivots, by default one for each 1,024 rows, 16 at least and 2,048 at most, are picked far apart
+    among at most `fit` vectors (the smallest hashes). The queries of a cell are a group, or several by hash where they are
+    more than `group`, so a group's queries lie near each other at any number of them. Each cell's
+    summary has its radius and the distances of its k + 1 members nearest to the pivot: they bound each query's k-th best
+    score from below, and a cell, and then each vector of it, goes to a group of queries only if its bound from above
+    (for the vector: its product with the group's centre plus its length times the group's radius) reaches that. Groups
+    are solved by blocks of UNIT vectors, and the blocks' best are merged.
+
+    Vectors that are null or have null or non-finite components take no part; empty ones count as zeros, and shorter
+    ones as filled up with zeros. Ties go to the smaller id, null last. Repeated rows are rows: of rows equal to the query
+    only one is its own; a query that is there twice is answered twice. An empty table gives an empty result. Other
+    columns are not read.
+    """
+    queries, sent = voronoi(rows, id_col, vector_col, k, scale, every, pivots, fit, group)
+    id_type, id_arrow = queries.schema["id"].dataType.simpleString(), to_arrow_type(queries.schema["id"].dataType)
+    sent = materialize(sent, "sent")
+    most = sent.groupBy("g").count().agg(F.max("count")).first()[0] or 1
+    blocks = sent.groupBy("g", F.pmod(F.xxhash64("v", "id"), F.lit(-(-most // UNIT))).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("data"))
     asked = queries.groupBy("g").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
 
     def solve(batches):
-        schema = pa.schema([("q", kind), ("qv", pa.binary()), ("id", kind), ("score", pa.int64()), ("same", pa.bool_())])
+        schema = pa.schema([("q", id_arrow), ("qv", pa.binary()), ("id", id_arrow), ("score", pa.int64()), ("same", pa.bool_())])
         for batch in batches:
             for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids = [x["id"] for x in r["data"]]
@@ -377,9 +545,6 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
                         out += [{"q": q["id"], "qv": q["v"], "id": ids[i], "score": int(line[i]), "same": ids[i] == q["id"] and r["data"][i]["v"] == q["v"]} for i in at.tolist()]
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(base.schema["id"].dataType)
     best = blocks.join(asked, "g").select("asked", "data").mapInArrow(solve, f"q {id_type}, qv binary, id {id_type}, score long, same boolean")
     own = F.row_number().over(W.partitionBy("q", "qv", "same").orderBy("id"))
     best = best.withColumn("own", own).where(~F.col("same") | (F.col("own") > 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tallyforge.llm import vectors
 
@@ -48,35 +49,72 @@ def brute_links(data, least=0.95):
 def test_near_pairs(spark):
     data = rows()
     frame = spark.createDataFrame(data, SCHEMA).repartition(3)
-    found = vectors.near_pairs(frame, cells=8, fit=64).collect()
+    found = vectors.near_pairs(frame, cells=8, fit=64, unit=64).collect()
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in found) == brute_links(data)
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in found)
     assert vectors.near_pairs(frame.limit(0)).count() == 0
 
 
-def test_near_pairs_in_several_units(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "UNIT", 40)
+def test_near_pairs_in_several_units(spark):
     data = rows(n=200, seed=2)
-    found = vectors.near_pairs(spark.createDataFrame(data, SCHEMA), cells=4, fit=50).collect()
+    found = vectors.near_pairs(spark.createDataFrame(data, SCHEMA), cells=4, fit=50, unit=40).collect()
     assert Counter((r.vec_id, r.n_links, r.component_id) for r in found) == brute_links(data)
 
 
-def test_cover_tree_prunes_and_finds_all():
-    rng = np.random.default_rng(4)
-    centers = rng.normal(size=(30, 5))
-    x = np.repeat(centers, 40, axis=0) + rng.normal(scale=0.02, size=(1200, 5))
+def pairs_of(walk):
+    """All pairs of rows that a walk finds, blocks written out."""
+    out = []
+    for kind, i, j in walk:
+        if kind == "rows":
+            out += zip(i.tolist(), j.tolist())
+        else:
+            a, b = (t.order[t.begin[n] : t.end[n]].tolist() for t, n in ((walk.a, i), (walk.b, j)))
+            both = [(p, q) for n, p in enumerate(a) for q in a[n + 1 :]] if walk.own and i == j else [(p, q) for p in a for q in b]
+            out += [(min(x), max(x)) for x in both] if walk.own else both
+    return out
+
+
+@pytest.mark.parametrize("d,clusters,size,spread", [(5, 30, 40, 0.05), (3, 10, 100, 0.3), (64, 50, 10, 0.03), (8, 1, 300, 0.5), (16, 400, 1, 0.1)])
+def test_dual_walk_finds_all(d, clusters, size, spread):
+    rng = np.random.default_rng(d)
+    x = np.repeat(rng.normal(size=(clusters, d)), size, axis=0)
+    x += rng.normal(scale=spread, size=x.shape)
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    tree = vectors.CoverTree(x, leaf=16)
-    assert sorted(tree.order.tolist()) == list(range(1200)) and len(tree.center) > 30
+    tree = vectors.CoverTree(x)
+    assert sorted(tree.order.tolist()) == list(range(len(x)))
     for k in range(len(tree.center)):
-        for kid in tree.kids[k]:
-            assert tree.radius[kid] <= 2 * tree.radius[k]
-    want = set(zip(*np.nonzero(np.triu(x @ x.T >= 0.995, 1))))
-    got = [(i, j) for a, b in vectors.close_pairs(tree, None, 0.995) for i, j in zip(a, b)]
-    assert set(got) == want and len(got) == len(want)
-    a, b = vectors.CoverTree(x[:500], 16), vectors.CoverTree(x[500:], 16)
-    got = {(i, j) for p, q in vectors.close_pairs(a, b, 0.995) for i, j in zip(p, q)}
-    assert got == set(zip(*np.nonzero(x[:500] @ x[500:].T >= 0.995)))
+        rows = tree.order[tree.begin[k] : tree.end[k]]
+        assert np.sqrt(((x[rows] - x[tree.center[k]]) ** 2).sum(axis=1)).max() <= tree.radius[k] + 1e-6
+        for kid in range(tree.kid[k], tree.kid[k] + tree.kids[k]):
+            assert tree.radius[kid] <= tree.radius[k] / 2 + 1e-6
+    got = pairs_of(vectors.DualWalk(vectors.CoverTree.unpacked(x, tree.packed()), None, 0.95))
+    assert len(got) == len(set(got)) and set(got) == set(zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1))))
+    n = len(x) // 3
+    got = pairs_of(vectors.DualWalk(vectors.CoverTree(x[:n]), vectors.CoverTree(x[n:]), 0.95))
+    assert len(got) == len(set(got)) and set(got) == set(zip(*np.nonzero(x[:n] @ x[n:].T >= 0.95)))
+
+
+def test_cover_tree_has_levels_and_prunes():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8, 6))
+    for scale, n in ((0.3, 8), (0.1, 8), (0.02, 8)):  # clusters of clusters
+        x = np.repeat(x, n, axis=0) + rng.normal(scale=scale, size=(len(x) * n, 6))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    tree = vectors.CoverTree(x)
+    assert tree.depth() >= 3
+    walk = vectors.DualWalk(tree, None, 0.999)
+    pairs_of(walk)
+    assert walk.compared < 0.02 * walk.total
+
+
+def test_scattered_vectors_are_parted_by_bounds(sf_dir):
+    import pyarrow.parquet as pq
+
+    x = np.array(pq.read_table(f"{sf_dir.replace('0.001', '0.1')}/embeddings.parquet")["embedding"].to_pylist(), dtype=float)
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    walk = vectors.DualWalk(vectors.CoverTree(x), None, 0.95)
+    assert len(set(pairs_of(walk))) == int(np.triu(x @ x.T >= 0.95, 1).sum())
+    assert walk.compared + walk.whole < 0.01 * walk.total
 
 
 def brute_top(data, k=5, every=10):
@@ -103,3 +141,15 @@ def test_top_k(spark):
     assert vectors.top_k(frame.limit(0)).count() == 0
     few = spark.createDataFrame(data[:3], SCHEMA)
     assert Counter(map(tuple, vectors.top_k(few, every=2).collect())) == brute_top(data[:3], every=2)
+
+
+def test_groups_get_what_they_need_alone(spark):
+    """On clustered vectors a group of queries gets few of the others; bounds from summaries keep the rest away."""
+    rng = np.random.default_rng(6)
+    base = np.eye(8)[np.repeat(np.arange(8), 60)] * 4 + rng.normal(scale=0.05, size=(480, 8))
+    data = [(i, v.tolist(), 0, "c", "v", 1) for i, v in enumerate(base)]
+    frame = spark.createDataFrame(data, SCHEMA)
+    queries, sent = vectors.voronoi(frame, "vec_id", "embedding", 5, 256.0, 10, 8, 480, 7)
+    groups = queries.select("g").distinct().count()
+    assert groups >= 8 and sent.count() < 0.2 * groups * len(data)
+    assert Counter(map(tuple, vectors.top_k(frame, every=10, pivots=8, group=7).collect())) == brute_top(data)
