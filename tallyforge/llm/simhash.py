@@ -92,9 +92,12 @@ def leaf_pairs(nodes: list[tuple[int, int, int]], max_bits: int) -> list[tuple[i
     return out
 
 
-def links(a: np.ndarray, b: np.ndarray | None, max_bits: int, block: int = 1 << 17):
+def links(a: np.ndarray, b: np.ndarray | None, max_bits: int, block: int = 1 << 17, stop: int = 0, settled: tuple[np.ndarray, np.ndarray] | None = None):
     """Yields arrays (i, j): positions in the sorted arrays a and b (None: a itself, i < j) at most max_bits apart.
 
+    stop: the lowest bit that counts; those below are alike. settled, of one array alone: the group of each position, and
+    where the run of equal groups from there ends; two nodes that lie in one group are not joined.
+
     Both tries are walked together, from the top bit down. A pair of nodes is a pair of ranges with the number of bits in
     which they differ so far; a pair beyond the budget is dropped, one of few values is compared at once. The frontier is
     cut into blocks that are finished one by one, so memory does not grow with the number of node pairs.
@@ -115,8 +118,11 @@ def links(a: np.ndarray, b: np.ndarray | None, max_bits: int, block: int = 1 <<
             half = now.shape[1] // 2
             stack += [(bit, now[:, :half]), (bit, now[:, half:])]
             continue
+        if settled is not None:
+            name, run_end = settled
+            now = now[:, (name[now[0]] != name[now[2]]) | (run_end[now[0]] < now[1]) | (run_end[now[2]] < now[3])]
         sizes = (now[1] - now[0]) * (now[3] - now[2])
-        small = (sizes <= 64) | (bit < 0)
+        small = (sizes <= 64) | (bit < stop)
         if small.any():
             for part in _blocks(now[:, small], sizes[small], 1 << 22):
                 yield from _compare(a, b, part, own, max_bits)
@@ -239,7 +245,7 @@ def trie_join(fps: DataFrame, max_bits: int = MAX_BITS, leaf: int = 16_384) -> D
     return dealt.groupBy("pair").applyInPandas(solve, "a long, b long").distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id): the group of each row, named by the smallest id that links lead to.
 
     Texts are lower-cased in A-Z, words are runs other than space and tab to carriage return, and a fingerprint is set
@@ -247,7 +253,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     like any other. Rows of equal fingerprints are one vertex, so thousands of copies cost one comparison. Null ids take
     part and get the smallest id that is not null of their group, null where there is none. Repeated rows stay. An empty
     table gives an empty result. Other columns of docs are not read.
+
+    With `similarity` the budget is wide enough for texts of that Jaccard similarity of their shingles, and each link is
+    checked exactly: shingle_groups.group() says how; the result is (doc_id, component_id).
     """
+    if similarity is not None:
+        from .shingle_groups import group
+
+        return group(docs, id_col, text_col, words, similarity)
     fps = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     found = components(trie_join(distinct.select("fp"), max_bits))
