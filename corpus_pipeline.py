@@ -13,24 +13,34 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5; rows of equal ids go or stay by each one's own text."""
+    """Documents whose toxicity score is under 0.5.
+
+    Null and empty texts get the score of a text without words. Rows of equal ids go or stay by each one's own text, and
+    repeated rows alike. An empty table stays empty. Extra columns are dropped, whatever their names.
+    """
+    docs = docs.select(*COLUMNS)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep(docs, model).select(*COLUMNS)
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines they share with earlier ones; one of which nothing is left goes."""
-    found = line_dedup.dedup(docs)
+    """Documents without the lines they share with earlier ones; one of which nothing is left goes.
+
+    Rows with a null id or text stay as they are, empty texts too. Of equal texts the smallest id keeps its lines; rows of
+    equal ids don't take lines from each other. An empty table stays empty. Extra columns are dropped.
+    """
+    found = line_dedup.dedup(docs.select(*COLUMNS))
     left = found.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash group; texts without a word are one group.
+    """The document with the smallest id of each group of texts that are alike: 0.8 or more of their shingles of five words.
 
-    Rows that repeat both id and text are one document. Rows without an id can't be named by a group: they stay.
+    Texts without a word, null ones included, are one group. Rows that repeat both id and text are one document. Rows
+    without an id can't be named by a group: they stay. An empty table stays empty. Extra columns are dropped.
     """
-    first = simhash.near_dedup(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = simhash.near_dedup(docs, words=5, similarity=0.8).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text"))
     return named.dropDuplicates(["doc_id", "_text"]).select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
@@ -39,8 +49,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document once for each epoch that takes it whole, and once cut after the words that the last one takes.
 
     Documents without a word have no weight in a mix: they stay once. Rows of equal id, source and size share what the
-    mix takes of them evenly.
+    mix takes of them evenly. A null source is a source of its own. An empty table stays empty; extra columns are dropped.
     """
+    docs = docs.select(*COLUMNS)
     taken = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("taken"))
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "size", "taken")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -56,7 +67,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with what tells that they decode to its text."""
+    """Token ids of every document, with what tells that they decode to its text; null and empty texts have none."""
     return sentencepiece_dropout.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -68,7 +79,7 @@ STAGES = [
     ("sentencepiece", tokens),
 ]
 
-#: SQL can't express the stages; tests hold each one against a brute-force version.
+#: SQL can't express the stages; tests/llm holds each one against a plain version of its own.
 ORACLE_SQL = None
 
 
