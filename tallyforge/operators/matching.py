@@ -88,7 +88,12 @@ def quotes(texts: DataFrame, quotes: DataFrame, text_id: str, text: str, quote_i
     sizes = sorted(r[0] for r in q.select("_n").distinct().collect())  # at most four
     t = texts.where(F.col(text_id).isNotNull()).select(F.col(text_id).alias("_id"), F.col(text).alias("_text"))
     cut = t.select("_id", tokens(tx.for_match(F.col("_text"))).alias("_t"))
-    runs = [F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1), lambda i, n=n: gram(F.col("_t"), i, F.lit(n)))).otherwise(F.array().cast("array<bigint>")) for n in sizes]
+
+    def grams(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size("_t") - n + 1), lambda i: gram(F.col("_t"), i, F.lit(n)))
+        return F.when(F.size("_t") >= n, each).otherwise(F.array().cast("array<bigint>"))
+
+    runs = [grams(n) for n in sizes]
     met = cut.select("_id", F.explode(F.array_distinct(F.flatten(F.array(*runs)) if runs else F.array().cast("array<bigint>"))).alias("_key")).join(q.select("_q", "_key"), "_key").select("_id", "_q")
     pairs = met.join(q.select("_q", "_said"), "_q").join(t, "_id")
     parts = "array<struct<text:string,start:double,end:double>>"
