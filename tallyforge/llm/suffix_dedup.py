@@ -74,6 +74,25 @@ def parse(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int) ->
     return text[first], first, last, trigger[at[first]], phrase
 
 
+def suffix_ranks(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Ranks of the suffixes that begin at the places `at`, ordered by their first `width` bytes; equal ones share a rank.
+
+    By prefix doubling: the ranks of eight bytes come from the bytes, those of twice as many from pairs of ranks, and the
+    last pair overlaps where width is no power of two. No suffix may end before its `width` bytes.
+    """
+    x = np.concatenate((data, np.zeros(width, np.uint8))).astype(np.uint64)
+    key, size = np.zeros(len(data), np.uint64), 8
+    for k in range(8):
+        key = key << np.uint64(8) | x[k : k + len(data)]
+    while size < width:
+        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        step = min(size, width - size)
+        key = rank << np.uint64(32)
+        key[: len(key) - step] |= rank[step:]
+        size += step
+    return np.unique(key[at], return_inverse=True)[1]
+
+
 def _zip(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
@@ -137,9 +156,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
        16 bytes each and packed, to the group of their trigger's hash.
     2. A group is the dictionary of its triggers: equal phrases are one entry, held by the smallest id; in all later
        documents the whole phrase is removed. Triggers with several entries need more: their bytes are asked for.
-    3. The parts spell out the entries asked for, and the groups bring the entries' windows of `width` bytes together by
-       hash, and by their bytes where a hash stands twice: the smallest document of equal ones tells which begin earlier.
-       This replaces the suffix arrays of dictionary and parse: only equality counts here, no order of all suffixes.
+    3. The parts spell out the entries asked for, and a group puts the suffixes of its dictionary in order, to a depth of
+       `width` bytes: those that are equal to there stand side by side, and the smallest document that the parse has for
+       any of their phrases tells which begin earlier. No phrase goes on into the next one's windows, so the order of the
+       parse beyond a phrase, and of suffixes beyond `width` bytes, decides nothing here and is not built.
     4. The parts join their removals, and are cut.
     Equality of phrases rests on 128 bits of two hashes (104 that travel), of windows in step 3 on their bytes.
 
@@ -156,7 +176,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     total = rows.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
     tasks = max(1, rows.rdd.getNumPartitions())
     subs = max(1, round(total / tasks / part_bytes))
-    groups = max(1, round(total / part_bytes), min(211, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    groups = max(1, -(-total // max(4 << 20, min(64 << 20, total // 8192))))  # of 4 MB of text, up to 64 MB where that makes many
     buckets = min(50_000, tasks * subs)
     part = F.spark_partition_id() * subs + F.pmod(F.xxhash64("doc"), F.lit(subs))
     rows = rows.select(part.cast("int").alias("part"), F.monotonically_increasing_id().alias("uid"), "doc", "data")
@@ -257,31 +277,36 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         return _table(out)
 
     def suffixes(table):
-        """The entries' windows that also begin in an earlier document, found by hash and then by bytes."""
+        """Windows of the entries that also begin in an earlier document, by the order of the dictionary's suffixes."""
         rows = table.to_pylist()
         x = _unpack(rows)
         data = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(r["text"]) for r in rows), dtype=np.uint8)
         sizes = x["size"] + 1  # windows of each entry
         begin = np.cumsum(sizes + width - 1) - (sizes + width - 1)
-        entry = np.repeat(np.arange(len(sizes)), sizes)
-        offset = np.arange(len(entry)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = begin[entry] + offset
-        # only windows whose hash stands twice can be equal to another; these few are ordered by their bytes
-        h = mixed(rolling(_BYTES[data], width))[at]
-        order = np.argsort(h, kind="stable")
-        same = np.concatenate(([False], np.diff(h[order]) == 0))
-        twice = order[same | np.concatenate((same[1:], [False]))]
-        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, width)[at[twice]]).view(f"V{width}").ravel()
-        names, number = np.unique(windows, return_inverse=True)
-        low = np.full(len(names), np.iinfo(np.int64).max)
-        np.minimum.at(low, number, x["doc"][entry[twice]])
-        gone = np.sort(twice[x["doc"][entry[twice]] > low[number]])
-        e, o = entry[gone], offset[gone]
-        new = np.concatenate(([True], (np.diff(e) != 0) | (np.diff(o) != 1))) if len(gone) else np.empty(0, bool)
-        i = np.flatnonzero(new)
-        size = np.diff(np.concatenate((i, [len(gone)]))) - 1 if len(gone) else i
-        e, first = e[i], x["first"][e[i]] + o[i]
-        return _table([_pack(k, REMOVED, x["part"][e[own]], x["uid"][e[own]], x["doc"][e[own]], first[own], size[own]) for k, own in _keys(x["part"][e])])
+        order = np.argsort(x["a"], kind="stable")
+        new = np.concatenate(([True], np.diff(x["a"][order]) != 0))
+        spent = np.cumsum(sizes[order] + width - 1)
+        # equal windows have one trigger: a few megabytes of whole triggers at a time
+        cut = np.maximum.accumulate(np.where(new, (spent - (sizes[order] + width - 1)) >> 22, 0))
+        out = []
+        for own in np.split(order, np.flatnonzero(np.diff(cut)) + 1):
+            said = np.concatenate([data[b : b + s + width - 1] for b, s in zip(begin[own].tolist(), sizes[own].tolist())])
+            entry = np.repeat(np.arange(len(own)), sizes[own])
+            offset = np.arange(len(entry)) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+            starts = np.cumsum(sizes[own] + width - 1) - (sizes[own] + width - 1)
+            rank = suffix_ranks(said, starts[entry] + offset, width)
+            doc = x["doc"][own][entry]
+            low = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, rank, doc)
+            gone = np.flatnonzero(doc > low[rank])
+            if not len(gone):
+                continue
+            e, o = entry[gone], offset[gone]
+            i = np.flatnonzero(np.concatenate(([True], (np.diff(e) != 0) | (np.diff(o) != 1))))
+            size = np.diff(np.concatenate((i, [len(gone)]))) - 1
+            e, first = own[e[i]], x["first"][own[e[i]]] + o[i]
+            out += [_pack(k, REMOVED, x["part"][e[o]], x["uid"][e[o]], x["doc"][e[o]], first[o], size[o]) for k, o in _keys(x["part"][e])]
+        return _table(out)
 
     spelled = corpus.groupBy("part").cogroup(_numbered(found, ASKED).groupBy("number")).applyInArrow(spell, LAYOUT)
     later = materialize(spelled.groupBy("key").applyInArrow(suffixes, LAYOUT), "suffixes", compression="zstd")
