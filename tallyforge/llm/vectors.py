@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import components, materialize
+from .common import components, materialize, small_batches
 from .simhash import forest
 
 #: Vectors in one unit of work.
@@ -41,6 +41,7 @@ def packed(rows: DataFrame, id_col: str, vector_col: str, how) -> DataFrame:
                 out.append(None if v is None else v.astype("<f8").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "v"])
 
+    small_batches(rows.sparkSession)
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, v binary")
 
@@ -414,6 +415,25 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.vectorize(lambda s: max(-(1 << 63), min((1 << 63) - 1, s)), otypes=[np.int64])(whole)
 
 
+def query_groups(pivots: np.ndarray, counts: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """(cell, first group, groups) of cells with queries: neighbouring cells together have about `most`, a larger one is cut.
+
+    Cells are taken in the order of a walk that always goes on to the nearest pivot.
+    """
+    left, at, out, g, held = set(counts), 0, [], 0, 0
+    while left:
+        at = min(left, key=lambda c: float(((pivots[c] - pivots[at]) ** 2).sum()))
+        left.remove(at)
+        if held and held + counts[at] > most:
+            g, held = g + 1, 0
+        parts = -(-counts[at] // most)
+        out.append((at, g, parts))
+        held += counts[at]
+        if parts > 1:
+            g, held = g + parts, 0
+    return out
+
+
 def voronoi(rows: DataFrame, id_col: str, vector_col: str, k: int, scale: float, every: int, pivots: int | None, fit: int, group: int) -> tuple[DataFrame, DataFrame]:
     """(queries, sent) of top_k: queries with their group g, and the vectors that each group needs."""
     spark = rows.sparkSession
@@ -453,10 +473,9 @@ def voronoi(rows: DataFrame, id_col: str, vector_col: str, k: int, scale: float,
 
     queries = dealt.where(F.col("id") % every == 0).groupBy("id", "v", "cell", "size").agg(F.count(F.lit(1)).alias("times"))
     queries = materialize(queries, "queries")
-    # groups of queries: a cell's, dealt by hash where they are many
-    parts = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))  # pivots rows
-    name = F.struct("cell", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
-    queries = queries.join(F.broadcast(parts), "cell").withColumn("g", name).drop("parts")
+    counts = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}  # pivots rows
+    named = spark.createDataFrame(query_groups(p, counts, group), "cell int, g int, parts int")
+    queries = queries.join(F.broadcast(named), "cell").withColumn("g", (F.col("g") + F.pmod(F.xxhash64("v"), F.col("parts"))).cast("int")).drop("parts")
 
     def bounds(batches):
         """For each query its centre-free data: group, vector, lower bound of its k-th best score."""
@@ -473,7 +492,7 @@ def voronoi(rows: DataFrame, id_col: str, vector_col: str, k: int, scale: float,
             ok = with_pivot + size[:, None] * radius[None, :] + slack[:, None] >= low[:, None]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array([np.flatnonzero(o).tolist() for o in ok], pa.list_(pa.int32()))], names=["g", "v", "low", "cells"])
 
-    bounded = queries.select("g", "v").mapInArrow(bounds, "g struct<cell:int,part:int>, v binary, low double, cells array<int>")
+    bounded = queries.select("g", "v").mapInArrow(bounds, "g int, v binary, low double, cells array<int>")
     per_group = bounded.groupBy("g").agg(F.min("low").alias("low"), F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells"), F.collect_list("v").alias("v"))  # about `group` queries each
 
     def shape(batches):
@@ -482,24 +501,28 @@ def voronoi(rows: DataFrame, id_col: str, vector_col: str, k: int, scale: float,
                 q = matrix(r["v"])
                 mid = q.mean(axis=0)
                 far = float(np.sqrt(((q - mid) ** 2).sum(axis=1)).max()) * (1 + 1e-9)
-                yield pa.RecordBatch.from_pylist([{"g": r["g"], "low": r["low"], "cells": r["cells"], "mid": mid.astype("<f8").tobytes(), "far": far}], schema=pa.schema([("g", pa.struct([("cell", pa.int32()), ("part", pa.int32())])), ("low", pa.float64()), ("cells", pa.list_(pa.int32())), ("mid", pa.binary()), ("far", pa.float64())]))
+                yield pa.RecordBatch.from_pylist([{"g": r["g"], "low": r["low"], "cells": r["cells"], "mid": mid.astype("<f8").tobytes(), "far": far}], schema=pa.schema([("g", pa.int32()), ("low", pa.float64()), ("cells", pa.list_(pa.int32())), ("mid", pa.binary()), ("far", pa.float64())]))
 
-    shapes = per_group.mapInArrow(shape, "g struct<cell:int,part:int>, low double, cells array<int>, mid binary, far double")
+    shapes = per_group.mapInArrow(shape, "g int, low double, cells array<int>, mid binary, far double")
     shapes = materialize(shapes.select("g", "low", "mid", F.col("far").alias("g_far"), F.explode("cells").alias("cell")), "query-groups")
 
-    def needed(batches):
-        """Drops the vectors of a cell that can't reach the group's bound."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            v, m = _same_width(matrix(batch.column(2)), matrix(batch.column(3)))
-            up = (v * m).sum(axis=1) + np.asarray(batch.column(4)) * np.asarray(batch.column(5))
-            keep = up + 1e-9 * (1 + np.abs(up)) >= np.asarray(batch.column(6))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:3]], names=["g", "id", "v"])
-
-    per_cell = dealt.withColumn("salt", F.pmod(F.xxhash64("v", "id"), F.lit(16)).cast("int"))
-    copies = shapes.withColumn("salt", F.explode(F.array(*map(F.lit, range(16)))))
-    sent = per_cell.join(copies, ["cell", "salt"]).select("g", "id", "v", "mid", "size", "g_far", "low").mapInArrow(needed, f"g struct<cell:int,part:int>, id {id_type}, v binary")
+    def needed(left, right):
+        """The vectors of a unit that can reach a group's bound, for each group that needs the cell."""
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"g": pa.array([], pa.int32()), "id": pa.array([], left.schema.field("id").type), "v": pa.array([], pa.binary())})
+        v, size, out = matrix(left.column("v").combine_chunks()), np.asarray(left.column("size")), []
+        for r in right.to_pylist():
+            x, m = _same_width(v, np.frombuffer(r["mid"], "<f8")[None, :])
+            up = x @ m[0] + size * r["g_far"]
+            own = left.filter(pa.array(up + 1e-9 * (1 + np.abs(up)) >= r["low"]))
+            out.append(pa.table({"g": pa.array([r["g"]] * own.num_rows, pa.int32()), "id": own.column("id"), "v": own.column("v")}))
+        return pa.concat_tables(out)
+
+    # a cell is cut into units of about UNIT vectors, each read once for all groups that need it
+    units = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("units"))  # pivots rows
+    per_unit = dealt.join(F.broadcast(units), "cell").select("cell", F.pmod(F.xxhash64("v", "id"), F.col("units")).cast("int").alias("unit"), "id", "v", "size")
+    asked_of = shapes.join(F.broadcast(units), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), "g", "mid", "g_far", "low")
+    sent = per_unit.groupBy("cell", "unit").cogroup(asked_of.groupBy("cell", "unit")).applyInArrow(needed, f"g int, id {id_type}, v binary")
     return queries, sent
 
 
@@ -508,9 +531,8 @@ def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 
     Components become floor(scale * x). Queries are the rows whose id is divisible by `every`; candidates are all rows
     but the query's own. Pivots, by default one for each 1,024 rows, 16 at least and 2,048 at most, are picked far apart
-    among at most `fit` vectors (the smallest hashes). The queries of a cell are a group, or several by hash where they are
-    more than `group`, so a group's queries lie near each other at any number of them. Each cell's
-    summary has its radius and the distances of its k + 1 members nearest to the pivot: they bound each query's k-th best
+    among at most `fit` vectors (the smallest hashes). The queries of neighbouring cells are a group of about `group`, those
+    of a larger cell several by hash, so a group's queries lie near each other at any number of them. Each cell's summary has its radius and the distances of its k + 1 members nearest to the pivot: they bound each query's k-th best
     score from below, and a cell, and then each vector of it, goes to a group of queries only if its bound from above
     (for the vector: its product with the group's centre plus its length times the group's radius) reaches that. Groups
     are solved by blocks of UNIT vectors, and the blocks' best are merged.
