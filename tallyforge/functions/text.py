@@ -161,6 +161,22 @@ def rfcs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?i)\bRFC[\s-]?(\d{3,5})\b"), F.lit(1))
 
 
+#: A book is a title in quotes, or between one or two asterisks, with `by` and a name after it.
+BOOKS = (r'(?i)"([^"]{5,}?)"\s+by\s+([A-Z][a-zA-Z\s,.]+)', r"(?i)\*([^*]{5,}?)\*\s+by\s+([A-Z][a-zA-Z\s,.]+)", r"(?i)\*\*([^*]{5,}?)\*\*\s+by\s+([A-Z][a-zA-Z\s,.]+)")
+
+
+def books(text: Column) -> Column:
+    """Titles of books in a line, each once whatever its case, the first spelling of each."""
+    found = F.transform(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in BOOKS)), F.btrim)
+    return F.aggregate(found, F.array().cast("array<string>"), lambda out, t: F.when(F.exists(out, lambda o: F.lower(o) == F.lower(t)), out).otherwise(F.array_append(out, t)))
+
+
+def resolved_name(name: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
+    """The registered name of a name or alias, whatever its case; unknown ones stay, without spaces at their ends."""
+    table = F.create_map(*(x for k, v in aliases.items() for a in (k, *v) for x in (F.lit(a.lower()), F.lit(k))))
+    return F.coalesce(F.try_element_at(table, F.lower(F.btrim(name))), F.btrim(name))
+
+
 def tools(text: Column, stop: tuple[str, ...] = ()) -> Column:
     """What stands in backticks, outside the stop list."""
     return F.filter(F.regexp_extract_all(text, F.lit("`([^`\n]+)`"), F.lit(1)), lambda x: ~F.lower(x).isin(*stop) if stop else F.lit(True))

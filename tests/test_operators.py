@@ -106,7 +106,7 @@ def test_addresses(spark):
 
 
 def test_unicode_forms(spark):
-    row = one(spark, tx.alias(F.lit("Crème Brûlée!"), unicode=True).alias("a"), tx.for_match(F.lit("ﬁne  “Straße”"), unicode=True).alias("b"), tx.word_count(F.lit("один два été ½ x1")).alias("c"))
+    row = one(spark, tx.alias(F.lit("Crème Brûlée!")).alias("a"), tx.for_match(F.lit("ﬁne  “Straße”")).alias("b"), tx.word_count(F.lit("один два été ½ x1")).alias("c"))
     assert (row.a, row.b, row.c) == ("creme-brulee", 'fine "strasse"', 5)
 
 
@@ -154,9 +154,3 @@ def test_edges_and_rules(spark):
     edges = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "a"), ("a", "c"), ("b", "x")], "src string, dst string")
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
     assert sorted(tuple(r) for r in findings.edge_findings(edges, nodes).collect()) == [("a", "a", "self_reference"), ("a", "c", "non_reciprocal"), ("b", "x", "dangling"), ("b", "x", "non_reciprocal")]
-
-
-def test_quotes_short_and_long(spark):
-    texts = spark.createDataFrame([(1, "he said one two three four five six loudly, one two three four five six"), (2, "nothing here"), (3, None)], "t int, text string")
-    said = spark.createDataFrame([(1, "one two three four five six"), (2, "thing"), (3, "")], "q int, said string")
-    assert sorted(tuple(r) for r in matching.quotes(texts, said, "t", "text", "q", "said").collect()) == [(1, 1, 8, 2), (2, 2, 2, 1)]
