@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import cohort, opportunity as op
 from tallyforge.operators.opportunity import Detector
+from tallyforge.sources import scratch
 from tallyforge.sources.tables import table
 
 D = Detector
@@ -36,8 +37,9 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "lang", "source", F.md5("text").alias("digest"), F.regexp_count(t, F.lit(r"\S+")).alias("w"), (F.length(t) - F.length(F.replace(t, F.lit("\n"))) + 1).alias("nl"),
         (F.octet_length(t) != F.length(t)).alias("nonascii"), t.rlike("[0-9]").alias("digit"), ((F.col("lang") == "en") & t.rlike(r"(^|[^A-Za-z])[Tt]he([^A-Za-z]|$)")).alias("article"), t.contains("?").alias("ask"), t.rlike("[A-Z]{3,}").alias("caps"), t.contains("!").alias("bang"),
     )
-    copies = docs.groupBy("digest").agg(F.count(F.lit(1)).alias("dup"))
-    return docs.join(copies, "digest").join(table(spark, sf, "labels"), "doc_id", "left")
+    # only digests that stand twice come back, so a large group of copies is no key of its own for the others
+    copies = docs.groupBy("digest").agg(F.count(F.lit(1)).alias("dup")).where("dup > 1")
+    return docs.join(copies, "digest", "left").withColumn("dup", F.coalesce("dup", F.lit(1))).join(table(spark, sf, "labels"), "doc_id", "left")
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,8 +85,9 @@ def insufficient(spark, sf):
 
 def _joint(size):
     def query(spark, sf):
-        rows = outcomes(spark, sf).where("polarity = 'pattern'")
-        tiers = bounds_tiers(spark, sf).where("tier IN ('regular', 'signature')").select("cohort", "detector")
+        # counts and combinations read one written matrix, so each rule runs over the texts once
+        rows = scratch.written(outcomes(spark, sf).where("polarity = 'pattern'"), "outcomes")
+        tiers = op.positive_tiers(op.evidence_bounds(op.opportunity_rates(rows))).where("tier IN ('regular', 'signature')").select("cohort", "detector")
         return op.combinations(rows, tiers, size)
 
     return query

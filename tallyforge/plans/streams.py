@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+from tallyforge.sources import scratch
 from tallyforge.sources.tables import table
 from tallyforge.streaming import leases
 
 
-def _scratch(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where the setting is missing and Spark is local (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(found or tempfile.mkdtemp(prefix='stream-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def lease_stream(spark, sf):
     """Leases of the events table run as a stream to a table; one more with every restart is not written."""
-    folder = _scratch(spark, "leases")
+    folder = scratch.folder(spark, "leases")
     leases.run_to_table(leases.leases(leases.read_events(spark, f"{sf}/events.parquet")), f"{folder}/out", f"{folder}/state")
     return _seconds(spark.read.schema("user_id long, claimed_at timestamp, state string, at timestamp").parquet(f"{folder}/out"))
 
@@ -34,7 +24,7 @@ def lease_history(spark, sf):
 
 def event_windows(spark, sf):
     """Events by type and hour through the stream's plan, run over a finished table."""
-    folder = _scratch(spark, "windows")
+    folder = scratch.folder(spark, "windows")
     counts = leases.windowed_counts(leases.read_events(spark, f"{sf}/events.parquet"), "1 hour", "365 days").selectExpr("window.start AS start", "event_type", "n")
     out = f"{folder}/out"
     counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start().awaitTermination()

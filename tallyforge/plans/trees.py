@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tallyforge.functions import text as tx, times as tm
 from tallyforge.operators import dimensions as dm, rhetoric as rh
-from tallyforge.sources import decks, files, outlines as ot
+from tallyforge.sources import decks, files, outlines as ot, scratch, sinks
 from tallyforge.sources.tables import table
 
 
-def _scratch(spark, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where the setting is missing and Spark is local (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(found or tempfile.mkdtemp(prefix='trees-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _ELEMENTS = ("call-to-adventure", "call-to-action", "new-bliss", "star-moment", "inoculation", "other")
 
 
@@ -171,7 +160,7 @@ _IDS = """WITH c AS (SELECT c_custkey, c_custkey % 6 AS m, lpad(upper(to_hex(c_c
 
 def caption_files(spark, sf):
     """Conversations written as caption files, one each, and read back as cues."""
-    path = _scratch(spark, "captions")
+    path = scratch.folder(spark, "captions")
     cue = lambda k: F.concat(tm.m_ss(k), F.lit(".000"))
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
     stamp = F.concat(F.lpad(cue(F.col("turn") * 7), 9, "0"), F.lit(" --> "), F.lpad(cue(F.col("turn") * 7 + 5), 9, "0"), F.lit(" align:start"))
@@ -188,7 +177,7 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS se
 
 def return_files(spark, sf):
     """Orders written as JSON returns in four shapes, some broken, and read back strictly."""
-    path = _scratch(spark, "returns")
+    path = scratch.folder(spark, "returns")
     o = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 6).alias("m"))
     one = F.concat(F.lit('{"filename":"t'), "c_custkey", F.lit('.md","n":'), "m", F.lit("}"))
     text = F.element_at(F.array(one, F.concat(F.lit("["), one, F.lit(","), one, F.lit("]")), F.concat(F.lit('{"returns":['), one, F.lit("]}")), F.concat(F.lit('{"harvest":['), one, F.lit("]}")), F.concat(F.substring(one, 1, 9), F.lit("NaN}")), F.lit("3")), (F.col("m") + 1).cast("int"))
@@ -213,11 +202,29 @@ def page_heads(spark, sf):
 _HEADS = """SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS title, CASE WHEN p_partkey % 5 <> 0 THEN 'a,' || p_brand END AS tags, CASE WHEN p_partkey % 5 <> 0 THEN 2 END AS speakers, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 4 = 0 THEN 'title' END AS repeated FROM part"""
 
 
+def bundles(spark, sf):
+    """Conversations committed as texts, segments and receipts in one version, and read back together."""
+    c = table(spark, sf, "conversations")
+    texts = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text")).where("conv_id % 5 <> 0")
+    timed = c.select("conv_id", "text", (F.col("turn") * 2.0).alias("start"), F.when(F.col("turn") % 3 != 0, F.col("turn") * 2.0 + 1).alias("end"), F.lit(None).cast("double").alias("duration"))
+    receipts = c.select("conv_id", F.lit("ok").alias("verdict")).distinct()
+    vault = sinks.VersionedTable(spark, scratch.folder(spark, "bundle"))
+    vault.commit(0, sinks.transcript_bundle(texts, timed, "conv_id", "text", receipts))
+    segments = vault.read(part="segments").groupBy("conv_id").agg(F.count(F.lit(1)).alias("segments"), F.max("end").alias("last"))
+    return vault.read(part="texts").join(vault.read(part="receipts"), "conv_id").join(segments, "conv_id", "left").select("conv_id", "sha256", "verdict", F.coalesce("segments", F.lit(0)).alias("segments"), "last")
+
+
+def cards(spark, sf):
+    return sinks.markdown_table(table(spark, sf, "nation").select("n_regionkey", "n_nationkey", F.concat("n_name", F.lit("|x")).alias("n_name")), "n_regionkey", ["n_nationkey", "n_name"], ["n_nationkey"])
+
+
 QUERIES = {
-    "resource_lines": resource_lines, "script_dialogue": dialogue, "slide_blobs": blobs, "sparkline_elements": sparkline, "inoculation_counts": inoculations, "outline_errors": tree_errors, "build_manifest": builds, "dimension_findings": dimension_findings,
+    "transcript_bundles": bundles, "markdown_tables": cards, "resource_lines": resource_lines, "script_dialogue": dialogue, "slide_blobs": blobs, "sparkline_elements": sparkline, "inoculation_counts": inoculations, "outline_errors": tree_errors, "build_manifest": builds, "dimension_findings": dimension_findings,
     "deck_flavors": deck_flavors, "extracted_resources": extracted, "provider_ids": provider_ids, "caption_files": caption_files, "return_files": return_files, "page_heads": page_heads,
 }
 ORACLES = {
+    "transcript_bundles": "WITH c AS (SELECT * FROM conversations WHERE conv_id % 5 <> 0), t AS (SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS sha256 FROM c GROUP BY 1) SELECT conv_id, sha256, 'ok' AS verdict, count(*) FILTER (turn % 3 <> 0) AS segments, max(turn * 2.0 + 1) FILTER (turn % 3 <> 0)::DOUBLE AS last FROM t JOIN c USING (conv_id) GROUP BY ALL",
+    "markdown_tables": r"SELECT n_regionkey, '| n_nationkey | n_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || '\|x |', chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY 1",
     "resource_lines": _LINES,
     "script_dialogue": f"WITH {_K} SELECT 'slide ' || turn AS location, count(*) AS lines, count(*) FILTER (k % 3 = 0) AS attributed FROM k GROUP BY 1 UNION ALL SELECT 'interlude i' || turn, count(*), count(*) FILTER (k % 3 = 0) FROM k WHERE turn % 4 = 0 GROUP BY 1",
     "slide_blobs": f"WITH {_K} SELECT conv_id, turn::INT AS n, concat_ws(' | ', CASE WHEN k % 2 = 0 THEN 'chart ' || k END, CASE WHEN k % 3 = 1 THEN 'a' || k || chr(10) || 'b' END) AS blob FROM k",

@@ -32,20 +32,25 @@ class VersionedTable:
             return 0
         return max((int(s.getPath().getName()) for s in self._fs.listStatus(pointers) if s.getPath().getName().isdigit()), default=0)
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def read(self, version: int | None = None, part: str | None = None) -> DataFrame:
+        """A version, by default the last; part: one of its tables, where it has several."""
         v = version or self.version()
         if not v:
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/v={v}")
+        return self.spark.read.parquet(f"{self.path}/v={v}/{part}" if part else f"{self.path}/v={v}")
 
-    def commit(self, expected: int, candidate: DataFrame, errors: DataFrame | None = None) -> int:
-        """Writes the next version; any row in errors, or another version than expected, leaves the table as it is."""
+    def commit(self, expected: int, candidate: DataFrame | dict[str, DataFrame], errors: DataFrame | None = None) -> int:
+        """Writes the next version; any row in errors, or another version than expected, leaves the table as it is.
+
+        A dict of tables is one version with a folder for each: all of them become visible at once, or none does.
+        """
         if errors is not None and (found := errors.limit(1).collect()):
             raise ValueError(f"not committed: {found[0].asDict()}")
         if self.version() != expected:
             raise Conflict(f"version is {self.version()}, not {expected}")
         staged = f"{self.path}/_staged/{expected + 1}-{self.spark.sparkContext.applicationId}-{id(candidate)}"
-        candidate.write.mode("errorifexists").parquet(staged)
+        for name, part in candidate.items() if isinstance(candidate, dict) else [("", candidate)]:
+            part.write.mode("errorifexists").parquet(f"{staged}/{name}" if name else staged)
         self._exclusively(f"{self.path}/_claims/{expected + 1}", f"version {expected + 1} is taken")
         if not self._fs.rename(self._path(staged), self._path(f"{self.path}/v={expected + 1}")):
             self._fs.delete(self._path(f"{self.path}/_claims/{expected + 1}"), False)
@@ -66,6 +71,27 @@ class VersionedTable:
             self._fs.delete(self._path(f"{self.path}/{path}"), True)
 
 
+def transcript_bundle(transcripts: DataFrame, segments: DataFrame, key: str, text: str, receipt: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a transcript version: texts with their digest, regular segments in order, and the quality receipt.
+
+    Segments of a transcript that is not there are left out; receipts too.
+    """
+    from tallyforge.operators.sequences import segments as regular
+
+    texts = transcripts.select(key, text, F.sha2(text, 256).alias("sha256"))
+    timed = regular(segments.join(texts.select(key), key, "left_semi")).sort(key, "start")
+    return {"texts": texts, "segments": timed, "receipts": receipt.join(texts.select(key), key, "left_semi")}
+
+
+def markdown_table(rows: DataFrame, by: str, columns: list[str], order: list[str]) -> DataFrame:
+    """(by, text): the rows of each key as a Markdown table, in order, with a head."""
+    from tallyforge.functions.text import table_cell
+
+    line = F.concat(F.lit("| "), F.array_join(F.array(*(F.coalesce(table_cell(F.col(c).cast("string")), F.lit("")) for c in columns)), " | "), F.lit(" |"))
+    head = f"| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
+    return listing(rows, by, order, line).select(by, F.concat(F.lit(head), "text").alias("text"))
+
+
 def initialise(df: DataFrame, path: str) -> None:
     """Creates a table; fails where one is."""
     df.write.mode("errorifexists").parquet(path)
