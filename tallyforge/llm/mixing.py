@@ -30,11 +30,11 @@ def targets(sizes: DataFrame, total_share: float = 1.5, max_epochs: int = 2, wei
     return levels.withColumn("level", first.over(every)["at"]).select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, rows_per_bucket: int = 20_000, total_share: float = 1.5, max_epochs: int = 2) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 42, rows_per_bucket: int = 4_000, total_share: float = 1.5, max_epochs: int = 2) -> DataFrame:
     """How many words of each document the mix takes.
 
     Returns doc_id, size, source, source_size, target, taken; one row for each row of docs. A document's key is a
-    seeded hash of its id (ties: of its source and size). The keys are cut into equal ranges, so that a range of a source
+    seeded hash of its id, source and text, so rows without an id are spread too. The keys are cut into equal ranges, so that a range of a source
     is a few thousand rows whatever the source's share; the words of each range are summed, the sums are summed up
     along the ranges of a source, and only within a range are rows sorted. A source takes whole epochs while its budget
     lasts, and of the last one the words up to exactly floor(target): the document at the cut is taken in part.
@@ -43,7 +43,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     each count as rows. An empty table gives an empty result. Other columns of docs are not read.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")).withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "source")), "mix-sizes")
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), id_col, F.col(source_col).cast("string"), text_col).alias("key")), "mix-sizes")
     n = rows.count()
     bits = max(0, min(40, (n // rows_per_bucket).bit_length()))
     rows = rows.withColumn("range", F.shiftright(F.col("key"), 64 - bits) if bits else F.lit(0).cast("long"))

@@ -12,7 +12,7 @@ from .common import components, frugal, materialize, small_batches
 from .simhash import _BITS, forest, links
 
 #: Words of 64 bits in a fingerprint, and tries over 32 of its bits each.
-WIDTH, TRIES = 8, 8
+WIDTH, TRIES = 8, 10
 #: Differing bits of a trie's 32 at most, and of the whole fingerprint's 512: texts of similarity 0.8 differ in 78, give or take 8.
 NEAR, LIMIT = 3, 93
 _STEPS = (np.arange(1, WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
@@ -110,9 +110,9 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     """(doc_id, component_id) of each row: groups of texts linked by a Jaccard similarity of `least` or more of their shingles.
 
     Texts that are equal in lower case, but for white space, are one vertex. Each gets 512 bits by SimHash over its
-    distinct shingles; two texts of similarity 0.8 are within 3 bits of 32 in one of eight tries with a probability of 0.91,
+    distinct shingles; two texts of similarity 0.8 are within 3 bits of 32 in one of ten tries with a probability of 0.95,
     more alike ones with a higher one. Such two share one of the 32 bits' four bytes, so texts meet by place and value of
-    each of 32 bytes, in groups that the trie's self-join works on; a group of more than `unit` texts is cut into units
+    each of 40 bytes, in groups that the trie's self-join works on; a group of more than `unit` texts is cut into units
     that meet two by two. What is near in the trie and on the whole fingerprint gives a spanning forest with the nearest
     edges, and each edge is checked exactly by the shingles of the two texts.
 
@@ -141,7 +141,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     every = materialize(rows.mapInArrow(frugal(prints), f"doc_id {id_type}, v binary, wide binary, bytes array<short>, said binary"), "prints", compression="zstd")
     known = materialize(every.groupBy("v").agg(F.min("doc_id").alias("low"), F.first(F.struct("wide", "bytes")).alias("print")).select("v", "low", "print.*"), "prints-distinct")
     met = known.select("v", "wide", F.posexplode("bytes").alias("place", "value")).select("v", "wide", (F.col("place") * 256 + F.col("value")).alias("at"))
-    sizes = known.select(F.posexplode("bytes").alias("place", "value")).groupBy((F.col("place") * 256 + F.col("value")).alias("at")).agg(F.ceil(F.count(F.lit(1)) / unit).cast("long").alias("units"))  # 32 x 256 rows
+    sizes = known.select(F.posexplode("bytes").alias("place", "value")).groupBy((F.col("place") * 256 + F.col("value")).alias("at")).agg(F.ceil(F.count(F.lit(1)) / unit).cast("long").alias("units"))  # 40 x 256 rows
     met = met.join(F.broadcast(sizes), "at").withColumn("mine", F.pmod(F.xxhash64("v"), F.col("units")))
     number = lambda x, y: (F.col("at") * F.col("units") + x) * F.col("units") + y
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("units") - 1), lambda u: u != F.col("mine"))

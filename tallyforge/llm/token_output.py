@@ -115,7 +115,8 @@ def decode_block(block: dict, table: Table, first: int = 0, last: int | None = N
 class Encoder:
     """Ids of texts by a tokenizers file, each distinct chunk between spaces or line feeds encoded once.
 
-    The tokenizer must drop white space and ignore case, so chunks encode alike alone and in a text. New chunks are
+    The tokenizer must drop white space and ignore case, so chunks encode alike alone and in a text; one that shows
+    otherwise on a few probes is refused. New chunks are
     encoded many at a time, parted by a mark, and the ids are cut at the mark's ids; a chunk that holds the mark is
     encoded alone. Chunks are kept up to a number, which bounds a worker's memory and doesn't change results.
     """
@@ -130,6 +131,10 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # found in texts as they stand, with case
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        plain = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        for probe in ("The Quick  brown\nFOX, jumped.", " Ünï CÖDE\t12\n\n", "don't Stop-me 日本 x_Y"):
+            if plain(probe) != [i for chunk in probe.lower().replace("\n", " ").split(" ") for i in plain(chunk)]:
+                raise ValueError("the tokenizer keeps white space or case, so texts can't be encoded chunk by chunk")
         self.mark = np.array(self.tokenizer.encode(self.MARK, add_special_tokens=False).ids, dtype=self.kind)
 
     def new(self, words: list[str], many: int = 1024) -> None:

@@ -128,6 +128,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_train: int, id_col: str, text
     ids = rows.withColumn("h", F.xxhash64(F.lit(7), "id")).orderBy("h", "id").limit(max_train)
     fold = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(10)).cast("int")
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")  # max_train rows
+    found = found.groupBy("id", "y").agg(F.min("text").alias("text"))  # one row an id, however often it stands
     return materialize(found.select(fold.alias("fold"), "y", F.coalesce("text", F.lit("")).alias("text")), "tox-train")
 
 
@@ -180,32 +181,31 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def best(batches):
         table = Scores(blank.terms, blank.drift)
         for batch in batches:
-            out = []
-            for text in batch.column(2).to_pylist():
-                s = word_scores(text, table)
-                out.append((len(s), [x for *_, x in segments(s)]))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.float64()))], names=["y", "n", "s"])
+            scores = [word_scores(text, table) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(s) for s in scores], pa.int64()), pa.array([max((x for *_, x in segments(s)), default=0.0) for s in scores], pa.float64())], names=["y", "n", "best"])
 
-    rest = train.where("fold >= 7").mapInArrow(best, "y int, n long, s array<double>").collect()  # part of max_train rows
-    quiet = np.array([max(r["s"], default=0.0) for r in rest if not r["y"]] or [0.0])
-    n = np.array([max(1, r["n"]) for r in rest if not r["y"]] or [1])
+    held = train.where("fold >= 7")
+    calm = held.where("y = 0").mapInArrow(best, "y int, n long, best double").collect()  # part of max_train rows, two numbers each
+    quiet, n = np.array([r["best"] for r in calm] or [0.0]), np.array([max(1, r["n"]) for r in calm] or [1])
     # tail of the best segment of a clean text: P(S >= s) = 1 - exp(-k n exp(-lam s)); its slope from the mean excess
     lam = 1 / max(0.25, float(quiet.mean()))
     k = max(1e-6, 1 / float(np.mean(n * np.exp(-lam * quiet))))
-    model, terms = Model(terms, drift, lam, k, (0.0, 0.0, 0.0)), log_odds(train)  # calibrated on other rows, used with all
+    terms = log_odds(train)  # calibrated on other rows, used with all
+    fitted = Model(blank.terms, drift, lam, k, (0.0, 0.0, 0.0))
+
+    def judged(batches):
+        table = Scores(fitted.terms, fitted.drift)
+        for batch in batches:
+            found = [fitted.evidence(word_scores(text, table)) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x for x, _ in found], pa.float64()), pa.array([y for _, y in found], pa.float64())], names=["y", "unlikely", "passages"])
+
+    rest = held.mapInArrow(judged, "y int, unlikely double, passages double").collect()  # part of max_train rows, two numbers each
     if len({r["y"] for r in rest}) < 2:
         return Model(terms, drift, lam, k, (-2.0, 0.5, 1.0))
-    x = np.array([_evidence(model, r["n"], r["s"]) for r in rest])
-    w = logistic(x, np.array([r["y"] for r in rest], dtype=float))
+    w = logistic(np.array([[r["unlikely"], r["passages"]] for r in rest]), np.array([r["y"] for r in rest], dtype=float))
     return Model(terms, drift, lam, k, tuple(map(float, w)))
 
 
-def _evidence(model: Model, n: int, found: list[float]) -> tuple[float, float]:
-    n, best = max(1, n), max(found, default=0.0)
-    unlikely = model.lam * best - math.log(model.k * n)
-    return max(-30.0, min(30.0, unlikely)), math.log1p(sum(model.k * n * math.exp(-model.lam * s) <= 0.01 for s in found))
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, passages) of each row, from its text alone.
 

@@ -42,6 +42,28 @@ def test_ring_moves_little():
     assert sum(n for a, _, n, s in plan if s == six[a]) > 0.8 * loads.sum()
 
 
+def test_a_larger_ring_moves_few_keys():
+    """From 40 to 41 shards: a new shard's part of the keys moves to it, and the overflow of full shards little more."""
+    rng = np.random.default_rng(1)
+    keys = np.sort(rng.integers(-(1 << 63), 1 << 63, 100_000))
+
+    def placed(shards):
+        points, owners = sharding.ring(shards, 128)
+        arc = np.searchsorted(np.array(points), keys) % len(points)
+        where = np.empty(len(keys), dtype=np.int64)
+        rank = np.empty(len(keys), dtype=np.int64)
+        for a in np.unique(arc):
+            own = np.flatnonzero(arc == a)
+            rank[own] = np.arange(len(own))
+        for a, first, n, s in sharding.spread(np.bincount(arc, minlength=len(points)), owners, shards):
+            where[(arc == a) & (rank >= first) & (rank < first + n)] = s
+        return where
+
+    before, after = placed(40), placed(41)
+    assert np.bincount(after).max() - np.bincount(after).min() <= 1
+    assert (before != after).mean() < 0.06 and ((before != after) & (after != 40)).mean() < 0.035
+
+
 def brute_fingerprint(text):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = WORD.findall(lowered)
@@ -195,6 +217,44 @@ def test_dropout_depends_on_seed_and_document_alone():
     assert a.vocabulary.segment_all(chunks, keys, a.dropout) == [np.array(a.vocabulary.segment(x, k, a.dropout), "<u2").tobytes() for x, k in zip(chunks, keys)]
 
 
+def plain_dropout(model, chunk, key, dropout):
+    """Byte-pair merging over a list of parts: at each step the best pair of neighbours that is not skipped, the first of equals."""
+    mask = (1 << 64) - 1
+    score = {model.id_to_piece(i).replace("\u2581", " "): (model.get_score(i), i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    parts = [(i, i + 1) for i in range(len(chunk))]
+
+    def skipped(a, b):
+        h = ((key ^ (a * 0x9E3779B97F4A7C15) ^ (b * 0xC2B2AE3D27D4EB4F)) * 0xFF51AFD7ED558CCD) & mask
+        h ^= h >> 33
+        return ((h * 0x9E3779B97F4A7C15) & mask) >> 32 < dropout
+
+    while True:
+        best = [(-score[chunk[a:d]][0], a, k) for k, ((a, _), (_, d)) in enumerate(zip(parts, parts[1:])) if chunk[a:d] in score and not skipped(a, d)]
+        if not best:
+            break
+        k = min(best)[2]
+        parts[k : k + 2] = [(parts[k][0], parts[k + 1][1])]
+    out = []
+    for a, b in parts:
+        out += [score[chunk[a:b]][1]] if chunk[a:b] in score else [model.piece_to_id(f"<0x{x:02X}>") for x in chunk[a:b].encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_dropout_equals_plain_merging(dropout):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, run = sentencepiece.SentencePieceProcessor(model_file=path), spd.Segmenter(path, 5, dropout)
+    rng = np.random.default_rng(3)
+    chunks = [" river", " extraordinarily", "  tomorrow", "x\u2581y", "\u65e5\u672c", " aaaaaaaa", "\n", " na\u00efve", " international" * 1, " the"]
+    for chunk in chunks:
+        for key in rng.integers(0, 1 << 63, 12).tolist():
+            want = plain_dropout(model, chunk, key, run.dropout)
+            assert run.vocabulary.segment(chunk, key, run.dropout) == want
+            assert run.vocabulary.segment_all([chunk], [key], run.dropout) == [np.array(want, run.vocabulary.kind).tobytes()]
+
+
 def test_every_place_has_its_own_dropout():
     run = spd.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 1, 0.3)
     cuts = run.encode(["tomorrow"] * 300, [f"d{i}" for i in range(300)])
