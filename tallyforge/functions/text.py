@@ -193,6 +193,11 @@ def locator_kind(path: Column) -> Column:
     return kind.when(path.rlike(r"^[A-Za-z]:[\\/]"), "windows").when(path.startswith("/"), "posix").otherwise("relative")
 
 
+def style_slug(name: Column) -> Column:
+    """Runs of a-z and 0-9 joined by hyphens, `style` where there are none."""
+    return F.coalesce(F.nullif(F.btrim(F.regexp_replace(F.lower(F.btrim(name)), "[^a-z0-9]+", "-"), F.lit("-")), F.lit("")), F.lit("style"))
+
+
 def safe_name(text: Column) -> Column:
     """A file name of word characters, dots and hyphens."""
     return F.btrim(F.regexp_replace(text, r"[^\w.-]+", "_"), F.lit("._"))

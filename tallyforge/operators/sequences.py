@@ -78,3 +78,17 @@ def segments(rows: DataFrame) -> DataFrame:
     good = F.col("start").isNotNull() & end.isNotNull() & ~F.isnan("start") & ~F.isnan(end) & (F.col("start") >= 0) & (end > F.col("start")) & (F.abs(end) != float("inf"))
     made = rows.where(good).withColumns({"start": F.bround("start", 3), "end": F.bround(end, 3)}).drop("duration")
     return made.where("end > start")
+
+
+def retained_frames(frames: DataFrame, key: str, index: str, fps: float) -> DataFrame:
+    """(key, page_number, frame_index, timestamp_seconds): kept frames as pages, with the time of each to three places."""
+    if fps <= 0:
+        raise ValueError("fps must be over zero")
+    page = F.row_number().over(W.partitionBy(key).orderBy(index))
+    return frames.select(key, page.alias("page_number"), F.col(index).alias("frame_index"), F.bround(F.col(index) / F.lit(fps), 3).alias("timestamp_seconds"))
+
+
+def timing_summary(slides: DataFrame, by: list[str], counts: list[str], flags: list[str]) -> DataFrame:
+    """For each deck: slides on which a count is over zero or a flag is set, and the sums of the counts."""
+    some = [F.count_if(F.col(c) > 0).alias(f"slides_with_{c}") for c in counts] + [F.count_if(F.col(f)).alias(f"slides_with_{f}") for f in flags]
+    return slides.groupBy(*by).agg(*some, *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in counts))

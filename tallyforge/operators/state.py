@@ -71,3 +71,15 @@ def latest(rows: DataFrame, key: str, generation: str) -> DataFrame:
     """The row of the highest generation of each key."""
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), generation).alias("r")).select(key, "r.*")
+
+
+def merge_by_policy(existing: DataFrame, incoming: DataFrame, key: str, replace: list[str], additive: list[str]) -> DataFrame:
+    """existing with the fields of incoming: replaced ones as given, where the record gives them at all; additive maps key by key.
+
+    A null field was not given and stays; an empty array is given and replaces. Of additive maps empty values never win.
+    """
+    new = incoming.select(F.col(key).alias("_k"), *(F.col(c).alias(f"_{c}") for c in (*replace, *additive)))
+    both = existing.join(new, existing[key] == F.col("_k"), "full_outer").withColumn(key, F.coalesce(key, "_k"))
+    both = both.withColumns({c: F.coalesce(f"_{c}", c) for c in replace})
+    both = both.withColumns({c: F.when(F.col(f"_{c}").isNull(), F.col(c)).when(F.col(c).isNull(), F.col(f"_{c}")).otherwise(merge_maps(F.col(c), F.col(f"_{c}"))) for c in additive})
+    return both.select(*existing.columns)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as tx, times as tm
 from tallyforge.operators import dimensions as dm, rhetoric as rh
-from tallyforge.sources import decks, files, outlines as ot, scratch, sinks
+from tallyforge.operators import sequences, state
+from tallyforge.sources import decks, files, outlines as ot, scratch, sinks, vault
 from tallyforge.sources.tables import table
 
 
@@ -218,11 +219,53 @@ def cards(spark, sf):
     return sinks.markdown_table(table(spark, sf, "nation").select("n_regionkey", "n_nationkey", F.concat("n_name", F.lit("|x")).alias("n_name")), "n_regionkey", ["n_nationkey", "n_name"], ["n_nationkey"])
 
 
+def catalogs(spark, sf):
+    """Nations written as a catalog of Markdown entries, some with errors, and read back."""
+    path = scratch.folder(spark, "catalog")
+    n = table(spark, sf, "nation")
+    k = F.col("n_nationkey")
+    text = F.concat(F.lit("---\nid: "), F.when(k % 7 == 0, "same").otherwise(F.lower("n_name")), F.lit("\nname: "), "n_name", F.lit("\ntype: "), F.when(k % 5 == 0, "idea").when(k % 2 == 0, "pattern").otherwise("antipattern"), F.when(k % 3 == 0, "\nobservable: false").otherwise(""), F.lit("\naliases: [a, b"), k, F.lit("]\nvault_dimensions: [1, 13]"), F.when(k % 4 == 0, "\nabsence_evaluable_from:\n  - slides+audio\n  - text").otherwise(""), F.lit("\n---\nText\n"))
+    n.select(F.concat(F.lit("n"), k).alias("entry"), text.alias("value")).write.partitionBy("entry").text(path)
+    found, print_ = vault.catalog(spark, path, "*.txt")
+    return found.crossJoin(print_).select("name", "id", "polarity", "observable", F.array_join("aliases", ",").alias("aliases"), F.array_join(F.col("dimensions").cast("array<string>"), ",").alias("dimensions"), F.array_join(F.transform("absence_gate", lambda g: F.array_join(g, "+")), "|").alias("gate"), F.array_join("errors", ",").alias("errors"), "entries")  # one row
+
+
+_CATALOGS = """SELECT n_name AS name, CASE WHEN n_nationkey % 7 = 0 THEN 'same' ELSE lower(n_name) END AS id, CASE WHEN n_nationkey % 5 = 0 THEN 'idea' WHEN n_nationkey % 2 = 0 THEN 'pattern' ELSE 'antipattern' END AS polarity, n_nationkey % 3 <> 0 AS observable, 'a,b' || n_nationkey AS aliases, '1,13' AS dimensions, CASE WHEN n_nationkey % 4 = 0 THEN 'audio+slides|text' END AS gate,
+ concat_ws(',', CASE WHEN n_nationkey % 7 = 0 THEN 'id_duplicate' END, CASE WHEN n_nationkey % 5 = 0 THEN 'type_invalid' END) AS errors, (SELECT count(*) FROM nation) AS entries FROM nation"""
+
+
+def frames(spark, sf):
+    kept = table(spark, sf, "lineitem").where("l_quantity > 25").select("l_orderkey", (F.col("l_linenumber") * 7).alias("i")).distinct()
+    return sequences.retained_frames(kept, "l_orderkey", "i", 3.0)
+
+
+def timing(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_suppkey", (F.col("l_linenumber") % 3).alias("transitions"), (F.col("l_quantity") % 2).cast("long").alias("builds"), (F.col("l_linenumber") == 1).alias("media"))
+    return sequences.timing_summary(rows, ["l_suppkey"], ["transitions", "builds"], ["media"])
+
+
+def policy_merge(spark, sf):
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    old = c.where(k % 5 != 0).select("c_custkey", "c_mktsegment", F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")).alias("m"))
+    new = c.where(k % 3 != 0).select("c_custkey", F.when(k % 2 == 0, "NEW").alias("c_mktsegment"), F.when(k % 7 != 0, F.create_map(F.lit("b"), F.when(k % 4 == 0, "").otherwise("9"), F.lit("c"), F.lit("3"))).alias("m"))
+    found = state.merge_by_policy(old, new, "c_custkey", ["c_mktsegment"], ["m"])
+    return found.select("c_custkey", "c_mktsegment", *(F.col(f"m.{x}").alias(x) for x in "abc"), tx.style_slug(F.concat(F.lit(" The "), "c_mktsegment", F.lit("!"))).alias("slug"))
+
+
+_POLICY = """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS s, c_custkey % 5 <> 0 AS o, c_custkey % 3 <> 0 AS n, c_custkey % 3 <> 0 AND c_custkey % 7 <> 0 AS nm FROM customer), x AS (SELECT *, CASE WHEN n AND k % 2 = 0 THEN 'NEW' WHEN o THEN s END AS seg FROM c WHERE o OR n)
+SELECT k AS c_custkey, seg AS c_mktsegment, CASE WHEN o THEN '1' END AS a, CASE WHEN nm AND NOT o THEN CASE WHEN k % 4 = 0 THEN '' ELSE '9' END WHEN nm AND k % 4 <> 0 THEN '9' WHEN o THEN '2' END AS b, CASE WHEN nm THEN '3' END AS c, CASE WHEN seg IS NULL THEN 'style' ELSE 'the-' || lower(seg) END AS slug FROM x"""
+
+
 QUERIES = {
-    "transcript_bundles": bundles, "markdown_tables": cards, "resource_lines": resource_lines, "script_dialogue": dialogue, "slide_blobs": blobs, "sparkline_elements": sparkline, "inoculation_counts": inoculations, "outline_errors": tree_errors, "build_manifest": builds, "dimension_findings": dimension_findings,
+    "catalog_entries": catalogs, "retained_frames": frames, "timing_summary": timing, "policy_merge": policy_merge, "transcript_bundles": bundles, "markdown_tables": cards, "resource_lines": resource_lines, "script_dialogue": dialogue, "slide_blobs": blobs, "sparkline_elements": sparkline, "inoculation_counts": inoculations, "outline_errors": tree_errors, "build_manifest": builds, "dimension_findings": dimension_findings,
     "deck_flavors": deck_flavors, "extracted_resources": extracted, "provider_ids": provider_ids, "caption_files": caption_files, "return_files": return_files, "page_heads": page_heads,
 }
 ORACLES = {
+    "catalog_entries": _CATALOGS,
+    "retained_frames": "WITH f AS (SELECT DISTINCT l_orderkey, l_linenumber * 7 AS i FROM lineitem WHERE l_quantity > 25) SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY i)::INT AS page_number, i AS frame_index, round(i / 3.0::DOUBLE, 3) AS timestamp_seconds FROM f",
+    "timing_summary": "SELECT l_suppkey, count(*) FILTER (l_linenumber % 3 > 0) AS slides_with_transitions, count(*) FILTER (l_quantity::BIGINT % 2 > 0) AS slides_with_builds, count(*) FILTER (l_linenumber = 1) AS slides_with_media, sum(l_linenumber % 3)::BIGINT AS transitions, sum(l_quantity::BIGINT % 2)::BIGINT AS builds FROM lineitem GROUP BY 1",
+    "policy_merge": _POLICY,
     "transcript_bundles": "WITH c AS (SELECT * FROM conversations WHERE conv_id % 5 <> 0), t AS (SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS sha256 FROM c GROUP BY 1) SELECT conv_id, sha256, 'ok' AS verdict, count(*) FILTER (turn % 3 <> 0) AS segments, max(turn * 2.0 + 1) FILTER (turn % 3 <> 0)::DOUBLE AS last FROM t JOIN c USING (conv_id) GROUP BY ALL",
     "markdown_tables": r"SELECT n_regionkey, '| n_nationkey | n_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || '\|x |', chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY 1",
     "resource_lines": _LINES,

@@ -140,3 +140,14 @@ def test_commits_name_what_can_be_read(spark, tmp_path):
     assert table.version() == 1 and table.read().count() == 3
     table.recover()
     assert table.commit(1, spark.range(6)) == 2 and table.read().count() == 6
+
+
+def test_vault_parts(spark, tmp_path):
+    from tallyforge.sources import vault
+
+    (tmp_path / "tracking-database.json").write_text('{"config":{"speaker_name":"Ann"},"talks":[{"filename":"a"},{"filename":"b"}]}')
+    (tmp_path / "rhetoric-style-summary.md").write_text("Summary")
+    parts = vault.load(spark, str(tmp_path))
+    assert [r[0] for r in parts["talks"].select(F.try_variant_get("talk", "$.filename", "string")).collect()] == ["a", "b"]
+    assert parts["summary"].collect()[0].text == "Summary" and parts["specification"].count() == 0 and parts["defects"].count() == 0
+    assert parts["config"].select(F.try_variant_get("config", "$.speaker_name", "string")).collect()[0][0] == "Ann"
