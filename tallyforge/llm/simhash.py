@@ -263,10 +263,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return group(docs, id_col, text_col, words, similarity)
     fps = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    found = components(trie_join(distinct.select("fp"), max_bits))
-    groups = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
-    lows = groups.groupBy("group").agg(F.min("low").alias("component_id"))
-    ids = groups.join(lows, "group").select("fp", "component_id")
+    # a vertex's name begins with its smallest id, so the smallest name of a component has that of the component
+    name = distinct.select("fp", F.struct(F.col("low").isNull().alias("none"), "low", "fp").alias("name"))
+    edges = trie_join(distinct.select("fp"), max_bits).join(name.toDF("a", "name_a"), "a").join(name.toDF("b", "name_b"), "b")
+    joined = components(edges.select(F.col("name_a").alias("a"), F.col("name_b").alias("b"))).select(F.col("node.fp").alias("fp"), F.col("component.low").alias("least"))
+    ids = distinct.join(joined, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
