@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import evidence, outcomes, reconcile, records, relations, streams, texts, trees
+from tallyforge.plans import evidence, outcomes, reconcile, records, relations, rules, streams, texts, trees
 
 FLAGSHIP = "opportunity_rates"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plans in (outcomes, relations, texts, evidence, reconcile, streams, trees, records):
+for _plans in (outcomes, relations, texts, evidence, reconcile, streams, trees, records, rules):
     QUERIES |= _plans.QUERIES
     ORACLES |= _plans.ORACLES
