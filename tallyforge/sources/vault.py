@@ -9,6 +9,10 @@ from tallyforge.functions import nested
 from tallyforge.sources import files
 
 
+#: Names of a vault's files.
+DATABASE, SUMMARY, SPECIFICATION = "tracking-database.json", "rhetoric-style-summary.md", "slide-design-spec.md"
+
+
 def catalog(spark: SparkSession, path: str, pattern: str = "*.md") -> tuple[DataFrame, DataFrame]:
     """(entries, fingerprint) of a folder of Markdown entries with a head of keys.
 
@@ -39,7 +43,7 @@ def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     root = root.rstrip("/")
     known = files.whole(spark, root, "*.{json,md}")
     named = lambda name: known.where(F.col("path").endswith(f"/{name}"))
-    database = files.strict_json(named("tracking-database.json"))
+    database = files.strict_json(named(DATABASE))
     good = database.where("defect is null")
     talks = good.select(F.posexplode(F.try_variant_get("document", "$.talks", "array<variant>")).alias("index", "talk"))
-    return {"talks": talks, "config": good.select(F.try_variant_get("document", "$.config", "variant").alias("config")), "defects": database.where("defect is not null").select("path", "defect"), "summary": named("rhetoric-style-summary.md").select("text"), "specification": named("slide-design-spec.md").select("text")}
+    return {"talks": talks, "config": good.select(F.try_variant_get("document", "$.config", "variant").alias("config")), "defects": database.where("defect is not null").select("path", "defect"), "summary": named(SUMMARY).select("text"), "specification": named(SPECIFICATION).select("text")}

@@ -145,8 +145,8 @@ def test_commits_name_what_can_be_read(spark, tmp_path):
 def test_vault_parts(spark, tmp_path):
     from tallyforge.sources import vault
 
-    (tmp_path / "tracking-database.json").write_text('{"config":{"speaker_name":"Ann"},"talks":[{"filename":"a"},{"filename":"b"}]}')
-    (tmp_path / "rhetoric-style-summary.md").write_text("Summary")
+    (tmp_path / vault.DATABASE).write_text('{"config":{"speaker_name":"Ann"},"talks":[{"filename":"a"},{"filename":"b"}]}')
+    (tmp_path / vault.SUMMARY).write_text("Summary")
     parts = vault.load(spark, str(tmp_path))
     assert [r[0] for r in parts["talks"].select(F.try_variant_get("talk", "$.filename", "string")).collect()] == ["a", "b"]
     assert parts["summary"].collect()[0].text == "Summary" and parts["specification"].count() == 0 and parts["defects"].count() == 0
