@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -65,31 +66,50 @@ def leases(events: DataFrame, stale_after: int = 3600, late: str = "10 minutes",
 
 
 def leases_batch(events: DataFrame, stale_after: int = 3600, opens: str = "signup", closes: str = "purchase", late: int = 600) -> DataFrame:
-    """The same leases of a finished table, as a fold over each key's events in order.
+    """The same leases of a finished table, as one pass over its events sorted by key and time.
 
     A lease that is open at the end has expired if it ran out before the last event less `late` seconds, where the
     stream's watermark ends; else it is left out.
     """
-    kept = events.where(F.col("event_type").isin(opens, closes)).select("user_id", F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "event_id", "event_type").alias("e"))
-    each = kept.groupBy("user_id").agg(F.sort_array(F.collect_list("e")).alias("all"))
-    kind = "array<struct<claimed:bigint,state:string,at:bigint>>"
-
-    def step(s, x):
-        late = s["claimed"].isNotNull() & (x["t"] - s["claimed"] >= stale_after)
-        held = F.when(late, F.lit(None).cast("long")).otherwise(s["claimed"])
-        out = F.when(late, F.array_append(s["out"], F.struct(s["claimed"].alias("claimed"), F.lit("expired").alias("state"), (s["claimed"] + stale_after).alias("at")))).otherwise(s["out"])
-        done = held.isNotNull() & (x["event_type"] == closes)
-        out = F.when(done, F.array_append(out, F.struct(held.alias("claimed"), F.lit("completed").alias("state"), x["t"].alias("at")))).otherwise(out)
-        now = F.when(done, F.lit(None).cast("long")).when(held.isNull() & (x["event_type"] == opens), x["t"]).otherwise(held)
-        return F.struct(now.alias("claimed"), out.alias("out"))
-
-    folded = F.aggregate("all", F.struct(F.lit(None).cast("long").alias("claimed"), F.array().cast(kind).alias("out")), step)
-    last = events.where(F.col("event_type").isin(opens, closes)).agg((F.unix_millis(F.max(F.col("ts").cast("timestamp"))) - 1000 * late).alias("mark"))
-    each = each.crossJoin(F.broadcast(last)).withColumn("end", folded)  # one row
-    gone = F.col("end.claimed").isNotNull() & ((F.col("end.claimed") + stale_after) * 1000 < F.col("mark"))
-    ended = F.when(gone, F.array(F.struct(F.col("end.claimed").alias("claimed"), F.lit("expired").alias("state"), (F.col("end.claimed") + stale_after).alias("at")))).otherwise(F.array().cast(kind))
-    rows = each.select("user_id", F.inline(F.concat("end.out", ended)))
-    return rows.select("user_id", F.timestamp_seconds("claimed").alias("claimed_at"), "state", F.timestamp_seconds("at").alias("at"))
+    kept = events.where(F.col("event_type").isin(opens, closes)).select("user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id", "event_type")
+    last = kept.agg(F.max("ms")).first()[0]
+    mark = None if last is None else last - 1000 * late
+
+    def fold(batches):
+        """One pass over rows sorted by user and time; what is carried is the user and the start of an open lease."""
+        user, claimed = object(), None
+
+        def ended(out):
+            if claimed is not None and (claimed + stale_after) * 1000 < mark:
+                out.append((user, claimed, "expired", claimed + stale_after))
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (kind, pa.int64(), pa.string(), pa.int64()))], names=["user_id", "claimed", "state", "at"])
+
+        kind = pa.int64()
+        for batch in batches:
+            out, kind = [], batch.schema.field("user_id").type
+            for who, ms, what in zip(*(batch.column(c).to_pylist() for c in ("user_id", "ms", "event_type"))):
+                t = ms // 1000
+                if who != user:
+                    ended(out)
+                    user, claimed = who, None
+                if claimed is not None and t - claimed >= stale_after:
+                    out.append((user, claimed, "expired", claimed + stale_after))
+                    claimed = None
+                if what == opens and claimed is None:
+                    claimed = t
+                elif what == closes and claimed is not None:
+                    out.append((user, claimed, "completed", t))
+                    claimed = None
+            yield batch_of(out)
+        out = []
+        ended(out)
+        yield batch_of(out)
+
+    rows = kept.repartition("user_id").sortWithinPartitions("user_id", "ms", "event_id")
+    found = rows.mapInArrow(fold, f"user_id {kept.schema['user_id'].dataType.simpleString()}, claimed long, state string, at long")
+    return found.select("user_id", F.timestamp_seconds("claimed").alias("claimed_at"), "state", F.timestamp_seconds("at").alias("at"))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -151,3 +151,15 @@ def test_vault_parts(spark, tmp_path):
     assert [r[0] for r in parts["talks"].select(F.try_variant_get("talk", "$.filename", "string")).collect()] == ["a", "b"]
     assert parts["summary"].collect()[0].text == "Summary" and parts["specification"].count() == 0 and parts["defects"].count() == 0
     assert parts["config"].select(F.try_variant_get("config", "$.speaker_name", "string")).collect()[0][0] == "Ann"
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_long_band_lists_give_what_short_ones_give(spark, monkeypatch, near):
+    from tallyforge.operators import bands
+
+    table = [(k, f"v{i}") for i, k in enumerate([5, 1, 9, 5, 3, 20, 1, 14])]
+    rows = spark.createDataFrame([(x / 2,) for x in range(-4, 50)] + [(None,)], "x double")
+    find = bands.nearest if near else bands.as_of
+    want = find(rows, F.col("x"), table).collect()
+    monkeypatch.setattr(bands, "MOST_BANDS", 3)
+    assert find(rows, F.col("x"), table).collect() == want
