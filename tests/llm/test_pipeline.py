@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as cp
-from tallyforge.llm import mixing, simhash, toxicity
+from tallyforge.llm import mixing, shingle_groups, simhash, toxicity
 
 from .fixtures import documents, rows
 
@@ -168,6 +168,8 @@ def test_near_copies_are_found(spark):
             data.append((4 * i + k, " ".join(near)))
     want, links = plain_groups(data)
     got = Counter(map(tuple, simhash.near_dedup(spark.createDataFrame(data, "doc_id long, text string"), words=5, similarity=0.8).collect()))
+    small = shingle_groups.group(spark.createDataFrame(data, "doc_id long, text string"), unit=7).collect()  # groups in units that meet two by two
+    assert Counter(map(tuple, small)) == got
     assert links > 300 and all(c % 4 == 0 or c == i for i, c in got)
     assert sum((got & want).values()) > 0.95 * len(data)
 
