@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.functions import nested, numbers as nu, text as tx, times as tm
-from tallyforge.operators import contracts as ct, evidence as ev, guardrails as gr, identity as idn, opportunity as op, profile as pf, sequences
+from tallyforge.operators import contracts as ct, evidence as ev, guardrails as gr, identity as idn, profile as pf, sequences
 from tallyforge.plans import outcomes as oc, texts
 from tallyforge.sources import sinks
 from tallyforge.sources.tables import table

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import numbers as nu, text as tx, times as tm
-from tallyforge.operators import bands, cohort, findings, matching, opportunity as op, sequences, state, text_quality, trend
+from tallyforge.operators import bands, cohort, findings, opportunity as op, sequences, state, text_quality, trend
 
 
 def one(spark, *columns):
