@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, sentencepiece_dropout, sharding, simhash, suffix_dedup, token_output, toxicity, vectors
+from . import clustering, line_dedup, mixing, sentencepiece_dropout, sharding, simhash, suffix_dedup, token_output, toxicity, vectors
 
 QUERIES = {
     "op1_cover_tree": vectors.op1,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_token_output": token_output.op8,
     "op9_mixing": mixing.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_clustering": clustering.op11,
 }
 
+_FLOORED = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE))"
 _VALID = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 ORACLES: dict[str, str] = {
     "op1_cover_tree": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {_VALID} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -28,3 +30,22 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
 }
+
+
+def _lloyd(rounds: int) -> str:
+    """Lloyd's rounds, each a pair of tables: the nearest centroids, and the means of their vectors."""
+    steps = [f"v AS MATERIALIZED (SELECT vec_id, {_FLOORED} AS e FROM embeddings WHERE {_VALID} AND len(embedding) = 64)"]
+    steps.append("c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, e AS c FROM (SELECT e, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT 40))")
+    for i in range(rounds + 1):
+        gap = "list_inner_product(e, e) + list_inner_product(c, c) - 2 * list_inner_product(e, c)"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, e, k, d FROM (SELECT vec_id, e, k, ({gap})::BIGINT AS d, row_number() OVER (PARTITION BY vec_id ORDER BY {gap}, k) AS r FROM v, c{i}) WHERE r = 1)")
+        if i < rounds:
+            steps.append(f"m{i} AS (SELECT k, at, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(e)::BIGINT AS x, unnest(range(64)) AS at FROM a{i}) GROUP BY ALL)")
+            steps.append(f"f{i} AS (SELECT k, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY at) AS c FROM m{i} GROUP BY k)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT k, coalesce(f{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN f{i} USING (k))")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
+ORACLES["op11_clustering"] = _lloyd(5)
