@@ -40,8 +40,8 @@ def _lloyd(rounds: int) -> str:
         gap = "list_inner_product(e, e) + list_inner_product(c, c) - 2 * list_inner_product(e, c)"
         steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, e, k, d FROM (SELECT vec_id, e, k, ({gap})::BIGINT AS d, row_number() OVER (PARTITION BY vec_id ORDER BY {gap}, k) AS r FROM v, c{i}) WHERE r = 1)")
         if i < rounds:
-            steps.append(f"m{i} AS (SELECT k, at, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(e)::BIGINT AS x, unnest(range(64)) AS at FROM a{i}) GROUP BY ALL)")
-            steps.append(f"f{i} AS (SELECT k, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY at) AS c FROM m{i} GROUP BY k)")
+            steps.append(f"m{i} AS (SELECT k, pos, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT k, unnest(e)::BIGINT AS x, unnest(range(64)) AS pos FROM a{i}) GROUP BY ALL)")
+            steps.append(f"f{i} AS (SELECT k, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY pos) AS c FROM m{i} GROUP BY k)")
             steps.append(f"c{i + 1} AS MATERIALIZED (SELECT k, coalesce(f{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN f{i} USING (k))")
     return f"""WITH {", ".join(steps)}
 SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
