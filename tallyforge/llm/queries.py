@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from . import clustering, line_dedup, mixing, sentencepiece_dropout, sharding, simhash, suffix_dedup, token_output, toxicity, vectors
+from . import clustering, line_dedup, mixing, neighbours, sentencepiece_dropout, sharding, simhash, suffix_dedup, token_output, toxicity, vectors
 
 QUERIES = {
     "op1_cover_tree": vectors.op1,
     "op2_sharding": sharding.op2,
     "op3_simhash": simhash.op3,
     "op4_line_dedup": line_dedup.op4,
-    "op5_top_k": vectors.op5,
+    "op5_top_k": neighbours.op5,
     "op6_sentencepiece": sentencepiece_dropout.op6,
     "op7_suffix_dedup": suffix_dedup.op7,
     "op8_token_output": token_output.op8,
     "op9_mixing": mixing.op9,
     "op10_toxicity": toxicity.op10,
     "op11_clustering": clustering.op11,
+    "op12_hard_negatives": neighbours.op12,
 }
 
 _FLOORED = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE))"
@@ -49,3 +50,9 @@ sha256(array_to_string(list_transform(c, lambda x: x::BIGINT), ',')) AS centroid
 
 
 ORACLES["op11_clustering"] = _lloyd(5)
+ORACLES["op12_hard_negatives"] = f"""WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, {_FLOORED} AS e FROM embeddings WHERE label IS NOT NULL AND {_VALID}),
+s AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b, a.l = b.l AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM (SELECT a, b, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM s WHERE same) WHERE r <= 5),
+n AS (SELECT p.a AS anchor_id, p.b AS positive_id, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS rank
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""

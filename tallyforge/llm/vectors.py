@@ -1,12 +1,11 @@
-"""Exact pairs of near-equal vectors by cover trees, and exact top-k search by a Voronoi join."""
+"""Exact pairs of near-equal vectors by cover trees."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import components, materialize, small_batches
 from .simhash import forest
@@ -404,177 +403,3 @@ def upper_nodes(x: np.ndarray, cells: int) -> np.ndarray:
 
 def op1(spark, sf_dir: str) -> DataFrame:
     return near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-
-
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows of whole numbers, exact; beyond the range of a long they stop at its ends."""
-    a, b = _same_width(a, b)
-    if not a.size or not b.size or np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2.0**53:
-        return (a @ b.T).astype(np.int64)
-    whole = np.array([[int(c) for c in r] for r in a], dtype=object).dot(np.array([[int(c) for c in r] for r in b], dtype=object).T)
-    return np.vectorize(lambda s: max(-(1 << 63), min((1 << 63) - 1, s)), otypes=[np.int64])(whole)
-
-
-def query_groups(pivots: np.ndarray, counts: dict[int, int], most: int) -> list[tuple[int, int, int]]:
-    """(cell, first group, groups) of cells with queries: neighbouring cells together have about `most`, a larger one is cut.
-
-    Cells are taken in the order of a walk that always goes on to the nearest pivot.
-    """
-    left, at, out, g, held = set(counts), 0, [], 0, 0
-    while left:
-        at = min(left, key=lambda c: float(((pivots[c] - pivots[at]) ** 2).sum()))
-        left.remove(at)
-        if held and held + counts[at] > most:
-            g, held = g + 1, 0
-        parts = -(-counts[at] // most)
-        out.append((at, g, parts))
-        held += counts[at]
-        if parts > 1:
-            g, held = g + parts, 0
-    return out
-
-
-def voronoi(rows: DataFrame, id_col: str, vector_col: str, k: int, scale: float, every: int, pivots: int | None, fit: int, group: int) -> tuple[DataFrame, DataFrame]:
-    """(queries, sent) of top_k: queries with their group g, and the vectors that each group needs."""
-    spark = rows.sparkSession
-    base = materialize(packed(rows, id_col, vector_col, lambda v: np.floor(scale * v)).where("v is not null").withColumn("h", F.xxhash64("v")), "whole-vectors")
-    total = base.count()
-    pivots = pivots or max(16, min(2048, total // 1024))
-    some = base.orderBy("h", "id").select("v").limit(fit).collect()  # fit rows
-    x = matrix([r["v"] for r in some]) if some else np.zeros((1, 1))
-    picked, d = [0], ((x - x[0]) ** 2).sum(axis=1)
-    while len(picked) < pivots and d.max() > 0:
-        picked.append(int(d.argmax()))
-        d = np.minimum(d, ((x - x[picked[-1]]) ** 2).sum(axis=1))
-    p = x[picked]
-
-    def assign(batches):
-        for batch in batches:
-            v, c = _same_width(matrix(batch.column(1)), p)
-            cell, far, size = np.zeros(len(v), np.int32), np.zeros(len(v)), np.zeros(len(v))
-            if len(v):
-                cell = ((v * v).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * v @ c.T).argmin(axis=1).astype(np.int32)
-                far, size = np.sqrt(((v - c[cell]) ** 2).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell), pa.array(far), pa.array(size)], names=["id", "v", "cell", "far", "size"])
-
-    id_type = base.schema["id"].dataType.simpleString()
-    dealt = materialize(base.select("id", "v").mapInArrow(assign, f"id {id_type}, v binary, cell int, far double, size double"), "whole-cells")
-    # the nearest k + 1 of each cell: first within slices of a cell, then over the slices
-    sliced = dealt.select("cell", "far", F.pmod(F.xxhash64("v", "id"), F.lit(64)).alias("slice"))
-    best = sliced.withColumn("r", F.row_number().over(W.partitionBy("cell", "slice").orderBy("far"))).where(F.col("r") <= k + 1)
-    best = best.withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy("far"))).where(F.col("r") <= k + 1).select("cell", "far")
-    summary = {c: [0.0, []] for c in range(len(p))}
-    for r in dealt.groupBy("cell").agg(F.max("far").alias("far")).collect():  # pivots rows
-        summary[r["cell"]][0] = r["far"]
-    for r in best.collect():  # pivots x (k + 1) rows
-        summary[r["cell"]][1].append(r["far"])
-    radius = np.array([summary[c][0] for c in range(len(p))])
-    inner = [(c, f) for c in range(len(p)) for f in summary[c][1]]
-
-    queries = dealt.where(F.col("id") % every == 0).groupBy("id", "v", "cell", "size").agg(F.count(F.lit(1)).alias("times"))
-    queries = materialize(queries, "queries")
-    counts = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}  # pivots rows
-    named = spark.createDataFrame(query_groups(p, counts, group), "cell int, g int, parts int")
-    queries = queries.join(F.broadcast(named), "cell").withColumn("g", (F.col("g") + F.pmod(F.xxhash64("v"), F.col("parts"))).cast("int")).drop("parts")
-
-    def bounds(batches):
-        """For each query its centre-free data: group, vector, lower bound of its k-th best score."""
-        for batch in batches:
-            q, c = _same_width(matrix(batch.column(1)), p)
-            size = np.sqrt((q * q).sum(axis=1))
-            with_pivot = q @ c.T
-            low = np.full(len(q), -np.inf)
-            if len(inner) > k:
-                cells, far = np.array([x for x, _ in inner]), np.array([f for _, f in inner])
-                each = with_pivot[:, cells] - size[:, None] * far[None, :]
-                low = -np.partition(-each, k, axis=1)[:, k]  # the (k + 1)-th: one may be the query's own row
-            slack = 1e-9 * (1 + size * size)
-            ok = with_pivot + size[:, None] * radius[None, :] + slack[:, None] >= low[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low), pa.array([np.flatnonzero(o).tolist() for o in ok], pa.list_(pa.int32()))], names=["g", "v", "low", "cells"])
-
-    bounded = queries.select("g", "v").mapInArrow(bounds, "g int, v binary, low double, cells array<int>")
-    per_group = bounded.groupBy("g").agg(F.min("low").alias("low"), F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells"), F.collect_list("v").alias("v"))  # about `group` queries each
-
-    def shape(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                q = matrix(r["v"])
-                mid = q.mean(axis=0)
-                far = float(np.sqrt(((q - mid) ** 2).sum(axis=1)).max()) * (1 + 1e-9)
-                yield pa.RecordBatch.from_pylist([{"g": r["g"], "low": r["low"], "cells": r["cells"], "mid": mid.astype("<f8").tobytes(), "far": far}], schema=pa.schema([("g", pa.int32()), ("low", pa.float64()), ("cells", pa.list_(pa.int32())), ("mid", pa.binary()), ("far", pa.float64())]))
-
-    shapes = per_group.mapInArrow(shape, "g int, low double, cells array<int>, mid binary, far double")
-    shapes = materialize(shapes.select("g", "low", "mid", F.col("far").alias("g_far"), F.explode("cells").alias("cell")), "query-groups")
-
-    def needed(left, right):
-        """The vectors of a unit that can reach a group's bound, for each group that needs the cell."""
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"g": pa.array([], pa.int32()), "id": pa.array([], left.schema.field("id").type), "v": pa.array([], pa.binary())})
-        v, size, out = matrix(left.column("v").combine_chunks()), np.asarray(left.column("size")), []
-        for r in right.to_pylist():
-            x, m = _same_width(v, np.frombuffer(r["mid"], "<f8")[None, :])
-            up = x @ m[0] + size * r["g_far"]
-            own = left.filter(pa.array(up + 1e-9 * (1 + np.abs(up)) >= r["low"]))
-            out.append(pa.table({"g": pa.array([r["g"]] * own.num_rows, pa.int32()), "id": own.column("id"), "v": own.column("v")}))
-        return pa.concat_tables(out)
-
-    # a cell is cut into units of about UNIT vectors, each read once for all groups that need it
-    units = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("units"))  # pivots rows
-    per_unit = dealt.join(F.broadcast(units), "cell").select("cell", F.pmod(F.xxhash64("v", "id"), F.col("units")).cast("int").alias("unit"), "id", "v", "size")
-    asked_of = shapes.join(F.broadcast(units), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), "g", "mid", "g_far", "low")
-    sent = per_unit.groupBy("cell", "unit").cogroup(asked_of.groupBy("cell", "unit")).applyInArrow(needed, f"g int, id {id_type}, v binary")
-    return queries, sent
-
-
-def top_k(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, every: int = 50, pivots: int | None = None, fit: int = 4096, group: int = 1024) -> DataFrame:
-    """The k rows with the highest inner product for each query: query_id, rank, vec_id, score.
-
-    Components become floor(scale * x). Queries are the rows whose id is divisible by `every`; candidates are all rows
-    but the query's own. Pivots, by default one for each 1,024 rows, 16 at least and 2,048 at most, are picked far apart
-    among at most `fit` vectors (the smallest hashes). The queries of neighbouring cells are a group of about `group`, those
-    of a larger cell several by hash, so a group's queries lie near each other at any number of them. Each cell's summary has its radius and the distances of its k + 1 members nearest to the pivot: they bound each query's k-th best
-    score from below, and a cell, and then each vector of it, goes to a group of queries only if its bound from above
-    (for the vector: its product with the group's centre plus its length times the group's radius) reaches that. Groups
-    are solved by blocks of UNIT vectors, and the blocks' best are merged.
-
-    Vectors that are null or have null or non-finite components take no part; empty ones count as zeros, and shorter
-    ones as filled up with zeros. Ties go to the smaller id, null last. Repeated rows are rows: of rows equal to the query
-    only one is its own; a query that is there twice is answered twice. An empty table gives an empty result. Other
-    columns are not read.
-    """
-    queries, sent = voronoi(rows, id_col, vector_col, k, scale, every, pivots, fit, group)
-    id_type, id_arrow = queries.schema["id"].dataType.simpleString(), to_arrow_type(queries.schema["id"].dataType)
-    sent = materialize(sent, "sent")
-    most = sent.groupBy("g").count().agg(F.max("count")).first()[0] or 1
-    blocks = sent.groupBy("g", F.pmod(F.xxhash64("v", "id"), F.lit(-(-most // UNIT))).cast("int").alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("data"))
-    asked = queries.groupBy("g").agg(F.collect_list(F.struct("id", "v")).alias("asked"))
-
-    def solve(batches):
-        schema = pa.schema([("q", id_arrow), ("qv", pa.binary()), ("id", id_arrow), ("score", pa.int64()), ("same", pa.bool_())])
-        for batch in batches:
-            for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                ids = [x["id"] for x in r["data"]]
-                place = np.empty(len(ids), dtype=np.int64)
-                place[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))] = np.arange(len(ids))
-                data, out = matrix([x["v"] for x in r["data"]]), []
-                for a in range(0, len(r["asked"]), 256):
-                    part = r["asked"][a : a + 256]
-                    s = products(matrix([x["v"] for x in part]), data)
-                    for q, line in zip(part, s):
-                        cut = np.partition(line, len(line) - min(k + 1, len(line)))[len(line) - min(k + 1, len(line))]
-                        at = np.flatnonzero(line >= cut)
-                        at = at[np.lexsort((place[at], -line[at]))][: k + 1]
-                        out += [{"q": q["id"], "qv": q["v"], "id": ids[i], "score": int(line[i]), "same": ids[i] == q["id"] and r["data"][i]["v"] == q["v"]} for i in at.tolist()]
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    best = blocks.join(asked, "g").select("asked", "data").mapInArrow(solve, f"q {id_type}, qv binary, id {id_type}, score long, same boolean")
-    own = F.row_number().over(W.partitionBy("q", "qv", "same").orderBy("id"))
-    best = best.withColumn("own", own).where(~F.col("same") | (F.col("own") > 1))
-    best = best.withColumn("rank", F.row_number().over(W.partitionBy("q", "qv").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last()))).where(F.col("rank") <= k)
-    times = queries.select(F.col("id").alias("q"), F.col("v").alias("qv"), "times")
-    best = best.join(times, ["q", "qv"]).withColumn("_t", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    return best.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
-
-
-def op5(spark, sf_dir: str) -> DataFrame:
-    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

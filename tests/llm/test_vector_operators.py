@@ -7,7 +7,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tallyforge.llm import vectors
+from pyspark.sql import functions as F
+
+from tallyforge.llm import neighbours, vectors
+from tallyforge.llm.whole import whole_vectors
 
 SCHEMA = "vec_id long, embedding array<double>, label int, c string, v string, cell int"
 
@@ -136,20 +139,81 @@ def brute_top(data, k=5, every=10):
 def test_top_k(spark):
     data = rows()
     frame = spark.createDataFrame(data, SCHEMA).repartition(3)
-    found = vectors.top_k(frame, every=10, pivots=8, fit=100, group=7).collect()
+    found = neighbours.top_k(frame, every=10, pivots=8, fit=100, group=7).collect()
     assert Counter(map(tuple, found)) == brute_top(data)
-    assert vectors.top_k(frame.limit(0)).count() == 0
+    assert neighbours.top_k(frame.limit(0)).count() == 0
     few = spark.createDataFrame(data[:3], SCHEMA)
-    assert Counter(map(tuple, vectors.top_k(few, every=2).collect())) == brute_top(data[:3], every=2)
+    assert Counter(map(tuple, neighbours.top_k(few, every=2).collect())) == brute_top(data[:3], every=2)
 
 
-def test_groups_get_what_they_need_alone(spark):
-    """On clustered vectors a group of queries gets few of the others; bounds from summaries keep the rest away."""
+def test_top_k_of_many_blocks(spark, monkeypatch):
+    data = [r for r in rows(n=240) if r[1] is None or not r[1] or max(abs(c or 0) for c in r[1]) < 1e9]  # products that doubles hold
+    monkeypatch.setattr(neighbours, "UNIT", 12)
+    monkeypatch.setattr(neighbours, "SHARE", 3)
+    frame = spark.createDataFrame(data, SCHEMA).repartition(3)
+    found = neighbours.top_k(frame, every=10, pivots=8, fit=100, group=7).collect()
+    assert Counter(map(tuple, found)) == brute_top(data)
+
+
+def clustered(n=480):
     rng = np.random.default_rng(6)
-    base = np.eye(8)[np.repeat(np.arange(8), 60)] * 4 + rng.normal(scale=0.05, size=(480, 8))
-    data = [(i, v.tolist(), 0, "c", "v", 1) for i, v in enumerate(base)]
+    base = np.eye(8)[np.repeat(np.arange(8), n // 8)] * 4 + rng.normal(scale=0.05, size=(n, 8))
+    return [(i, v.tolist(), i % 3, "c", "v", 1) for i, v in enumerate(base)]
+
+
+def pairs_kept(spark, frame, k, wants):
+    """Share of the pairs of a group of queries and a cell that summaries leave."""
+    base = whole_vectors(frame, "vec_id", "embedding", 256.0, label=F.col("label"))
+    cells = neighbours.Cells(base, 8, 480)
+    dealt = cells.deal(base).withColumn("part", F.lit(0)).cache()
+    summary = [r.asDict(recursive=True) for r in neighbours.summaries(dealt, k).first()["cells"]]
+    pruner, kept = neighbours.Pruner(cells, k), []
+    for r in dealt.where("id % 10 = 0").collect():
+        q = np.frombuffer(r["v"], "<f8")[None, :]
+        kept.append(len(pruner.needs(q, [r["label"]], None if wants is None else [[wants(q[0])]], summary)))
+    return sum(kept) / len(kept) / len(summary)
+
+
+def test_groups_get_what_they_need_alone(spark):
+    """On clustered vectors a group of queries gets few of the cells; bounds from summaries keep the rest away."""
+    frame = spark.createDataFrame(clustered(), SCHEMA)
+    assert pairs_kept(spark, frame, 5, None) < 0.2
+    assert pairs_kept(spark, frame, 10, lambda q: neighbours.band(int(q @ q))) <= 0.5
+    assert Counter(map(tuple, neighbours.top_k(frame, every=10, pivots=8, group=7).collect())) == brute_top(clustered())
+
+
+def brute_hard(data, every=10, positives=5, negatives=10):
+    ok = [(r[0], r[2], [int(np.floor(256.0 * c)) for c in r[1]]) for r in data if r[2] is not None and r[1] is not None and all(c is not None and np.isfinite(c) for c in r[1])]
+    out = []
+    for i, (a, label, v) in enumerate(ok):
+        if a is None or a % every:
+            continue
+        score = lambda u: max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(u, v))))
+        near = lambda same: sorted(((-score(u), c is None, c or 0, c) for j, (c, m, u) in enumerate(ok) if j != i and (m == label) == same))
+        others = near(False)
+        for p in near(True)[:positives]:
+            inside = [x for x in others if 30 * -p[0] <= 100 * -x[0] <= 90 * -p[0]][:negatives]
+            out += [(a, p[3], n + 1, x[3], -p[0], -x[0]) for n, x in enumerate(inside)]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("unit,share,large", [(8192, 16, True), (12, 3, False)])
+def test_hard_negatives(spark, monkeypatch, unit, share, large):
+    monkeypatch.setattr(neighbours, "UNIT", unit)
+    monkeypatch.setattr(neighbours, "SHARE", share)
+    data = [(r[0], r[1], (i * 7 % 4) if i % 11 else None, *r[3:]) for i, r in enumerate(rows())]
+    data = [r for r in data if large or r[1] is None or not r[1] or max(abs(c or 0) for c in r[1]) < 1e9]
+    frame = spark.createDataFrame(data, SCHEMA).repartition(3)
+    found = neighbours.hard_negatives(frame, every=10, pivots=8, fit=100, group=7).collect()
+    assert len(found) > 100 and Counter(map(tuple, found)) == brute_hard(data)
+    assert neighbours.hard_negatives(frame.limit(0)).count() == 0
+
+
+def test_hard_negatives_on_clusters(spark):
+    data = clustered()
     frame = spark.createDataFrame(data, SCHEMA)
-    queries, sent = vectors.voronoi(frame, "vec_id", "embedding", 5, 256.0, 10, 8, 480, 7)
-    groups = queries.select("g").distinct().count()
-    assert groups >= 8 and sent.count() < 0.2 * groups * len(data)
-    assert Counter(map(tuple, vectors.top_k(frame, every=10, pivots=8, group=7).collect())) == brute_top(data)
+    assert Counter(map(tuple, neighbours.hard_negatives(frame, every=10, pivots=16, group=7).collect())) == brute_hard(data)
+
+
+def test_bands():
+    assert [neighbours.band(s) for s in (100, 101, 7, 0, -5)] == [(30, 90), (31, 90), (3, 6), (0, 0), (-1, -5)]
