@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clustering, line_dedup, mixing, neighbours, sentencepiece_dropout, sharding, simhash, suffix_dedup, token_output, toxicity, vectors
+from . import clustering, line_dedup, lm_scoring, mixing, neighbours, sentencepiece_dropout, sharding, simhash, suffix_dedup, token_output, toxicity, vectors
 
 QUERIES = {
     "op1_cover_tree": vectors.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10,
     "op11_clustering": clustering.op11,
     "op12_hard_negatives": neighbours.op12,
+    "op13_lm_scoring": lm_scoring.op13,
 }
 
 _FLOORED = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE))"

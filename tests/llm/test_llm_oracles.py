@@ -26,12 +26,13 @@ COLUMNS = {
     10: {"doc_id", "held_out", "score", "predicted"},
     11: {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
     12: {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
+    13: {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"},
 }
 
 
 def test_all_are_registered():
     names = __spark_entry__.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
 
 
