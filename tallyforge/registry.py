@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import evidence, grids, outcomes, reconcile, records, relations, rules, streams, texts, trees
+from tallyforge.plans import evidence, grids, ledgers, outcomes, reconcile, records, relations, rules, streams, texts, trees
 
 FLAGSHIP = "opportunity_rates"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plans in (outcomes, relations, texts, evidence, reconcile, streams, trees, records, rules, grids):
+for _plans in (outcomes, relations, texts, evidence, reconcile, streams, trees, records, rules, grids, ledgers):
     QUERIES |= _plans.QUERIES
     ORACLES |= _plans.ORACLES
