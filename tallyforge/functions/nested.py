@@ -80,7 +80,10 @@ def _merge(old, new):
 
 
 def deep_merge(old: Column, new: Column) -> Column:
-    """JSON objects put together at any depth: null, "", [] and {} never win, 0 and false do; keys come out sorted."""
+    """JSON objects put together at any depth: null, "", [] and {} never win, 0 and false do; keys come out sorted.
+
+    An object under a key that the old side lacks is taken as it is, with what is empty in it.
+    """
 
     @F.pandas_udf(StringType())
     def merge(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.admission import running_sums
+
 from tallyforge.functions import nested, numbers as nu
 from tallyforge.operators.opportunity import DETECTED, NOT_APPLICABLE, NOT_EVALUABLE, UNDETECTED
 
@@ -220,10 +222,24 @@ def provenance_key(path: Column, index: Column, filename: Column, talk: Column,
     return F.struct(t(path).alias("path"), n(index).alias("index"), t(filename).alias("filename"), t(talk).alias("talk"), t(lane).alias("lane"), n(entry).alias("entry"))
 
 
+#: What findings of a catalog are sorted by.
+CATALOG_ORDER = ("code", "path", "entry_id", "field", "related_id", "message")
+
+
 def in_issue_order(issues: DataFrame, provenance: str | None = None) -> DataFrame:
     """Findings by code, where they come from (a provenance key), and what they say; of a catalog by code, path, entry and field."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return issues.orderBy(blank("code"), provenance, blank("message")) if provenance else issues.orderBy(*map(blank, ("code", "path", "entry_id", "field", "related_id", "message")))
+    return issues.orderBy(blank("code"), provenance, blank("message")) if provenance else issues.orderBy(*map(blank, CATALOG_ORDER))
+
+
+def issue_places(issues: DataFrame, provenance: str | None = None) -> DataFrame:
+    """issues with `place`, from 1, in the order of in_issue_order; findings that are equal throughout have one row and
+    `times`. Places are prefix sums over ranges of the order, so no code is gathered and nothing is sorted in one task."""
+    names = ["code", provenance, "message"] if provenance else list(CATALOG_ORDER)
+    blank = {n: F.col(n) if n == provenance else F.coalesce(F.col(n), F.lit("")) for n in names}
+    once = issues.withColumns(blank).groupBy(*names).agg(F.count(F.lit(1)).alias("times"))
+    summed = running_sums(once, names, {"_end": F.col("times")})
+    return summed.select(*names, "times", (F.col("_end") - F.col("times") + 1).alias("place"))
 
 
 def chosen(values: Column, identity=None) -> Column:

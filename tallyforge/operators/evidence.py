@@ -25,6 +25,10 @@ def qualifying_groups(groups: Column, available: Column) -> Column:
     return F.filter(groups, lambda g: group_complete(g, available))
 
 
+#: Entries that a catalog may have.
+CATALOG = 10_000
+
+
 def source_satisfies(groups: Column, source: Column, available: Column) -> Column:
     """Some open group names the source of a detection."""
     return F.coalesce(F.exists(groups, lambda g: F.array_contains(g, source) & group_complete(g, available)), F.lit(False))
@@ -36,8 +40,10 @@ def derive(entities: DataFrame, catalog: DataFrame, detections: DataFrame) -> Da
     entities: entity, available (sources), not_applicable (assessed entries). catalog, a small dimension: entry,
     applicability_gate, absence_gate, evaluable_from. detections: entity, entry. In turn: detected; applicability gate
     shut; assessed not applicable; no absence gate (positive only, or pending where evaluable_from is null); absence gate
-    shut; undetected.
+    shut; undetected. Every entity gets every entry, so the catalog goes to all tasks; one of over CATALOG rows is refused.
     """
+    if catalog.limit(CATALOG + 1).count() > CATALOG:
+        raise ValueError(f"a catalog has at most {CATALOG} entries")
     each = entities.crossJoin(F.broadcast(catalog)).join(detections.select("entity", "entry", F.lit(True).alias("_hit")).distinct(), ["entity", "entry"], "left")
     has = F.col("_hit").isNotNull()
     closed = F.col("applicability_gate").isNotNull() & ~gate_open(F.col("applicability_gate"), F.col("available"))
@@ -60,7 +66,7 @@ def freshness(stored: DataFrame, observed: DataFrame, key: str, fields: list[str
 def detection_audit(detections: DataFrame, catalog: DataFrame) -> DataFrame:
     """Codes of each detection (entity, entry, polarity, confidence, dimensions) against the catalog (entry, polarity, dimensions)."""
     c = catalog.select(F.col("entry").alias("_e"), F.col("polarity").alias("_p"), F.col("dimensions").alias("_d"))
-    both = detections.join(F.broadcast(c), F.col("entry") == F.col("_e"), "left")  # the catalog is a small dimension
+    both = detections.join(c, F.col("entry") == F.col("_e"), "left")
     known = F.col("_e").isNotNull()
     drift = known & ~F.col("dimensions").eqNullSafe(F.col("_d"))
     same_set = F.sort_array("dimensions").eqNullSafe(F.sort_array("_d"))
@@ -69,9 +75,13 @@ def detection_audit(detections: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def code_histogram(audits: DataFrame, subject: str = "entity") -> DataFrame:
-    """For each code: how many subjects have it, and which."""
-    each = audits.select(subject, F.explode(F.array_distinct("codes")).alias("code")).distinct()
-    return each.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(subject)).alias("subjects"))
+    """For each code: how many subjects have it, the first and the last of them; code_subjects has them all as rows."""
+    return code_subjects(audits, subject).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min(subject).alias("first"), F.max(subject).alias("last"))
+
+
+def code_subjects(audits: DataFrame, subject: str = "entity") -> DataFrame:
+    """(code, subject) of each code that a subject has, once."""
+    return audits.select(F.explode(F.array_distinct("codes")).alias("code"), subject).distinct()
 
 
 def cited_outside(citations: DataFrame, inspected: DataFrame, key: str) -> DataFrame:

@@ -28,10 +28,22 @@ def edge_findings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def alias_collisions(names: DataFrame) -> DataFrame:
-    """Pairs of entries (a < b) that claim one alias; names: entry, alias. Pairs are made within an alias only."""
-    each = names.select("entry", "alias").distinct().groupBy("alias").agg(F.sort_array(F.collect_set("entry")).alias("all")).where(F.size("all") > 1)
-    pairs = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return each.select("alias", F.inline(pairs)).groupBy("a", "b").agg(F.sort_array(F.collect_list("alias")).alias("aliases"))
+    """(alias, entry, other, claims): each entry whose alias others claim too, the smallest of these, and how many claim it.
+
+    names: entry, alias. As many rows as claims, however many share an alias; alias_pairs has the pairs of some aliases.
+    """
+    each = names.select("alias", "entry").where("alias is not null and entry is not null").distinct()
+    first = each.groupBy("alias").agg(F.min("entry").alias("_first"), F.count(F.lit(1)).alias("claims")).where("claims > 1")
+    both = each.join(first, "alias")
+    second = both.where("entry <> _first").groupBy("alias").agg(F.min("entry").alias("_second"))
+    other = F.when(F.col("entry") == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
+    return both.join(second, "alias").select("alias", "entry", other.alias("other"), "claims")
+
+
+def alias_pairs(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(alias, a, b) of all pairs of entries (a < b) that claim one of the aliases asked for; quadratic in their claims."""
+    each = names.select("entry", "alias").join(aliases.select("alias"), "alias", "left_semi").distinct()
+    return each.select("alias", F.col("entry").alias("a")).join(each.select("alias", F.col("entry").alias("b")), "alias").where("a < b")
 
 
 def index_difference(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:

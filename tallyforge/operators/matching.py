@@ -95,7 +95,9 @@ def quotes(texts: DataFrame, quotes: DataFrame, text_id: str, text: str, quote_i
 
     runs = [grams(n) for n in sizes]
     met = cut.select("_id", F.explode(F.array_distinct(F.flatten(F.array(*runs)) if runs else F.array().cast("array<bigint>"))).alias("_key")).join(q.select("_q", "_key"), "_key").select("_id", "_q")
-    pairs = met.join(q.select("_q", "_said"), "_q").join(t, "_id")
+    # a text travels once with up to about a sixteenth of the quotes it meets, not once for each of them
+    asked = met.join(q.select("_q", "_said"), "_q").groupBy("_id", F.pmod(F.xxhash64("_q"), F.lit(16)).alias("_b")).agg(F.collect_list(F.struct("_q", "_said")).alias("_asked"))
+    pairs = asked.drop("_b").join(t, "_id")
     parts = "array<struct<text:string,start:double,end:double>>"
     if segments is None:
         pairs = pairs.withColumn("_parts", F.lit(None).cast(parts))
@@ -106,22 +108,27 @@ def quotes(texts: DataFrame, quotes: DataFrame, text_id: str, text: str, quote_i
 
     def resolve(batches):
         for batch in batches:
-            ids, status, out = [], [], {k: [] for k in kinds}
-            for i, (said, whole, timed) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("_said", "_text", "_parts")))):
-                times, first, last = located([tx.plain_form(x) for x in _LINES.split(whole or "")], said)
-                if not times:
-                    continue
-                ids.append(i)
-                status.append("resolved" if times == 1 else "ambiguous")
-                once, a, b = located([tx.plain_form(s["text"] or "") for s in timed], said) if timed and times == 1 else (0, None, None)
-                for k, v in zip(kinds, (first + 1, last + 1) if times == 1 else (None, None)):
-                    out[k].append(v)
-                out["start_seconds"].append(timed[a]["start"] if once == 1 else None)
-                out["end_seconds"].append(timed[b]["end"] if once == 1 else None)
-            at = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(at), batch.column("_q").take(at), pa.array(status, pa.string()), *(pa.array(out[k], v) for k, v in kinds.items())], names=["_id", "_q", "status", *kinds])
-
-    kind = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+            ids, said_by, status, out = [], [], [], {k: [] for k in kinds}
+            for i, (asked, whole, timed) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("_asked", "_text", "_parts")))):
+                lines, spoken = [tx.plain_form(x) for x in _LINES.split(whole or "")], None
+                for quote in asked:
+                    times, first, last = located(lines, quote["_said"])
+                    if not times:
+                        continue
+                    ids.append(i)
+                    said_by.append(quote["_q"])
+                    status.append("resolved" if times == 1 else "ambiguous")
+                    if timed and times == 1 and spoken is None:
+                        spoken = [tx.plain_form(s["text"] or "") for s in timed]
+                    once, a, b = located(spoken, quote["_said"]) if timed and times == 1 else (0, None, None)
+                    for k, v in zip(kinds, (first + 1, last + 1) if times == 1 else (None, None)):
+                        out[k].append(v)
+                    out["start_seconds"].append(timed[a]["start"] if once == 1 else None)
+                    out["end_seconds"].append(timed[b]["end"] if once == 1 else None)
+            q_type = batch.schema.field("_asked").type.value_type.field("_q").type
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(ids, pa.int64())), pa.array(said_by, q_type), pa.array(status, pa.string()), *(pa.array(out[k], v) for k, v in kinds.items())], names=["_id", "_q", "status", *kinds])
+
+    kind = {f.name: f.dataType.simpleString() for f in [*pairs.schema.fields, *q.schema.fields]}
     found = pairs.mapInArrow(resolve, f"_id {kind['_id']}, _q {kind['_q']}, status string, line_start long, line_end long, start_seconds double, end_seconds double")
     return found.withColumnsRenamed({"_id": text_id, "_q": quote_id})
 

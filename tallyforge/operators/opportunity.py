@@ -144,7 +144,7 @@ def combinations(outcomes: DataFrame, members: DataFrame, size: int, p: Policy =
     members: (cohort, detector), the regular and signature patterns. An entity's member outcomes are one array, so the
     combinations are made in place instead of by self-joins over all outcomes.
     """
-    rows = outcomes.join(F.broadcast(members), ["cohort", "detector"])  # as many rows as cohorts times detectors
+    rows = outcomes.join(members, ["cohort", "detector"])
     each = rows.groupBy("cohort", "entity").agg(F.sort_array(F.collect_list(F.struct("detector", "outcome"))).alias("all"))
     all_ = F.col("all")
     tails = lambda x, xs: F.filter(xs, lambda y: y["detector"] > x["detector"])

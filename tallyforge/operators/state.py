@@ -63,8 +63,9 @@ def merge_maps(old: Column, new: Column) -> Column:
 
 
 def reconstruct_run(queue: DataFrame, key: str, run: str) -> DataFrame:
-    """Batches of a run with their sorted keys."""
-    return queue.where(F.col("run_id") == run).groupBy("batch_id").agg(F.sort_array(F.collect_list(key)).alias("keys"))
+    """(batch_id, key, keys): a row for each key of a run's batches, with how many the batch has; no batch is gathered."""
+    own = queue.where(F.col("run_id") == run).select("batch_id", key)
+    return own.join(own.groupBy("batch_id").agg(F.count(F.lit(1)).alias("keys")), "batch_id")
 
 
 def latest(rows: DataFrame, key: str, generation: str) -> DataFrame:

@@ -41,13 +41,13 @@ def audited(spark, sf):
     catalog = spark.createDataFrame([(n, "pattern" if i % 2 else "antipattern", [i, i + 1]) for i, n in enumerate(names)], "entry string, polarity string, dimensions array<int>")
     p = table(spark, sf, "part")
     found = p.select(F.col("p_partkey").alias("entity"), F.element_at(F.split("p_type", " "), 1).alias("entry"), F.when(F.col("p_size") % 2 == 0, "pattern").otherwise("antipattern").alias("polarity"), F.when(F.col("p_size") < 40, "strong").alias("confidence"), F.array(F.lit(2), F.lit(1)).alias("dimensions"))
-    return ev.code_histogram(ev.detection_audit(found, catalog)).select("code", "n", F.get("subjects", F.lit(0)).alias("first"))
+    return ev.code_histogram(ev.detection_audit(found, catalog))
 
 
 _AUDITED = """WITH c AS (SELECT * FROM (VALUES ('ECONOMY', 'antipattern', 0), ('PROMO', 'pattern', 1), ('STANDARD', 'antipattern', 2), ('SMALL', 'pattern', 3)) t(entry, pol, d)),
 p AS (SELECT p_partkey, p_size, c.entry, c.pol, c.d, CASE WHEN p_size % 2 = 0 THEN 'pattern' ELSE 'antipattern' END AS polarity FROM part LEFT JOIN c ON c.entry = string_split(p_type, ' ')[1]),
 x AS (SELECT p_partkey, 'unknown_id' AS code FROM p WHERE entry IS NULL UNION ALL SELECT p_partkey, 'wrong_lane' FROM p WHERE polarity <> pol UNION ALL SELECT p_partkey, 'bad_confidence' FROM p WHERE NOT p_size < 40
- UNION ALL SELECT p_partkey, 'dimension_order' FROM p WHERE d = 1 UNION ALL SELECT p_partkey, 'dimension_membership' FROM p WHERE d <> 1) SELECT code, count(*) AS n, min(p_partkey) AS first FROM x GROUP BY 1"""
+ UNION ALL SELECT p_partkey, 'dimension_order' FROM p WHERE d = 1 UNION ALL SELECT p_partkey, 'dimension_membership' FROM p WHERE d <> 1) SELECT code, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM x GROUP BY 1"""
 
 
 def citations(spark, sf):

@@ -265,15 +265,21 @@ _COUNTERS = "SELECT " + ", ".join(f"count(*) FILTER (event_id % 3 {'=' if k == '
 
 
 def issues(spark, sf):
-    """The order of findings, as a hash over each code's subjects in turn."""
+    """The places of findings in the order of their code, provenance and message."""
     p = table(spark, sf, "part")
     k = F.col("p_partkey")
     key = ct.provenance_key(F.when(k % 3 == 0, F.col("p_brand")), F.when(k % 4 != 0, k % 5), F.lit(None).cast("string"), F.when(k % 2 == 0, F.lit("t")), F.lit("lane"), F.when(k % 7 != 0, k % 3))
     rows = p.select(F.concat(F.lit("c"), k % 6).alias("code"), key.alias("provenance"), k.alias("k"))
-    return rows.groupBy("code").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("provenance", "k"))), lambda x: x["k"].cast("string")), ",")).alias("subjects"))
+    found = ct.issue_places(rows.select("code", "provenance", F.concat(F.col("k"), F.lit(" "), F.col("k") % 5).alias("message")), "provenance")
+    catalog = p.select(F.when(k % 9 != 0, F.concat(F.lit("c"), k % 6)).alias("code"), F.col("p_type").alias("path"), F.col("p_brand").alias("entry_id"), F.when(k % 2 == 0, F.lit("f")).alias("field"), F.lit(None).cast("string").alias("related_id"), F.col("p_name").alias("message"))
+    found = found.select(F.lit("issues").alias("of"), "code", "message", "times", "place")
+    return found.unionByName(ct.issue_places(catalog).select(F.lit("catalog").alias("of"), "code", "message", "times", "place"))
 
 
-_ISSUES = "SELECT 'c' || p_partkey % 6 AS code, md5(string_agg(p_partkey::VARCHAR, ',' ORDER BY CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 5 ELSE -1 END, CASE WHEN p_partkey % 2 = 0 THEN 't' ELSE '' END, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 3 ELSE -1 END, p_partkey)) AS subjects FROM part GROUP BY 1"
+_ISSUES = """WITH i AS (SELECT 'c' || p_partkey % 6 AS code, p_partkey || ' ' || p_partkey % 5 AS message, row_number() OVER (ORDER BY 'c' || p_partkey % 6, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE '' END, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 5 ELSE -1 END, CASE WHEN p_partkey % 2 = 0 THEN 't' ELSE '' END, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey % 3 ELSE -1 END, p_partkey || ' ' || p_partkey % 5) AS place FROM part),
+c AS (SELECT CASE WHEN p_partkey % 9 <> 0 THEN 'c' || p_partkey % 6 ELSE '' END AS code, p_type, p_brand, CASE WHEN p_partkey % 2 = 0 THEN 'f' ELSE '' END AS field, p_name AS message, count(*) AS times FROM part GROUP BY ALL),
+s AS (SELECT *, sum(times) OVER (ORDER BY code, p_type, p_brand, field, message ROWS UNBOUNDED PRECEDING) - times + 1 AS place FROM c)
+SELECT 'issues' AS of, code, message, 1 AS times, place FROM i UNION ALL SELECT 'catalog', code, message, times, place::BIGINT FROM s"""
 
 
 def goals(spark, sf):

@@ -160,7 +160,7 @@ UNION ALL SELECT src, dst, 'non_reciprocal' FROM e WHERE src <> dst AND NOT EXIS
 
 def collisions(spark, sf):
     names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entry"), F.explode(F.array(tx.alias(F.col("s_name")), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))).alias("alias"))
-    return findings.alias_collisions(names).select("a", "b", F.array_join("aliases", ",").alias("aliases"))
+    return findings.alias_collisions(names)
 
 
 def difference(spark, sf):
@@ -197,7 +197,7 @@ def lease_recover(spark, sf):
 
 def run_batches(spark, sf):
     q = _queue(spark, sf)
-    return state.reconstruct_run(q, "key", "old").select("batch_id", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
+    return state.reconstruct_run(q, "key", "old").select("batch_id", "key", "keys")
 
 
 def upserted(spark, sf):
@@ -273,11 +273,11 @@ SELECT o_custkey, detector, prior_d, recent_d, CASE WHEN prior_e + prior_u <> 5
     "duplicate_waivers": "SELECT md5(text) AS value, count(*) AS members, count(*) FILTER (doc_id % 4 <> 0) AS unwaived, min(doc_id) AS first, count(*) FILTER (doc_id % 4 <> 0) > 1 AS finding FROM documents GROUP BY 1 HAVING count(*) > 1",
     "fk_findings": "SELECT DISTINCT 'unlabelled' AS code, doc_id::VARCHAR AS subject FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT 'label_without_document', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 800)",
     "edge_reciprocity": _EDGES,
-    "alias_collisions": "WITH n AS (SELECT DISTINCT s_suppkey AS entry, unnest([array_to_string(regexp_extract_all(lower(s_name), '[a-z0-9]+'), '-'), 'n' || s_nationkey]) AS alias FROM supplier) SELECT a.entry AS a, b.entry AS b, string_agg(a.alias, ',' ORDER BY a.alias) AS aliases FROM n a JOIN n b ON a.alias = b.alias AND a.entry < b.entry GROUP BY 1, 2",
+    "alias_collisions": "WITH n AS (SELECT DISTINCT s_suppkey AS entry, unnest([array_to_string(regexp_extract_all(lower(s_name), '[a-z0-9]+'), '-'), 'n' || s_nationkey]) AS alias FROM supplier) SELECT a.alias, a.entry, min(b.entry) AS other, count(*) + 1 AS claims FROM n a JOIN n b ON a.alias = b.alias AND a.entry <> b.entry GROUP BY 1, 2",
     "index_difference": _DIFFERENCE,
     "lease_claim": f"WITH {_QUEUE}, f AS (SELECT key FROM q WHERE status = 'pending' AND claimable ORDER BY key LIMIT 5) SELECT q.key, CASE WHEN f.key IS NOT NULL THEN 'in-progress' ELSE status END AS status, CASE WHEN f.key IS NOT NULL THEN 'run1' WHEN q.key % 4 = 0 THEN 'old' END AS run_id, CASE WHEN f.key IS NOT NULL THEN 'b1' WHEN q.key % 4 = 0 THEN 'b0' END AS batch_id, f.key IS NOT NULL AS taken FROM q LEFT JOIN f ON f.key = q.key",
     "lease_recover": f"WITH {_QUEUE}, r AS (SELECT key, CASE WHEN key % 8 = 0 THEN 'done' ELSE status END AS status, CASE WHEN key % 4 = 0 THEN floor(epoch(TIMESTAMP '2024-01-01 12:00:00'))::BIGINT - floor(epoch(first))::BIGINT END AS age FROM q) SELECT key, age, CASE WHEN key % 4 <> 0 THEN 'none' WHEN status <> 'in-progress' THEN 'drifted' WHEN age < 0 THEN 'clock_error' WHEN age >= 3600 THEN 'expired' ELSE 'live' END AS recovery FROM r",
-    "run_batches": f"WITH {_QUEUE} SELECT 'b0' AS batch_id, string_agg(key::VARCHAR, ',' ORDER BY key) AS keys FROM q WHERE key % 4 = 0",
+    "run_batches": f"WITH {_QUEUE} SELECT 'b0' AS batch_id, key, count(*) OVER () AS keys FROM q WHERE key % 4 = 0",
     "upsert_merge": _UPSERT,
     "expectation_patch": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderstatus = 'O' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus IS NOT DISTINCT FROM 'O' END AS applied FROM orders",
     "latest_generation": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1",
