@@ -152,7 +152,8 @@ class DualWalk:
     A pair of nodes is dropped when the distance of its centres, less both radii, is over the distance that belongs to the
     threshold; it is taken whole, as a block of links, when that distance with both radii is under it; else the children
     are paired. Many small pairs are worked on side by side, large ones by products of their children's centres. `whole`
-    and `compared` count pairs of rows decided so; all others of `total` were dropped by a bound.
+    counts pairs of rows that were taken as blocks, `compared` those whose product was formed, be it as two nodes of one
+    row each or as rows of two leaves; all others of `total` were dropped by a bound on larger nodes.
     """
 
     def __init__(self, a: CoverTree, b: CoverTree | None, least: float):
@@ -167,12 +168,12 @@ class DualWalk:
         a, b = self.a, self.b
         if not len(a.x) or not len(b.x):
             return
-        stack = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        stack = [(np.zeros(1, np.int64), np.zeros(1, np.int64), False)]
         while stack:
-            i, j = stack.pop()
+            i, j, counted = stack.pop()
             if len(i) > 1 << 16:
                 half = len(i) // 2
-                stack += [(i[:half], j[:half]), (i[half:], j[half:])]
+                stack += [(i[:half], j[:half], counted), (i[half:], j[half:], counted)]
                 continue
             dots = np.einsum("ij,ij->i", a.x[a.center[i]], b.x[b.center[j]])
             gap = np.sqrt(np.maximum(0.0, 2 - 2 * dots))
@@ -180,6 +181,8 @@ class DualWalk:
             gap[same] = 0.0
             radii = a.radius[i] + b.radius[j]
             size_a, size_b = a.end[i] - a.begin[i], b.end[j] - b.begin[j]
+            if not counted:
+                self.compared += int(((size_a == 1) & (size_b == 1) & ~same).sum())
             pairs = np.where(same, size_a * (size_a - 1) // 2, size_a * size_b)
             far = ~same & (gap - radii > self.reach + 1e-7)
             whole = ~far & (gap + radii < self.reach - 1e-7) & (pairs > 1)
@@ -196,7 +199,7 @@ class DualWalk:
             for p, q in zip(i[wide].tolist(), j[wide].tolist()):
                 stack += self._kids(p, q)
             if not wide.all():
-                stack.append(self._spread(i[~wide], j[~wide], same[~wide]))
+                stack.append((*self._spread(i[~wide], j[~wide], same[~wide]), False))
 
     def _spread(self, i: np.ndarray, j: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of children of pairs of nodes; a leaf stands for its children, and of a node with itself each pair once."""
@@ -210,8 +213,8 @@ class DualWalk:
         once = ~same[at] | (p <= q)
         return p[once], q[once]
 
-    def _kids(self, i: int, j: int, block: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of children of two wide nodes that the bound keeps, by blocks of products."""
+    def _kids(self, i: int, j: int, block: int = 512) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """Pairs of children of two wide nodes that the bound keeps, by blocks of products; those of two rows are counted."""
         a, b = self.a, self.b
         mine = np.arange(a.kid[i], a.kid[i] + a.kids[i]) if a.kids[i] else np.array([i])
         other = np.arange(b.kid[j], b.kid[j] + b.kids[j]) if b.kids[j] else np.array([j])
@@ -230,9 +233,13 @@ class DualWalk:
                     near = a.x[a.center[p]] @ b.x[b.center[q]].T >= 1 - edge * edge / 2 - 1e-12
                     if own and k == m:
                         near[:, : len(p)] = np.triu(near[:, : len(p)])
+                    ones = k == 0 and m == 0
+                    if ones:
+                        n = (a.end[p] - a.begin[p] == 1).sum() * (b.end[q] - b.begin[q] == 1).sum()
+                        self.compared += int(n - len(p) * (len(p) + 1) // 2) if own else int(n)
                     r, c = np.nonzero(near)
                     if len(r):
-                        out.append((p[r], q[c]))
+                        out.append((p[r], q[c], ones))
         return out
 
     def _rows(self, i: np.ndarray, j: np.ndarray, most: int = 1 << 18):
@@ -252,7 +259,7 @@ class DualWalk:
                 if self.own:
                     keep = (i[at[t]] != j[at[t]]) | (p < q)
                     p, q = np.minimum(p, q)[keep], np.maximum(p, q)[keep]
-                self.compared += len(p)
+                self.compared += int((n[at[t]] > 1).sum())
                 good = np.einsum("ij,ij->i", a.x[p], b.x[q]) >= self.least
                 if good.any():
                     yield "rows", p[good], q[good]
