@@ -116,7 +116,7 @@ def runs(lines: np.ndarray, least: int) -> dict[bytes, list[tuple[int, int]]]:
     return out
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8, min_words: int = 5) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8, min_words: int = 5, tried: list[int] | None = None) -> DataFrame:
     """Ranges of lines to delete: (id, text_hash, ranges array<struct<first, last>>), line numbers from 0.
 
     Each pair of a document and an earlier one is aligned on all lines that both hold, and all pairs count that can delete
@@ -124,8 +124,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
     `min_words` words, that at most `rare` texts hold leads from each to every earlier one. A run of more leads each to
     the first that holds it, which deletes it nearly always. Where it is left, as it stands in another order there or more
     often here, all earlier ones are tried: those that share no rare line with the document meet it in frequent lines
-    alone, so texts are classes by their outline, the frequent lines with what stands between as gaps, and each pair
-    of outlines is aligned once.
+    alone, so texts are classes by their outline, the frequent lines with what stands between as gaps. An outline meets
+    the holders of its runs in rounds, a few first and eight times as many in each further one, until all places of its
+    runs are deleted or all holders have been tried: a block consists of such runs, so no other holder could add to it. `tried` gets how many pairs of outlines each round aligned.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -207,8 +208,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
 
     once = materialize(aligned(pairs), "ranges")
     gone = lambda x: F.exists(F.coalesce("ranges", F.array().cast(ranges)), lambda r: (r["first"] <= x["first"]) & (x["last"] <= r["last"]))
-    left = often.join(once, ["id", "text_hash"], "left").where(F.exists("at", lambda x: ~gone(x))).select("run", "id", "text_hash")
-    left = materialize(left, "runs-left", compression="zstd")
+    stays = lambda held, ranges: held.join(ranges, ["id", "text_hash"], "left").select("run", "id", "text_hash", F.filter("at", lambda x: ~gone(x)).alias("at")).where(F.size("at") > 0)
+    left = materialize(stays(often, once), "runs-left", compression="zstd")
 
     def outline(batches):
         for batch in batches:
@@ -230,13 +231,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
     outlines = firsts.drop("whole").join(frequent, ["id", "text_hash"]).select("id", "text_hash", "lines", "own")
     outlines = materialize(outlines.mapInArrow(frugal(outline), f"id {id_type}, text_hash long, outline binary, lines binary, number array<int>"), "outlines", compression="zstd")
     of = outlines.select("id", "text_hash", "outline")
-    here = left.join(of, ["id", "text_hash"]).groupBy("run", "outline").agg(F.max("id").alias("last_id"))
     there = asked.join(of, ["id", "text_hash"]).select("run", F.col("outline").alias("e_outline")).distinct()
     one = outlines.groupBy("outline").agg(F.min("id").alias("e_id"), F.min("lines").alias("lines"))
     one = materialize(one, "outlines-once", compression="zstd")
-    there = there.join(one.select(F.col("outline").alias("e_outline"), "e_id"), "e_outline")
-    pairs = here.join(there, "run").where("last_id > e_id").select("outline", "e_outline", "e_id").distinct()
-    met = pairs.join(one.select("outline", "lines"), "outline").join(one.select(F.col("outline").alias("e_outline"), F.col("lines").alias("e_lines")), "e_outline")
+    holders = there.groupBy("run").agg(F.count(F.lit(1)).alias("holders"))
+    # a number from 0 to the number of a run's holders, by hash: the order in which they are tried
+    turn = F.pmod(F.xxhash64("e_outline"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("holders")
+    there = there.join(one.select(F.col("outline").alias("e_outline"), "e_id"), "e_outline").join(holders, "run").withColumn("turn", turn).drop("holders")
+    there = materialize(there, "outlines-holders", compression="zstd")
+    most = there.agg(F.max("turn")).first()[0]
 
     def align_outlines(batches):
         for batch in batches:
@@ -244,11 +247,24 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rar
             for found in align([pa.RecordBatch.from_arrays(names, names=[*pair, "lines", "e_lines"])]):
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), found.column(2)], names=["outline", "e_id", "ranges"])
 
-    met = met.select("outline", "e_outline", "e_id", "lines", "e_lines").mapInArrow(frugal(align_outlines), f"outline binary, e_id {id_type}, ranges {ranges}")
-    met = met.select("outline", "e_id", F.explode("ranges").alias("at")).groupBy("outline", "at").agg(F.min("e_id").alias("e_id"))
     number = lambda k: F.get("number", F.col(f"at.{k}")).alias(k)
-    more = outlines.join(met, "outline").where("id > e_id").select("id", "text_hash", F.array(F.struct(number("first"), number("last"))).alias("ranges"))
-    return together(copies.unionByName(once).unionByName(more))
+    found, first, last = [once], 0, 4
+    while most is not None and first <= most and left.limit(1).count():
+        # each outline that still holds a run meets the next of its holders; one whose runs are all deleted meets no more
+        here = left.join(of, ["id", "text_hash"]).groupBy("run", "outline").agg(F.max("id").alias("last_id"))
+        pairs = here.join(there.where((F.col("turn") >= first) & (F.col("turn") < last)), "run").where("last_id > e_id").select("outline", "e_outline", "e_id").distinct()
+        if tried is not None:
+            tried.append(pairs.count())
+        met = pairs.join(one.select("outline", "lines"), "outline").join(one.select(F.col("outline").alias("e_outline"), F.col("lines").alias("e_lines")), "e_outline")
+        met = met.select("outline", "e_outline", "e_id", "lines", "e_lines").mapInArrow(frugal(align_outlines), f"outline binary, e_id {id_type}, ranges {ranges}")
+        met = met.select("outline", "e_id", F.explode("ranges").alias("at")).groupBy("outline", "at").agg(F.min("e_id").alias("e_id"))
+        more = outlines.join(met, "outline").where("id > e_id").select("id", "text_hash", F.array(F.struct(number("first"), number("last"))).alias("ranges"))
+        found.append(materialize(together(more), "ranges"))
+        left = materialize(stays(left, found[-1]), "runs-left", compression="zstd")
+        first, last = last, last * 8
+    for more in found:
+        copies = copies.unionByName(more)
+    return together(copies)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = 8, min_words: int = 5) -> DataFrame:

@@ -15,6 +15,7 @@ import xxhash
 from tallyforge.llm import line_dedup, mixing, sentencepiece_dropout as spd, sharding, simhash, suffix_dedup, token_output, toxicity
 
 from .fixtures import documents, rows
+from .test_pipeline import plain_lines
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -295,38 +296,10 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def brute_lines(docs, rare=8, least=5):
-    """Every pair the rule names, by a search for the same blocks without the tables."""
-    clean = [(i, t, [(n, x.strip(" \t\r\f\x0b")) for n, x in enumerate(t.split("\n"))]) for i, t in dict.fromkeys((r[0], r[1]) for r in docs if r[0] is not None and r[1] is not None)]
-    clean = [(i, t, [(n, x) for n, x in lines if x]) for i, t, lines in clean]
-    holders = defaultdict(set)
-    for i, t, lines in clean:
-        for _, x in lines:
-            holders[x].add((i, t))
-    gone = defaultdict(set)
-    by_key = {(i, t): lines for i, t, lines in clean}
-    for i, t, lines in clean:
-        partners = defaultdict(set)
-        for _, x in lines:
-            ids = {d for d, _ in holders[x]}
-            if len(ids) < 2:
-                continue
-            for e in [min(holders[x], key=lambda d: d[0])] if len(ids) > rare else holders[x]:
-                if e[0] < i:
-                    partners[e].add(x)
-        for e, shared in partners.items():
-            later = {p: x for p, (_, x) in enumerate(lines) if x in shared}
-            earlier = {p: x for p, (_, x) in enumerate(by_key[e]) if x in shared}
-            words = {p: len(WORD.findall(x)) for p, x in later.items()}
-            for a, b in line_dedup.blocks(line_dedup.patience(later, earlier, max(later) + 1, max(earlier) + 1), words, least):
-                gone[i, t].update(range(lines[a][0], lines[b][0] + 1))
-    return gone
-
-
 def test_line_dedup(spark):
     docs = documents(spark)
     found = line_dedup.dedup(docs).collect()
-    gone = brute_lines(rows())
+    gone = plain_lines(sorted({(r[0], r[1]) for r in rows() if r[0] is not None and r[1] is not None}))
     want = []
     for r in rows():
         lines = [] if r[1] is None else r[1].split("\n")
@@ -367,6 +340,30 @@ def test_line_dedup_equals_every_pair(spark):
     assert "by the river" not in want[5]
 
 
+def crossed(n, seed=3):
+    """Texts that hold two frequent lines in another order than the first holder, among short frequent and own lines."""
+    rng = np.random.default_rng(seed)
+    out = [(0, "x y z u v\np q r s t")]
+    for i in range(1, n):
+        lines = ["p q r s t", "x y z u v"]
+        for k in range(9):
+            lines.insert(int(rng.integers(0, len(lines) + 1)), f"short {k}")
+        out.append((i, "\n".join(x for k, line in enumerate(lines) for x in (line, f"own {i} {k}"))))
+    return out
+
+
+def test_crossed_lines_do_not_meet_in_all_pairs(spark):
+    made = {}
+    for n in (100, 400):
+        made[n] = tried = []
+        data = crossed(n)
+        found = {r.id: r.ranges for r in line_dedup.repeats(spark.createDataFrame(data, "doc_id long, text string"), tried=tried).collect()}
+        if n == 100:
+            got = {i: {k for a, b in found.get(i, []) for k in range(a, b + 1)} for i, _ in data}
+            assert got == every_pair(data) and sum(map(len, got.values())) > n
+    assert sum(made[400]) < 8 * sum(made[100]) and sum(made[400]) < 400 * 399 / 2 / 5, made
+
+
 def test_patience_aligns_around_unique_lines():
     a, b = dict(enumerate("xabcyd")), dict(enumerate("abczxd"))
     assert line_dedup.patience(a, b, 6, 6) == [(1, 0), (2, 1), (3, 2), (5, 5)]
