@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import frugal, materialize, small_batches
 
-#: Bits of a word's code, the decisions that predict it; documents read side by side; words between two updates.
-BITS, SIDE, STEP = 10, 512, 64
+#: Bits of a word's code, the decisions that predict it; documents read side by side; bytes of text gathered for that.
+BITS, SIDE, GATHER = 8, 512, 16 << 20
+#: Words between two updates: in a text's beginning, its length, and after it.
+STEP, EARLY, LATER = 64, 512, 128
 CODES = 1 << BITS
 #: Contexts: none, the word before, the one before that, both. Entries of a block of a predictor's table.
 ORDERS, BLOCK = 4, 1 << 16
@@ -26,6 +29,8 @@ END = b"\n"
 #: Sums of logarithms are kept as whole numbers of this fraction, so that they don't depend on the order of rows.
 PART = 10**10
 SLOT_BITS = 20
+#: Words that are looked up where a text is read, the most frequent ones, at most so many; all others are joined.
+FREQUENT = 1 << 17
 
 
 class Words(dict):
@@ -54,10 +59,15 @@ _NODE = (np.arange(CODES, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) >> n
 _DEEP = np.arange(BITS)
 
 
-def nodes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes that a code passes in the binary tree of codes, and the bit it takes at each."""
-    codes = codes.astype(np.int64)[:, None]
-    return (1 << _DEEP) | (codes >> (BITS - _DEEP)), (codes >> (BITS - 1 - _DEEP)) & 1
+_CODE = np.arange(CODES)[:, None]
+#: The nodes that each code passes in the binary tree of codes, and the bit it takes at each.
+_PATHS = (1 << _DEEP) | (_CODE >> (BITS - _DEEP))
+_TURNS = (_CODE >> (BITS - 1 - _DEEP)) & 1
+_SIGNS = (1 - 2 * _TURNS).astype(np.float32)
+
+
+def codes_of(words: np.ndarray) -> np.ndarray:
+    return (words & np.uint64(CODES - 1)).astype(np.int64)
 
 
 def contexts(before: np.ndarray, earlier: np.ndarray) -> list[np.ndarray]:
@@ -72,7 +82,7 @@ def contexts(before: np.ndarray, earlier: np.ndarray) -> list[np.ndarray]:
 
 def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     """Slots of a table of 2^bits entries."""
-    return ((context[:, None] ^ _NODE[node]) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return ((np.repeat(context, BITS) ^ _NODE[node]) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def shifted(words: np.ndarray, n: int) -> np.ndarray:
@@ -83,8 +93,10 @@ def stretched(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -8.0, 8.0)
 
 
-#: Stretched probabilities for counts of zeros and ones in a document.
-_OWN = stretched(np.arange(256.0)[None, :], np.arange(256.0)[:, None]).astype(np.float32)
+#: By a document's counts at a node, 256 * ones + zeros: the stretched probability, and the gate's class of how often.
+_PAIR = np.arange(1 << 16)
+_OWN = stretched(_PAIR // 256, _PAIR % 256).astype(np.float32)
+_OFTEN = np.digitize(_PAIR // 256 + _PAIR % 256, (1, 3, 16))
 
 
 class Model:
@@ -98,11 +110,11 @@ class Model:
         self.weights = weights.astype(np.float32)
 
     def read(self, texts: list[np.ndarray], learn: float = 0.0, own_rate: float = 0.05) -> np.ndarray:
-        """Bits that each text costs: all read side by side, STEP words at a time.
+        """Bits that each text costs: all read side by side, STEP words at a time, after the first EARLY words LATER.
 
         Every bit of a word's code is predicted from the tables and from what the document had before the step; the
         gate is the bit's place and how often the document passed its node. After a step the document's counts take up
-        its words (a node's two counts are halved when one passes 255 - STEP), and the offsets that a document adds to the weights move along the gradient. With `learn` the weights
+        its words (a node's two counts are halved when one passes 255 - LATER), and the offsets that a document adds to the weights move along the gradient. With `learn` the weights
         themselves move too.
         """
         cost = np.zeros(len(texts))
@@ -114,59 +126,76 @@ class Model:
 
     def _side(self, texts: list[np.ndarray], learn: float, own_rate: float) -> np.ndarray:
         cost, lengths = np.zeros(len(texts)), np.array([len(t) for t in texts])
-        seen = np.zeros((len(texts) * CODES, 2), np.uint8)
+        seen = np.zeros(len(texts) * CODES, '<u2')  # ones in the upper byte
         offset = np.zeros((len(texts), INPUTS), np.float32)
         squares = np.full((GATES, INPUTS), 1e-6)
-        start, now, flat = np.cumsum(lengths) - lengths, 0, np.concatenate(texts)
+        start, flat = np.cumsum(lengths) - lengths, np.concatenate(texts)
         first, second = (np.concatenate([shifted(t, n) for t in texts]) for n in (1, 2))
-        for now in range(0, int(lengths.max(initial=0)), STEP):
-            n = np.clip(lengths - now, 0, STEP)
+        longest = int(lengths.max(initial=0))
+        for now in [*range(0, min(EARLY, longest), STEP), *range(EARLY, longest, LATER)]:
+            n = np.clip(lengths - now, 0, STEP if now < EARLY else LATER)
             live = int((n > 0).sum())  # the longest come first
             n = n[:live]
-            doc = np.repeat(np.arange(live), n)
             rows = np.repeat(start[:live] + now - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            node, bit = nodes(flat[rows] & np.uint64(CODES - 1))
-            x = np.empty((*node.shape, INPUTS), np.float32)
-            x[..., 0] = self.tables[0][node]
-            for k, h in enumerate(contexts(first[rows], second[rows])):
-                x[..., k + 1] = self.tables[k + 1][slots(h, node, self.bits)]
-            x[..., :ORDERS] *= 1 / SCALE
-            place = node + (doc * CODES)[:, None]
+            code = codes_of(flat[rows])
+            node, sign = _PATHS[code].ravel(), _SIGNS[code].ravel()
+            place = node + np.repeat(np.arange(live) * CODES, n * BITS)
             had = seen[place]
-            x[..., ORDERS] = _OWN[had[..., 0], had[..., 1]]
-            x[..., ORDERS + 1] = 0.3
-            often = had[..., 0].astype(np.int32) + had[..., 1]
-            gate = _DEEP[None, :] * 4 + (often > 0) + (often > 2) + (often > 15)
-            logit = np.clip(np.einsum("tbi,tbi->tb", x, self.weights[gate] + offset[doc][:, None, :]), -12, 12)
-            p = 1 / (1 + np.exp(-logit))
-            cost[:live] += np.add.reduceat(-np.log2(np.where(bit == 1, p, 1 - p)).sum(axis=1, dtype=np.float64), np.cumsum(n) - n)
-            push = (bit - p).astype(np.float32)[..., None] * x
+            x = [self.tables[0][node]]
+            x += [self.tables[k + 1][slots(h, node, self.bits)] for k, h in enumerate(contexts(first[rows], second[rows]))]
+            x = [part.astype(np.float32) * np.float32(1 / SCALE) for part in x]
+            x += [_OWN[had], np.full(len(node), 0.3, np.float32)]
+            gate = np.tile(_DEEP * 4, len(rows)) + _OFTEN[had]
+            logit = np.zeros(len(node), np.float32)
+            for i, part in enumerate(x):
+                logit += part * (self.weights[:, i][gate] + np.repeat(offset[:live, i], n * BITS))
+            np.clip(logit, -12, 12, out=logit)
+            starts = (np.cumsum(n) - n) * BITS
+            miss = np.exp(sign * logit)  # odds against the bit that came
+            cost[:live] += np.add.reduceat(np.log1p(miss), starts, dtype=np.float64) / math.log(2)
+            miss /= 1 + miss
+            push = -sign * miss  # what the bit is above its probability
             if own_rate:
-                each = np.add.reduceat(push.sum(axis=1), np.cumsum(n) - n, axis=0)
-                offset[:live] += own_rate * each / np.sqrt(n * BITS)[:, None].astype(np.float32)
+                rate = (own_rate / np.sqrt(n * BITS)).astype(np.float32)
+                for i, part in enumerate(x):
+                    offset[:live, i] += rate * np.add.reduceat(push * part, starts)
             if learn:
-                many = np.bincount(gate.ravel(), minlength=GATES)
-                grad = np.stack([np.bincount(gate.ravel(), weights=push[..., i].ravel(), minlength=GATES) for i in range(INPUTS)], axis=1)
+                many = np.bincount(gate, minlength=GATES)
+                grad = np.stack([np.bincount(gate, weights=push * part, minlength=GATES) for part in x], axis=1)
                 grad /= np.maximum(many, 1)[:, None]
                 squares += grad * grad
                 self.weights += (learn * grad / np.sqrt(squares)).astype(np.float32)
-            np.add.at(seen.reshape(-1), (place * 2 + bit).ravel(), np.uint8(1))
-            active = seen[: live * CODES]
-            full = np.flatnonzero(active.max(axis=1) > 255 - STEP)
-            active[full] >>= 1
+            counts = seen.view(np.uint8)
+            np.add.at(counts, place * 2 + _TURNS[code].ravel(), np.uint8(1))
+            full = np.flatnonzero(counts[: live * CODES * 2] > 255 - LATER) // 2
+            seen[full] = (seen[full] >> 1) & 0x7F7F
         return cost
 
 
+def gathered(batches):
+    """Batches put together to about GATHER bytes, so that many texts can be read side by side."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHER:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def counted(texts: list[np.ndarray], totals: list[np.ndarray], bits: int) -> None:
     """Adds how often the texts take each bit at each node of each context."""
     flat = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
     first, second = (np.concatenate([shifted(t, n) for t in texts]) if texts else flat for n in (1, 2))
     for at in range(0, len(flat), 1 << 16):
         cut = slice(at, at + (1 << 16))
-        node, bit = nodes(flat[cut] & np.uint64(CODES - 1))
-        np.add.at(totals[0], (node * 2 + bit).ravel(), np.uint32(1))
+        code = codes_of(flat[cut])
+        node, bit = _PATHS[code].ravel(), _TURNS[code].ravel()
+        np.add.at(totals[0], node * 2 + bit, np.uint32(1))
         for k, h in enumerate(contexts(first[cut], second[cut])):
-            np.add.at(totals[k + 1], (slots(h, node, bits) * 2 + bit).ravel(), np.uint32(1))
+            np.add.at(totals[k + 1], slots(h, node, bits) * 2 + bit, np.uint32(1))
 
 
 def slot_bits(n_bytes: int) -> int:
@@ -218,12 +247,25 @@ def tables_of(docs: DataFrame, bits: int) -> list[np.ndarray]:
     return out
 
 
+def frequent(counts: DataFrame, most: int | None = None) -> DataFrame:
+    """The words of counts (word, c) with the highest counts, as many whole steps of the count as hold at most `most`."""
+    step = F.floor(F.log2("c") * 16)
+    steps = sorted(((r["step"], r["n"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # about 1,000 rows
+    least, held = None, 0
+    for at, n in steps:
+        held += n
+        if held > (FREQUENT if most is None else most):
+            break
+        least = at
+    return counts.where(step >= least) if least is not None else counts.limit(0)
+
+
 def weights_of(docs: DataFrame, sent, bits: int, learn: float) -> np.ndarray:
     """The mixer's weights after every task has read its rows of docs online, averaged by how much each has read."""
 
     def read(batches):
         model, names, n = Model(sent.value, bits), Words(), 0
-        for batch in batches:
+        for batch in gathered(batches):
             texts = streams(batch.column(0).to_pylist(), names)
             model.read(texts, learn=learn)
             n += sum(map(len, texts))
@@ -251,7 +293,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
 
     What is counted grows with the corpus: the words, which are counted and joined with all documents, and the tables,
     whose size follows the cube root of the bytes and that travel to all tasks (2^20 bytes each to 1 GB, 2^26 at 100 TB).
-    A hot word has one row for each document that holds it; ends are counted apart.
+    The most frequent words, at most FREQUENT, go to all tasks with their counts; documents and all other words meet in a
+    join on the word, with one row for each document that holds it. Ends are counted apart.
 
     Null texts are empty and have their end alone. Null ids train. Repeated rows count and are scored each. Without
     training rows a code costs BITS bits and all else nothing. An empty table gives an empty result; other columns are
@@ -263,21 +306,14 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     small_batches(spark)
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "lm-documents", "zstd")
 
-    def words(batches):
-        for batch in batches:
-            row, word, n = [], [], []
-            for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found: dict[bytes, int] = {}
-                for w in split(text):
-                    found[w] = found.get(w, 0) + 1
-                row += [at] * len(found)
-                word += found
-                n += found.values()
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["row", "word", "n"])
+    def tally(batches):
+        for table in gathered(batches):
+            found = Counter(w for text in table.column(0).to_pylist() for w in split(text))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "c"])
 
     train = F.col("fold") != held
     code = F.xxhash64("word").bitwiseAND(F.lit(CODES - 1)).cast("int")
-    counts = rows.where(train).select("row", "text").mapInArrow(words, "row long, word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    counts = rows.where(train).select("text").mapInArrow(frugal(tally), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
     counts = materialize(counts, "lm-words")
     known = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     size = rows.agg(F.count_if(train).alias("docs"), F.sum(F.when(train, F.octet_length("text"))).alias("bytes")).first()
@@ -289,23 +325,46 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     classes[end_code] = classes.get(end_code, 1) + (ends + 1 if ends else 0)
     of_code = spark.createDataFrame(sorted(classes.items()), "code int, t long")
 
+    each = math.log10(total + different + 1)
+    hot = {r["word"]: (math.log10(r["c"] + 1) - each, math.log10((r["c"] + 1) / classes[r["code"]])) for r in frequent(counts).withColumn("code", code).collect()}  # FREQUENT rows
+    hot = spark.sparkContext.broadcast(hot)
+
+    def words(batches):
+        for batch in batches:
+            row, word, n = [], [], []
+            for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = {w: k for w, k in Counter(split(text)).items() if w not in hot.value}
+                row += [at] * len(found)
+                word += found
+                n += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["row", "word", "n"])
+
     bits = slot_bits(size["bytes"] or 0)
     tables = spark.sparkContext.broadcast(tables_of(rows.where(train & (F.col("fold") != mixing)), bits))
     weights = weights_of(rows.where(F.col("fold") == mixing), tables, bits, learn)
 
     def score(batches):
         model, names = Model(tables.value, bits, weights), Words()
-        for batch in batches:
-            texts = streams(batch.column(0).to_pylist(), names)
+        for table in gathered(batches):
+            texts = streams(table.column(0).to_pylist(), names)
             cost = np.round(model.read(texts) * PART).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([len(t) for t in texts], pa.int64()), pa.array(cost)], names=["row", "doc_id", "fold", "bytes", "n_tokens", "cost"])
+            known, base, share = [], [], []
+            for text in table.column(0).to_pylist():
+                found = [(k, *hot.value[w]) for w, k in Counter(split(text)).items() if w in hot.value]
+                known.append(sum(k for k, _, _ in found))
+                base.append(sum(round(k * x * PART) for k, x, _ in found))
+                share.append(sum(round(k * x * PART) for k, _, x in found))
+            own = table.select(["row", "doc_id", "fold", "bytes"])
+            for name, values in (("n_tokens", [len(t) for t in texts]), ("cost", cost), ("known", known), ("base", base), ("share", share)):
+                own = own.append_column(name, pa.array(values, pa.int64()))
+            yield from own.to_batches()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    read = rows.select("text", "row", "doc_id", "fold", F.octet_length("text").cast("long").alias("bytes")).mapInArrow(frugal(score), f"row long, doc_id {kind}, fold int, bytes long, n_tokens long, cost long")
+    read = rows.select("text", "row", "doc_id", "fold", F.octet_length("text").cast("long").alias("bytes")).mapInArrow(frugal(score), f"row long, doc_id {kind}, fold int, bytes long, n_tokens long, cost long, known long, base long, share long")
     whole = lambda x: F.round(F.col("n") * x * PART).cast("long")
     c = F.coalesce("c", F.lit(0)) + 1
-    found = rows.select("row", "text").mapInArrow(words, "row long, word binary, n long").join(counts, "word", "left").withColumn("code", code).join(F.broadcast(of_code), "code", "left")
-    found = found.select("row", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(F.lit(0)).alias("known"), whole(F.log10(c / F.lit(float(total + different + 1)))).alias("base"), whole(F.log10(c / F.coalesce("t", F.lit(1)))).alias("share"))
+    found = rows.select("row", "text").mapInArrow(words, "row long, word binary, n long").join(counts.hint("shuffle_hash"), "word", "left").withColumn("code", code).join(F.broadcast(of_code), "code", "left")
+    found = found.select("row", F.when(F.col("c").isNotNull(), F.col("n")).otherwise(F.lit(0)).alias("known"), whole(F.log10(c) - F.lit(each)).alias("base"), whole(F.log10(c / F.coalesce("t", F.lit(1)))).alias("share"))
     both = read.unionByName(found, allowMissingColumns=True).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("fold").alias("fold"), F.max("bytes").alias("bytes"), F.max("n_tokens").alias("n_tokens"), *(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("cost", "known", "base", "share")))
     end_base, end_share = math.log10((ends + 1) / (total + different + 1)), math.log10((ends + 1) / classes[end_code]) if ends else 0.0
     base = F.col("base") / PART + F.lit(end_base)

@@ -39,23 +39,24 @@ def keys(numbers, at, node, bits):
 
 
 def path(number):
-    code, node = number & 1023, 1
-    for place in range(10):
-        bit = code >> (9 - place) & 1
+    code, node = number & 255, 1
+    for place in range(8):
+        bit = code >> (7 - place) & 1
         yield place, node, bit
         node = node * 2 + bit
 
 
 def plain_read(texts, table, weights, bits, learn):
-    """Bits of each text, STEP words after another, side by side as far as learning goes."""
+    """Bits of each text, some words after another, side by side as far as learning goes."""
     cost, seen, shift = [0.0] * len(texts), [Counter() for _ in texts], [np.zeros(6) for _ in texts]
-    squares = np.full((40, 6), 1e-6)
-    for start in range(0, max(map(len, texts), default=0), lm_scoring.STEP):
-        grads, many = np.zeros((40, 6)), np.zeros(40)
+    squares = np.full((32, 6), 1e-6)
+    start, step = 0, 64
+    while start < max(map(len, texts), default=0):
+        grads, many = np.zeros((32, 6)), np.zeros(32)
         passed = [Counter() for _ in texts]
         for d, numbers in enumerate(texts):
             own, n = np.zeros(6), 0
-            for at in range(start, min(start + lm_scoring.STEP, len(numbers))):
+            for at in range(start, min(start + step, len(numbers))):
                 n += 1
                 for place, node, bit in path(numbers[at]):
                     ones, zeros = seen[d][node, 1], seen[d][node, 0]
@@ -71,15 +72,17 @@ def plain_read(texts, table, weights, bits, learn):
                     many[gate] += 1
                     passed[d][node, bit] += 1
             if n:
-                shift[d] += 0.05 * own / math.sqrt(n * 10)
+                shift[d] += 0.05 * own / math.sqrt(n * 8)
         for d, new in enumerate(passed):
             seen[d].update(new)
-            for node in {node for node, _ in new if max(seen[d][node, 0], seen[d][node, 1]) > 191}:
+            for node in {node for node, _ in new if max(seen[d][node, 0], seen[d][node, 1]) > 127}:
                 seen[d][node, 0], seen[d][node, 1] = seen[d][node, 0] // 2, seen[d][node, 1] // 2
         if learn:
             grads /= np.maximum(many, 1)[:, None]
             squares += grads * grads
             weights += learn * grads / np.sqrt(squares)
+        start += step
+        step = 64 if start < 512 else 128
     return cost
 
 
@@ -88,7 +91,7 @@ def plain(data, bits=20):
     train = [t for i, t in every if fold(i) != 2]
     c = Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
-    code = lambda w: xxhash.xxh64_intdigest(w, 42) & 1023
+    code = lambda w: xxhash.xxh64_intdigest(w, 42) & 255
     share = Counter()
     for w, k in c.items():
         share[code(w)] += k + 1
@@ -100,7 +103,7 @@ def plain(data, bits=20):
                 for key in keys(own, at, node, bits):
                     found.setdefault(key, [0, 0])[bit] += 1
     table = {k: round(max(-8, min(8, math.log((b + 0.4) / (a + 0.4)))) * 15.5) for k, (a, b) in found.items()}
-    weights = np.zeros((40, 6))
+    weights = np.zeros((32, 6))
     weights[:, 0] = 1
     mix = sorted((own for (i, _), own in zip(every, numbers) if fold(i) == 6), key=lambda own: -len(own))
     plain_read(mix, table, weights, bits, 0.1)
@@ -117,10 +120,12 @@ def short(data):
     return [(r[0], r[1] if r[1] is None or len(r[1]) < 9000 else r[1][:9000], *r[2:]) for r in data]  # the plain version is slow
 
 
-@pytest.mark.parametrize("which", ["all", "held", "one"])
-def test_scores(spark, which):
+@pytest.mark.parametrize("which", ["all", "few", "held", "one"])
+def test_scores(spark, which, monkeypatch):
+    if which == "few":  # words in tasks and words that are joined
+        monkeypatch.setattr(lm_scoring, "FREQUENT", 5)
     data = short(rows())
-    data = {"all": data, "held": [r for r in data if fold(r[0]) == 2], "one": data[:1]}[which]
+    data = {"all": data, "few": data, "held": [r for r in data if fold(r[0]) == 2], "one": data[:1]}[which]
     found = [tuple(r)[:7] for r in lm_scoring.scores(spark.createDataFrame(data, SCHEMA).coalesce(1)).collect()]
     want = plain(data)
     assert len(found) == len(want)
@@ -141,7 +146,7 @@ def test_codes_of_a_word_sum_to_one():
     tables = [rng.integers(-120, 120, n).astype(np.int8) for n in (lm_scoring.BLOCK, 1 << 12, 1 << 12, 1 << 12)]
     model = lm_scoring.Model(tables, 12, rng.normal(size=(lm_scoring.GATES, lm_scoring.INPUTS)) * 0.3)
     start = [int(x) for x in rng.integers(0, 1 << 60, 70)]
-    cost = model.read([np.array([*start, (start[0] & ~1023) | code], dtype=np.uint64) for code in range(1024)])
+    cost = model.read([np.array([*start, (start[0] & ~255) | code], dtype=np.uint64) for code in range(256)])
     before = model.read([np.array(start, dtype=np.uint64)])[0]
     assert sum(2.0 ** (before - c) for c in cost) == pytest.approx(1.0, rel=1e-3)
 
@@ -152,5 +157,12 @@ def test_held_out_texts_gain_on_the_base(spark, sf_dir):
     assert all(math.isfinite(r.score) and r.score < 0 for r in found)
 
 
+def test_frequent_words(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 2 ** (i // 2)) for i in range(10)], "word binary, c long")
+    for most, want in ((0, 0), (1, 0), (2, 2), (5, 4), (10, 10), (99, 10)):
+        assert sorted(r["c"] for r in lm_scoring.frequent(counts, most).collect()) == sorted(2 ** (i // 2) for i in range(10))[10 - want :]
+    assert lm_scoring.frequent(counts.limit(0)).count() == 0
+
+
 def test_tables_follow_the_corpus():
     assert [lm_scoring.slot_bits(n) for n in (0, 10**9, 10**11, 10**14)] == [20, 20, 23, 26]
