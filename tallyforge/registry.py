@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tallyforge.plans import bodies, evidence, grids, ledgers, outcomes, reconcile, records, relations, rules, stored, streams, texts, trees
+from tallyforge.plans import bodies, evidence, grids, ledgers, outcomes, preflights, reconcile, records, relations, rules, stored, streams, texts, trees
 
 FLAGSHIP = "opportunity_rates"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plans in (outcomes, relations, texts, evidence, reconcile, streams, trees, records, rules, grids, ledgers, bodies, stored):
+for _plans in (outcomes, relations, texts, evidence, reconcile, streams, trees, records, rules, grids, ledgers, bodies, stored, preflights):
     QUERIES |= _plans.QUERIES
     ORACLES |= _plans.ORACLES
