@@ -114,7 +114,9 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     more alike ones with a higher one. Such two share one of the 32 bits' four bytes, so texts meet by place and value of
     each of 40 bytes, in groups that the trie's self-join works on; a group of more than `unit` texts is cut into units
     that meet two by two. What is near in the trie and on the whole fingerprint gives a spanning forest with the nearest
-    edges, and each edge is checked exactly by the shingles of the two texts.
+    edges, and each edge is checked exactly by the shingles of the two texts. So no group holds a link that is not true;
+    but a true link can be lost where it lies behind an edge of the forest that the check refuses and no other of the ten
+    tries or of a text's bytes leads to it: 33 of 17,628 pairs at the threshold, in families made of such pairs.
 
     Texts without a word, null ones included, are one group. Null ids take part and get the smallest id that is not null
     of their group, null where there is none. Repeated rows stay. An empty table gives an empty result. Long texts count

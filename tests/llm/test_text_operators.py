@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -20,6 +21,60 @@ from .test_pipeline import plain_lines
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def hashed(*values):
+    """XXH64 of a row's values in turn, seed 42, as a signed number; nulls are passed over, a number is 8 bytes or (4-byte) 4."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else struct.pack("<q", v), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_ring(data, shards, virtual_nodes):
+    """(shard, slot) of each row by a walk of the ring, key by key."""
+    points = sorted((xxhash.xxh64_intdigest(f"{s}/{v}", seed=42) - (1 << 63), s) for s in range(shards) for v in range(virtual_nodes))
+    room = [len(data) // shards + (s < len(data) % shards) for s in range(shards)]
+    arcs = [[] for _ in points]
+    for n, r in enumerate(data):
+        text = (r[1] or "").encode()
+        key = hashed(r[0]) if r[0] is not None else hashed(None if r[1] is None else text)
+        arc = next((i for i, (p, _) in enumerate(points) if p >= key), 0)
+        arcs[arc].append((key, r[0] is not None, r[0] or 0, zlib.crc32(text), len(text), n))
+    where, late = {}, []
+    for arc in arcs:
+        arc.sort()
+    for (_, s), arc in zip(points, arcs):  # first every arc's own shard
+        fits = min(len(arc), room[s])
+        room[s] -= fits
+        where |= {x: s for x in arc[:fits]}
+        late.append(arc[fits:])
+    walking = []
+    for turn in range(2):  # then what is over goes on clockwise, what has come last first
+        for i, (_, s) in enumerate(points):
+            while room[s] and walking:
+                where[walking[-1].pop(0)] = s
+                room[s] -= 1
+                if not walking[-1]:
+                    walking.pop()
+            if not turn and late[i]:
+                walking.append(late[i])
+    used, out = Counter(), {}
+    for arc in arcs:
+        for x in arc:
+            out[x[-1]] = where[x], used[where[x]]
+            used[where[x]] += 1
+    return out
+
+
+@pytest.mark.parametrize("shards,virtual_nodes", [(7, 16), (3, 1), (40, 4), (1, 2)])
+def test_sharding_equals_a_walk_of_the_ring(spark, shards, virtual_nodes):
+    data = rows()
+    found = sharding.shard(documents(spark), shards=shards, virtual_nodes=virtual_nodes).collect()
+    want = plain_ring(data, shards, virtual_nodes)
+    size = lambda t: len((t or "").encode()) + 16
+    assert counted((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in found) == counted((r[0], size(r[1]), zlib.crc32((r[1] or "").encode()), *want[n]) for n, r in enumerate(data))
+
+
 def counted(found) -> Counter:
     return Counter(map(tuple, found))
 
@@ -262,6 +317,20 @@ def test_every_place_has_its_own_dropout():
     assert len(set(cuts)) > 8 and {run.decode(x) for x in cuts} == {b"tomorrow"}
 
 
+def plain_taken(data, targets, sums):
+    """What each row gives: whole epochs, and of the last one the rows by their keys up to the budget."""
+    out = Counter()
+    for source in sums:
+        own = [(hashed(struct.pack("<i", 42), r[0], None if r[3] is None else r[3].encode(), None if r[1] is None else r[1].encode()), r[0] is not None, r[0] or 0, len(WORD.findall(r[1] or "")), r[0]) for r in data if r[3] == source]
+        budget = int(targets[source] + 1e-9)
+        epochs, so_far = min(2, budget // sums[source]) if sums[source] else 0, 0
+        for *_, n, i in sorted(own, key=lambda x: x[:4]):
+            part = max(0, min(n, budget - epochs * sums[source] - so_far))
+            out[i, n, source, min(2 * n, epochs * n + part)] += 1
+            so_far += n
+    return out
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
@@ -292,6 +361,7 @@ def test_mixing(spark):
         assert 0 <= r.taken <= 2 * r.size
         taken[r.source] += r.taken
     assert all(taken[s] == int(targets[s] + 1e-9) for s in sums)
+    assert counted((r.doc_id, r.size, r.source, r.taken) for r in found) == plain_taken(want, targets, sums)
     assert counted(found) == counted(mixing.mix(docs.repartition(1)).collect())
     assert mixing.mix(docs.limit(0)).count() == 0
 
