@@ -165,8 +165,10 @@ SELECT "group", status, eligible_count, CASE WHEN status = 'available' THEN elig
 
 
 def lanes(spark, sf):
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    return op.lane_differences(docs.where("n_chars > 800"), labels, ["doc_id"])
+    """Which pairs of a customer and a month the orders lack, and which pairs of orders no customer stands for."""
+    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
+    left = customers.select(F.col("c_custkey").alias("k"), (F.col("c_nationkey") % 4).alias("m"))
+    return op.lane_differences(left, orders.select(F.col("o_custkey").alias("k"), F.month("o_orderdate").cast("long").alias("m")), ["k", "m"])
 
 
 QUERIES = {
@@ -195,5 +197,5 @@ ORACLES = {
     "weighted_scores": _OUTCOMES + f", {_SCORE} SELECT entity, cents / 100.0::DOUBLE AS score, detections FROM s",
     "cohort_partition": _OUTCOMES + _PARTITION + " SELECT entity, cohort, class, reasons FROM q",
     "cohort_baseline": _OUTCOMES + _PARTITION + _BASELINE,
-    "lane_differences": "SELECT doc_id, 'missing' AS side FROM documents WHERE n_chars > 800 AND doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT doc_id, 'unknown' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 800)",
+    "lane_differences": "WITH l AS (SELECT c_custkey AS k, c_nationkey % 4 AS m FROM customer), r AS (SELECT o_custkey AS k, extract(month FROM o_orderdate)::BIGINT AS m FROM orders) SELECT *, 'missing' AS side FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'unknown' FROM (SELECT * FROM r EXCEPT SELECT * FROM l)",
 }

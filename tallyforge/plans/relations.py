@@ -139,8 +139,9 @@ def duplicates(spark, sf):
 
 def references(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    both = findings.orphans(docs, labels, "doc_id", "unlabelled").unionByName(findings.orphans(labels, docs.where("n_chars > 800"), "doc_id", "label_without_document"))
-    return both
+    customers, users = table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")), table(spark, sf, "events").select("user_id")
+    both = findings.orphans(docs, labels, "doc_id", "unlabelled").unionByName(findings.orphans(labels, docs, "doc_id", "label_without_document"))
+    return both.unionByName(findings.orphans(customers, users, "user_id", "customer_without_events")).unionByName(findings.orphans(users, customers, "user_id", "events_without_customer"))
 
 
 def edges(spark, sf):
@@ -271,7 +272,7 @@ SELECT o_custkey, detector, prior_d, recent_d, CASE WHEN prior_e + prior_u <> 5
     "cumulative_timings": "WITH t AS (SELECT conv_id, turn, coalesce(sum(round_even(length(text) / 15.0, 0)::BIGINT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM conversations) SELECT conv_id, turn, (s // 60)::VARCHAR || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS at FROM t",
     "contiguity_check": "SELECT l_orderkey, count(*) AS n, count(*) = count(DISTINCT l_linenumber) AND min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AS contiguous FROM lineitem GROUP BY 1",
     "duplicate_waivers": "SELECT md5(text) AS value, count(*) AS members, count(*) FILTER (doc_id % 4 <> 0) AS unwaived, min(doc_id) AS first, count(*) FILTER (doc_id % 4 <> 0) > 1 AS finding FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "fk_findings": "SELECT DISTINCT 'unlabelled' AS code, doc_id::VARCHAR AS subject FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT 'label_without_document', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 800)",
+    "fk_findings": "SELECT DISTINCT 'unlabelled' AS code, doc_id::VARCHAR AS subject FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT 'label_without_document', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION SELECT 'customer_without_events', c_custkey::VARCHAR FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events) UNION SELECT 'events_without_customer', user_id::VARCHAR FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)",
     "edge_reciprocity": _EDGES,
     "alias_collisions": "WITH n AS (SELECT DISTINCT s_suppkey AS entry, unnest([array_to_string(regexp_extract_all(lower(s_name), '[a-z0-9]+'), '-'), 'n' || s_nationkey]) AS alias FROM supplier) SELECT a.alias, a.entry, min(b.entry) AS other, count(*) + 1 AS claims FROM n a JOIN n b ON a.alias = b.alias AND a.entry <> b.entry GROUP BY 1, 2",
     "index_difference": _DIFFERENCE,

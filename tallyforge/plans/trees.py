@@ -206,7 +206,7 @@ _HEADS = """SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS ti
 def bundles(spark, sf):
     """Conversations committed as texts, segments and receipts in one version, and read back together."""
     c = table(spark, sf, "conversations")
-    texts = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text")).where("conv_id % 5 <> 0")
+    texts = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
     timed = c.select("conv_id", "text", (F.col("turn") * 2.0).alias("start"), F.when(F.col("turn") % 3 != 0, F.col("turn") * 2.0 + 1).alias("end"), F.lit(None).cast("double").alias("duration"))
     receipts = c.select("conv_id", F.lit("ok").alias("verdict")).distinct()
     vault = sinks.VersionedTable(spark, scratch.folder(spark, "bundle"))
@@ -266,7 +266,7 @@ ORACLES = {
     "retained_frames": "WITH f AS (SELECT DISTINCT l_orderkey, l_linenumber * 7 AS i FROM lineitem WHERE l_quantity > 25) SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY i)::INT AS page_number, i AS frame_index, round(i / 3.0::DOUBLE, 3) AS timestamp_seconds FROM f",
     "timing_summary": "SELECT l_suppkey, count(*) FILTER (l_linenumber % 3 > 0) AS slides_with_transitions, count(*) FILTER (l_quantity::BIGINT % 2 > 0) AS slides_with_builds, count(*) FILTER (l_linenumber = 1) AS slides_with_media, sum(l_linenumber % 3)::BIGINT AS transitions, sum(l_quantity::BIGINT % 2)::BIGINT AS builds FROM lineitem GROUP BY 1",
     "policy_merge": _POLICY,
-    "transcript_bundles": "WITH c AS (SELECT * FROM conversations WHERE conv_id % 5 <> 0), t AS (SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS sha256 FROM c GROUP BY 1) SELECT conv_id, sha256, 'ok' AS verdict, count(*) FILTER (turn % 3 <> 0) AS segments, max(turn * 2.0 + 1) FILTER (turn % 3 <> 0)::DOUBLE AS last FROM t JOIN c USING (conv_id) GROUP BY ALL",
+    "transcript_bundles": "WITH c AS (SELECT * FROM conversations), t AS (SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS sha256 FROM c GROUP BY 1) SELECT conv_id, sha256, 'ok' AS verdict, count(*) FILTER (turn % 3 <> 0) AS segments, max(turn * 2.0 + 1) FILTER (turn % 3 <> 0)::DOUBLE AS last FROM t JOIN c USING (conv_id) GROUP BY ALL",
     "markdown_tables": r"SELECT n_regionkey, '| n_nationkey | n_name |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || '\|x |', chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY 1",
     "resource_lines": _LINES,
     "script_dialogue": f"WITH {_K} SELECT 'slide ' || turn AS location, count(*) AS lines, count(*) FILTER (k % 3 = 0) AS attributed FROM k GROUP BY 1 UNION ALL SELECT 'interlude i' || turn, count(*), count(*) FILTER (k % 3 = 0) FROM k WHERE turn % 4 = 0 GROUP BY 1",
