@@ -27,10 +27,10 @@ def edge_findings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.unionByName(loose).unionByName(one_way)
 
 
-def alias_collisions(names: DataFrame) -> DataFrame:
+def alias_claims(names: DataFrame) -> DataFrame:
     """(alias, entry, other, claims): each entry whose alias others claim too, the smallest of these, and how many claim it.
 
-    names: entry, alias. As many rows as claims, however many share an alias; alias_pairs has the pairs of some aliases.
+    names: entry, alias. As many rows as claims, however many share an alias; alias_collisions has all pairs.
     """
     each = names.select("alias", "entry").where("alias is not null and entry is not null").distinct()
     first = each.groupBy("alias").agg(F.min("entry").alias("_first"), F.count(F.lit(1)).alias("claims")).where("claims > 1")
@@ -40,10 +40,25 @@ def alias_collisions(names: DataFrame) -> DataFrame:
     return both.join(second, "alias").select("alias", "entry", other.alias("other"), "claims")
 
 
-def alias_pairs(names: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(alias, a, b) of all pairs of entries (a < b) that claim one of the aliases asked for; quadratic in their claims."""
-    each = names.select("entry", "alias").join(aliases.select("alias"), "alias", "left_semi").distinct()
-    return each.select("alias", F.col("entry").alias("a")).join(each.select("alias", F.col("entry").alias("b")), "alias").where("a < b")
+def alias_collisions(names: DataFrame, block: int = 512) -> DataFrame:
+    """(a, b, aliases): all pairs of entries (a < b) that claim an alias in common, with these aliases in order.
+
+    names: entry, alias; nulls collide with nothing. The claims of an alias are cut into blocks of about `block` entries
+    and every two blocks are a row of their own, so no alias is one task's work and no task holds more than two blocks. A
+    pair comes from the first alias it shares: an entry carries its few aliases along, and pairs, whose number is quadratic
+    in the claims of an alias, are not shuffled.
+    """
+    each = names.select("alias", "entry").where("alias is not null and entry is not null").distinct()
+    claims = each.groupBy("alias").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("alias", F.ceil(F.col("_n") / block).cast("int").alias("_m"))
+    own = each.join(claims, "alias").groupBy("entry").agg(F.sort_array(F.collect_list("alias")).alias("_all"), F.collect_list(F.struct("alias", "_m")).alias("_each"))
+    placed = own.select(F.struct("entry", F.when(F.size("_all") > 1, F.col("_all")).alias("more")).alias("e"), F.inline("_each"))
+    blocks = placed.groupBy("alias", "_m", F.pmod(F.xxhash64("e.entry"), F.col("_m")).cast("int").alias("_at")).agg(F.collect_list("e").alias("_es"))
+    left = blocks.select("alias", F.col("_at").alias("i"), F.explode(F.sequence("_at", F.col("_m") - 1)).alias("j"), F.col("_es").alias("_xs"))
+    right = blocks.select("alias", F.explode(F.sequence(F.lit(0), F.col("_at"))).alias("i"), F.col("_at").alias("j"), F.col("_es").alias("_ys"))
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are few and large, so they are dealt out by number
+    met = left.join(right, ["alias", "i", "j"]).repartition(tasks).withColumn("x", F.explode("_xs")).drop("_xs").withColumn("y", F.explode("_ys")).where("i < j or x.entry < y.entry")
+    common = F.when(F.col("x.more").isNull() | F.col("y.more").isNull(), F.array("alias")).otherwise(F.array_intersect("x.more", "y.more"))
+    return met.select("alias", F.least("x.entry", "y.entry").alias("a"), F.greatest("x.entry", "y.entry").alias("b"), common.alias("aliases")).where(F.col("alias") == F.get("aliases", F.lit(0))).drop("alias")
 
 
 def index_difference(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:

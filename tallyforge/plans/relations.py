@@ -159,9 +159,16 @@ SELECT src, dst, 'self_reference' AS code FROM e WHERE src = dst UNION ALL SELEC
 UNION ALL SELECT src, dst, 'non_reciprocal' FROM e WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM e r WHERE r.src = e.dst AND r.dst = e.src)"""
 
 
+def _aliases(spark, sf):
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entry"), F.explode(F.array(tx.alias(F.col("s_name")), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))).alias("alias"))
+
+
 def collisions(spark, sf):
-    names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("entry"), F.explode(F.array(tx.alias(F.col("s_name")), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))).alias("alias"))
-    return findings.alias_collisions(names)
+    return findings.alias_collisions(_aliases(spark, sf)).select("a", "b", F.array_join("aliases", ",").alias("aliases"))
+
+
+def claims(spark, sf):
+    return findings.alias_claims(_aliases(spark, sf))
 
 
 def difference(spark, sf):
@@ -252,7 +259,7 @@ def suggestions(spark, sf):
 QUERIES = {
     "trend_last10_halves": trend_halves, "movement_intervals": movement, "trend_availability": availability, "pacing_adherence": pacing, "pacing_worst_n": pacing_worst, "nearest_band_budget": nearest_budget,
     "shortlist_rank": shortlist, "status_rollup": status_rollup, "keep_last_fold": keep_apart, "consecutive_lines": changed, "range_coverage": coverage, "island_containment": containment, "cumulative_timings": timings,
-    "contiguity_check": contiguous, "duplicate_waivers": duplicates, "fk_findings": references, "edge_reciprocity": edges, "alias_collisions": collisions, "index_difference": difference, "lease_claim": lease_claim,
+    "contiguity_check": contiguous, "duplicate_waivers": duplicates, "fk_findings": references, "edge_reciprocity": edges, "alias_collisions": collisions, "alias_claims": claims, "index_difference": difference, "lease_claim": lease_claim,
     "lease_recover": lease_recover, "run_batches": run_batches, "upsert_merge": upserted, "expectation_patch": patched, "latest_generation": latest, "deep_merge_maps": merged, "feedback_groups": feedback, "suggestion_groups": suggestions,
 }
 ORACLES = {
@@ -274,7 +281,8 @@ SELECT o_custkey, detector, prior_d, recent_d, CASE WHEN prior_e + prior_u <> 5
     "duplicate_waivers": "SELECT md5(text) AS value, count(*) AS members, count(*) FILTER (doc_id % 4 <> 0) AS unwaived, min(doc_id) AS first, count(*) FILTER (doc_id % 4 <> 0) > 1 AS finding FROM documents GROUP BY 1 HAVING count(*) > 1",
     "fk_findings": "SELECT DISTINCT 'unlabelled' AS code, doc_id::VARCHAR AS subject FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION SELECT 'label_without_document', doc_id::VARCHAR FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION SELECT 'customer_without_events', c_custkey::VARCHAR FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events) UNION SELECT 'events_without_customer', user_id::VARCHAR FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)",
     "edge_reciprocity": _EDGES,
-    "alias_collisions": "WITH n AS (SELECT DISTINCT s_suppkey AS entry, unnest([array_to_string(regexp_extract_all(lower(s_name), '[a-z0-9]+'), '-'), 'n' || s_nationkey]) AS alias FROM supplier) SELECT a.alias, a.entry, min(b.entry) AS other, count(*) + 1 AS claims FROM n a JOIN n b ON a.alias = b.alias AND a.entry <> b.entry GROUP BY 1, 2",
+    "alias_collisions": "WITH n AS (SELECT DISTINCT s_suppkey AS entry, unnest([array_to_string(regexp_extract_all(lower(s_name), '[a-z0-9]+'), '-'), 'n' || s_nationkey]) AS alias FROM supplier) SELECT a.entry AS a, b.entry AS b, string_agg(a.alias, ',' ORDER BY a.alias) AS aliases FROM n a JOIN n b ON a.alias = b.alias AND a.entry < b.entry GROUP BY 1, 2",
+    "alias_claims": "WITH n AS (SELECT DISTINCT s_suppkey AS entry, unnest([array_to_string(regexp_extract_all(lower(s_name), '[a-z0-9]+'), '-'), 'n' || s_nationkey]) AS alias FROM supplier) SELECT a.alias, a.entry, min(b.entry) AS other, count(*) + 1 AS claims FROM n a JOIN n b ON a.alias = b.alias AND a.entry <> b.entry GROUP BY 1, 2",
     "index_difference": _DIFFERENCE,
     "lease_claim": f"WITH {_QUEUE}, f AS (SELECT key FROM q WHERE status = 'pending' AND claimable ORDER BY key LIMIT 5) SELECT q.key, CASE WHEN f.key IS NOT NULL THEN 'in-progress' ELSE status END AS status, CASE WHEN f.key IS NOT NULL THEN 'run1' WHEN q.key % 4 = 0 THEN 'old' END AS run_id, CASE WHEN f.key IS NOT NULL THEN 'b1' WHEN q.key % 4 = 0 THEN 'b0' END AS batch_id, f.key IS NOT NULL AS taken FROM q LEFT JOIN f ON f.key = q.key",
     "lease_recover": f"WITH {_QUEUE}, r AS (SELECT key, CASE WHEN key % 8 = 0 THEN 'done' ELSE status END AS status, CASE WHEN key % 4 = 0 THEN floor(epoch(TIMESTAMP '2024-01-01 12:00:00'))::BIGINT - floor(epoch(first))::BIGINT END AS age FROM q) SELECT key, age, CASE WHEN key % 4 <> 0 THEN 'none' WHEN status <> 'in-progress' THEN 'drifted' WHEN age < 0 THEN 'clock_error' WHEN age >= 3600 THEN 'expired' ELSE 'live' END AS recovery FROM r",
