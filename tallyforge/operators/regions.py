@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.sources import scratch
+
 from .graph import connected
 from .quantiles import beside
 
@@ -26,23 +31,101 @@ def changes(pixels: DataFrame, key: str, sample: int = 10) -> DataFrame:
     return gaps.groupBy(key, "row", "col", "frames", "step").agg(F.sum("gap").alias("gap")).select(key, "row", "col", (F.col("gap") / pairs).alias("change"))
 
 
-def components(cells: DataFrame, key: str) -> DataFrame:
+#: Rows and columns of a tile of a grid: what a task labels at once.
+TILE = (128, 1024)
+
+
+def _labelled(tile: tuple[int, int]):
+    """Labels tiles that come as sorted cells (_key, _tr, _tc, row, col), all tiles of a batch at once; what is carried is the last tile."""
+    height, width = tile
+
+    def label(table: pa.Table) -> list[pa.RecordBatch]:
+        n = table.num_rows
+        new = np.zeros(n, bool)
+        new[:1] = True
+        for name in ("_key", "_tr", "_tc"):
+            c = table.column(name).combine_chunks()
+            differ = pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+            gone = c.is_null().to_numpy(zero_copy_only=False)
+            new[1:] |= differ | (gone[1:] != gone[:-1])
+        row, col, tr, tc = (table.column(x).to_numpy() for x in ("row", "col", "_tr", "_tc"))
+        group = np.cumsum(new) - 1
+        code = (group * (height + 1) + (row - tr * height)) * (width + 1) + (col - tc * width)  # a free row and column part tiles and rows
+        keep = np.ones(n, bool)
+        keep[1:] = code[1:] != code[:-1]
+        at, code = np.flatnonzero(keep), code[keep]
+        starts = np.ones(len(code), bool)
+        starts[1:] = code[1:] != code[:-1] + 1
+        run = np.cumsum(starts) - 1
+        below = np.minimum(np.searchsorted(code, code + width + 1), len(code) - 1)
+        tied = code[below] == code + width + 1
+        a, b = run[tied], run[below[tied]]
+        name = np.arange(int(starts.sum()))
+        while (name[a] != name[b]).any():  # the smaller of two names goes to both and to what they are named after
+            low = np.minimum(name[a], name[b])
+            for ends in (name[a], name[b], a, b):
+                np.minimum.at(name, ends, low)
+            while (name[name] != name).any():
+                name = name[name]
+        ends = np.ones(len(code), bool)
+        ends[:-1] = starts[1:]
+        first, last = at[starts], at[ends]
+        head = table.take(pa.array(first))
+        columns = {"c0": col[first], "c1": col[last], "frow": row[first][name], "fcol": col[first][name]}
+        out = pa.table([*(head.column(x) for x in ("_key", "_tr", "_tc", "row")), *map(pa.array, columns.values())], names=["_key", "_tr", "_tc", "row", *columns])
+        return out.combine_chunks().to_batches()
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            same = np.ones(table.num_rows, bool)
+            for name in ("_key", "_tr", "_tc"):
+                c = table.column(name).combine_chunks()
+                last = c[-1]
+                same &= c.is_null().to_numpy(zero_copy_only=False) if not last.is_valid else pc.fill_null(pc.equal(c, last), False).to_numpy(zero_copy_only=False)
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut:
+                yield from label(table.slice(0, cut))
+            held = table.slice(cut)
+            if held.num_rows > 2 * height * width:  # repeated cells
+                held = held.group_by(["_key", "_tr", "_tc", "row", "col"], use_threads=False).aggregate([]).select(table.column_names)
+        if held is not None:
+            yield from label(held)
+
+    return run
+
+
+def components(cells: DataFrame, key: str, tile: tuple[int, int] = TILE) -> DataFrame:
     """(key, row, c0, c1, first): runs of cells of a row, each with the first cell of its component by row and column.
 
-    Cells (key, row, col) touch at their sides. Runs are islands of consecutive columns; runs of neighbouring rows that
-    share a column are tied, and the ties' components are found over runs, not cells. Repeated cells count once; cells
-    with a null row or column are left out; null keys are a grid.
+    Cells (key, row, col) touch at their sides. Grids are cut into tiles; a task labels the runs of its tiles one after
+    another, and only components that reach over an edge between tiles are tied by rounds over all of them. A run ends at
+    its tile's edge. Repeated cells count once; cells with a null row or column are left out; null keys are a grid. Keys
+    are of an atomic type.
     """
-    cells = cells.select(F.col(key).alias("_key"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).where("row is not null and col is not null").distinct()
-    island = F.col("col") - F.row_number().over(W.partitionBy("_key", "row").orderBy("col"))
-    runs = cells.withColumn("_island", island).groupBy("_key", "row", "_island").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-    name = F.struct(F.col("_key").isNotNull().alias("some"), F.col("_key").alias("key"), "row", F.col("c0").alias("col"))
-    runs = runs.select("_key", "row", "c0", "c1", name.alias("name"))
-    upper, lower = runs.alias("u"), runs.alias("l")
-    touch = upper.join(lower, F.col("u._key").eqNullSafe(F.col("l._key")) & (F.col("u.row") + 1 == F.col("l.row")) & (F.col("u.c0") <= F.col("l.c1")) & (F.col("l.c0") <= F.col("u.c1")))
-    tied = connected(touch.select(F.col("u.name").alias("a"), F.col("l.name").alias("b")))
-    out = runs.join(tied, runs["name"] == tied["node"], "left").withColumn("_first", F.coalesce("component", "name"))
-    return out.select(F.col("_key").alias(key), "row", "c0", "c1", F.struct("_first.row", "_first.col").alias("first"))
+    height, width = tile
+    kind = cells.select(key).schema[0].dataType.simpleString()
+    cells = cells.select(F.col(key).alias("_key"), F.floor(F.col("row") / height).cast("long").alias("_tr"), F.floor(F.col("col") / width).cast("long").alias("_tc"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).where("row is not null and col is not null").distinct()
+    sorted_ = cells.repartition("_key", "_tr", "_tc").sortWithinPartitions("_key", "_tr", "_tc", "row", "col")
+    runs = scratch.written(sorted_.mapInArrow(_labelled(tile), f"_key {kind}, _tr long, _tc long, row long, c0 long, c1 long, frow long, fcol long"), "runs")
+    name = F.struct(F.col("_key").isNotNull().alias("some"), F.col("_key").alias("key"), F.col("frow").alias("row"), F.col("fcol").alias("col"), "_tr", "_tc")
+    runs = runs.withColumn("name", name)
+    # runs at a tile's lower or right edge against those that begin the next one
+    down, up = runs.where(F.col("row") == (F.col("_tr") + 1) * height - 1), runs.where(F.col("row") == F.col("_tr") * height)
+    u, v = down.alias("u"), up.alias("l")
+    touch = u.join(v, F.col("u._key").eqNullSafe(F.col("l._key")) & (F.col("u.row") + 1 == F.col("l.row")) & (F.col("u._tc") == F.col("l._tc")) & (F.col("u.c0") <= F.col("l.c1")) & (F.col("l.c0") <= F.col("u.c1")))
+    u, v = runs.where(F.col("c1") == (F.col("_tc") + 1) * width - 1).alias("u"), runs.where(F.col("c0") == F.col("_tc") * width).alias("l")
+    beside_ = u.join(v, F.col("u._key").eqNullSafe(F.col("l._key")) & (F.col("u.row") == F.col("l.row")) & (F.col("u.c1") + 1 == F.col("l.c0")))
+    edges = scratch.written(touch.select(F.col("u.name").alias("a"), F.col("l.name").alias("b")).union(beside_.select("u.name", "l.name")).distinct(), "ties")
+    own = runs.withColumn("_first", F.struct(F.col("frow").alias("row"), F.col("fcol").alias("col")))
+    if edges.limit(1).count():
+        tied = connected(edges)
+        whole = tied.select("node", F.struct("component.row", "component.col").alias("_whole"))
+        own = own.join(whole, own["name"] == whole["node"], "left").withColumn("_first", F.coalesce("_whole", "_first"))
+    return own.select(F.col("_key").alias(key), "row", "c0", "c1", F.col("_first").alias("first"))
 
 
 def boxes(runs: DataFrame, key: str) -> DataFrame:
