@@ -20,6 +20,15 @@ def whole(spark: SparkSession, paths: str | list[str], pattern: str | None = Non
     return files.select("path", F.decode("content", "UTF-8").alias("text"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
 
 
+#: What parts texts of many lines that share a file.
+MARK = chr(30)
+
+
+def parted(spark: SparkSession, paths: str | list[str], mark: str = MARK) -> DataFrame:
+    """(text) of texts of many lines that share files; large files are cut at marks, and small texts need none of their own."""
+    return spark.read.option("lineSep", mark).text(paths).select(F.col("value").alias("text"))
+
+
 def discover(spark: SparkSession, arguments: list[str], pattern: str = "*.json") -> DataFrame:
     """(path, arguments): each file once, with every argument that leads to it."""
     found = None
@@ -50,13 +59,12 @@ def returns(documents: DataFrame) -> DataFrame:
 
 def captions(files: DataFrame) -> DataFrame:
     """(path, seq, start, end, text) of WebVTT cues, without tags, and without lines that repeat the one before."""
-    lines = files.select("path", F.posexplode(F.split(F.replace("text", F.lit("\r")), "\n")).alias("n", "line"))
-    # lines up to the next time line belong to a cue; cues are few a file, so they are folded in one array
-    each = lines.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("all"))
+    # lines up to the next time line belong to a cue; cues are few a text, so its lines are folded where they were read
+    lines = F.transform(F.split(F.replace("text", F.lit("\r")), "\n"), lambda x: F.struct(x.alias("line"), x.rlike(r"^\s*(\d+:)?\d{1,2}:\d{2}[.,]\d{3}\s+-->").alias("timed"), F.trim(F.regexp_replace(x, r"<[^>]*>", "")).alias("said")))
+    each = files.select("path", lines.alias("all"))
 
     def step(s, x):
-        timed = x["line"].rlike(r"^\s*(\d+:)?\d{1,2}:\d{2}[.,]\d{3}\s+-->")
-        said = F.trim(F.regexp_replace(x["line"], r"<[^>]*>", ""))
+        timed, said = x["timed"], x["said"]
         skip = (said == "") | s["cue"].isNull() | (said == s["last"]) | said.rlike(r"^\d+$")
         cue = F.when(timed, x["line"]).when(F.trim(x["line"]) == "", F.lit(None)).otherwise(s["cue"])
         out = F.when(timed | skip, s["out"]).otherwise(F.array_append(s["out"], F.struct(s["cue"].alias("cue"), said.alias("text"))))
