@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), where the value is evaluated once a row however often it is used: it is the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def dig(variant: Column, dotted: str, kind: str = "string") -> Column:
     """Value at a dotted path of a VARIANT; null where a step is missing or no object."""
     return F.try_variant_get(variant, "$." + dotted, kind)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tallyforge.functions import numbers as nu, text as tx
+from tallyforge.functions import nested, numbers as nu, text as tx
 from tallyforge.operators import guardrails as gr
 
 #: Words that don't name an event, those kept in the stricter form, a pair whose second word may be missing,
@@ -52,14 +52,24 @@ def composed(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(_composed(F.when(F.octet_length(text) != F.length(text), text)))
 
 
+def _strict(name: Column, year: Column) -> Column:
+    """strict_event_alias of a name in composed form."""
+
+    def of(words):
+        before = F.concat(F.array(F.lit("")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+        return nested.bound(F.filter(F.arrays_zip(words.alias("w"), before.alias("b")), lambda x: ~x["w"].isin(*STRICT_EVENT_STOP_WORDS)), kept)
+
+    def kept(each):
+        wrong = F.exists(each, lambda x: x["w"].rlike(r"^\p{Nd}+$") & (x["w"] != year))
+        left = F.filter(each, lambda x: ~x["w"].rlike(r"^\p{Nd}+$") & (F.length(x["w"]) > 1) & ~((x["b"] == OPTIONAL_BIGRAM[0]) & (x["w"] == OPTIONAL_BIGRAM[1])))
+        return F.when(~wrong, nested.bound(_replaced(F.transform(left, lambda x: x["w"])), _telling))
+
+    return nested.bound(tx.all_words(name), of)
+
+
 def strict_event_alias(name: Column, year: Column) -> Column:
     """An event's words where only articles are dropped and each number must be the year; null where it is not."""
-    words = tx.all_words(composed(name))
-    before = F.concat(F.array(F.lit("")), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
-    each = F.filter(F.arrays_zip(words.alias("w"), before.alias("b")), lambda x: ~x["w"].isin(*STRICT_EVENT_STOP_WORDS))
-    wrong = F.exists(each, lambda x: x["w"].rlike(r"^\p{Nd}+$") & (x["w"] != year))
-    kept = F.filter(each, lambda x: ~x["w"].rlike(r"^\p{Nd}+$") & (F.length(x["w"]) > 1) & ~((x["b"] == OPTIONAL_BIGRAM[0]) & (x["w"] == OPTIONAL_BIGRAM[1])))
-    return F.when(~wrong, _telling(_replaced(F.transform(kept, lambda x: x["w"]))))
+    return _strict(composed(name), year)
 
 
 def compatible(a: Column, b: Column) -> Column:
@@ -70,13 +80,18 @@ def compatible(a: Column, b: Column) -> Column:
 def published_title_agrees(authored: Column, published: Column, conference: Column, day: Column) -> Column:
     """A published title is the authored one, or that with `at <event>` of the same event and year after it."""
     plain = lambda c: F.translate(composed(c), "‘’“”", "''\"\"")
-    a, p = plain(authored), plain(published)
-    event = F.regexp_extract(F.substring(p, F.length(a) + F.lit(1), F.length(p)), r"(?is)^\s+at\s+(\S(?:.*\S)?)$", 1)
     date = F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(day, "yyyy-MM-dd"))
     year = F.substring(F.when(date.isNotNull(), day), 1, 4)
-    years = lambda c: F.forall(F.regexp_extract_all(c, F.lit(r"(?<!\p{Nd})\p{Nd}{4}(?!\p{Nd})"), F.lit(0)), lambda y: y == year)
-    suffix = (a != "") & p.startswith(a) & (event != "") & year.isNotNull() & years(conference) & years(event)
-    return F.coalesce((a == p) | (suffix & (strict_event_alias(conference, year) == strict_event_alias(event, year))), F.lit(False))
+
+    def agrees(x):
+        a, p, where, year = x["a"], x["p"], x["where"], x["year"]
+        after = F.regexp_extract(F.substring(p, F.length(a) + F.lit(1), F.length(p)), r"(?is)^\s+at\s+(\S(?:.*\S)?)$", 1)
+        years = lambda c: F.forall(F.regexp_extract_all(c, F.lit(r"(?<!\p{Nd})\p{Nd}{4}(?!\p{Nd})"), F.lit(0)), lambda y: y == year)
+        # parts of a composed text are composed
+        same = lambda event: (event != "") & year.isNotNull() & years(where) & years(event) & (_strict(where, year) == _strict(event, year))
+        return F.coalesce(a == p, F.lit(False)) | F.coalesce((a != "") & p.startswith(a) & nested.bound(after, same), F.lit(False))
+
+    return nested.bound(F.struct(plain(authored).alias("a"), plain(published).alias("p"), composed(conference).alias("where"), year.alias("year")), agrees)
 
 
 def event_contexts(title: Column) -> Column:
