@@ -109,25 +109,35 @@ def projection_reasons(o: Column) -> Column:
     applicability_assessments (pattern_id, result).
     """
     none = F.array().cast("array<string>")
-    ids = lambda f: F.coalesce(o[f], none)
-    outcomes = o["pattern_outcomes"]
-    named = F.transform(outcomes, lambda x: x["pattern_id"])
-    valid = outcomes.isNotNull() & F.forall(outcomes, lambda x: x["pattern_id"].isNotNull() & (x["pattern_id"] != "") & x["outcome"].isin(DETECTED, UNDETECTED, NOT_EVALUABLE, NOT_APPLICABLE)) & (F.size(F.array_distinct(named)) == F.size(named))
-    lane_ok = lambda f: F.coalesce(o[f].isNotNull() & F.forall(o[f], lambda i: i.isNotNull() & (i != "")) & (F.size(F.array_distinct(o[f])) == F.size(o[f])), F.lit(False))
-    assessed = F.coalesce(F.transform(o["applicability_assessments"], lambda a: a["pattern_id"]), none)
-    away = F.coalesce(F.transform(F.filter(o["applicability_assessments"], lambda a: a["result"] == "not_applicable"), lambda a: a["pattern_id"]), none)
-    detected = F.array_union(ids("patterns_detected"), ids("antipatterns_detected"))
-    of = lambda kind: F.transform(F.filter(outcomes, lambda x: x["outcome"] == kind), lambda x: x["pattern_id"])
+    lanes = ("patterns_detected", "antipatterns_detected", "not_evaluable")
+
+    def read(o):
+        outcomes, lists = o["pattern_outcomes"], {f: F.coalesce(o[f], none) for f in lanes}
+        of = lambda kind: F.transform(F.filter(outcomes, lambda x: x["outcome"] == kind), lambda x: x["pattern_id"])
+        lane_ok = lambda f: F.coalesce(o[f].isNotNull() & F.forall(o[f], lambda i: i.isNotNull() & (i != "")) & (F.size(F.array_distinct(o[f])) == F.size(o[f])), F.lit(False))
+        valid = outcomes.isNotNull() & F.forall(outcomes, lambda x: x["pattern_id"].isNotNull() & (x["pattern_id"] != "") & x["outcome"].isin(DETECTED, UNDETECTED, NOT_EVALUABLE, NOT_APPLICABLE))
+        named = F.transform(outcomes, lambda x: x["pattern_id"])
+        assessed = F.coalesce(F.transform(o["applicability_assessments"], lambda a: a["pattern_id"]), none)
+        away = F.coalesce(F.transform(F.filter(o["applicability_assessments"], lambda a: a["result"] == "not_applicable"), lambda a: a["pattern_id"]), none)
+        odd = F.exists(o["applicability_assessments"], lambda a: no(a["result"].isin("applicable", "not_applicable")))
+        each = {"valid": valid, "named": named, "assessed": assessed, "away": away, "odd": odd, "detected": F.array_union(lists["patterns_detected"], lists["antipatterns_detected"]), "is_detected": of(DETECTED), "is_not_evaluable": of(NOT_EVALUABLE), "is_not_applicable": of(NOT_APPLICABLE)}
+        return F.struct(*(c.alias(n) for n, c in each.items()), *(c.alias(n) for n, c in lists.items()), *(lane_ok(f).alias(f"{f}_ok") for f in lanes))
+
     differ = lambda a, b: (F.size(F.array_except(a, b)) > 0) | (F.size(F.array_except(b, a)) > 0)
-    ok = F.coalesce(valid, F.lit(False))
-    return codes(
-        ("pattern_outcomes_projection_invalid", ~ok), *((f"{f}_ids_invalid", ~lane_ok(f)) for f in ("patterns_detected", "antipatterns_detected", "not_evaluable")),
-        ("applicability_assessment_results_invalid", F.exists(o["applicability_assessments"], lambda a: no(a["result"].isin("applicable", "not_applicable")))),
-        ("pattern_detection_polarity_overlap", F.arrays_overlap(ids("patterns_detected"), ids("antipatterns_detected"))), ("pattern_observation_lane_overlap", F.arrays_overlap(detected, F.array_union(ids("not_evaluable"), assessed)) | F.arrays_overlap(ids("not_evaluable"), away)),
-        ("pattern_outcomes_unknown_lane_ids", ok & (F.size(F.array_except(F.array_union(F.array_union(detected, ids("not_evaluable")), assessed), F.coalesce(named, none))) > 0)),
-        ("pattern_outcomes_detected_projection_drift", ok & lane_ok("patterns_detected") & lane_ok("antipatterns_detected") & differ(of(DETECTED), detected)), ("pattern_outcomes_not_evaluable_projection_drift", ok & lane_ok("not_evaluable") & differ(of(NOT_EVALUABLE), ids("not_evaluable"))),
-        ("pattern_outcomes_not_applicable_projection_drift", ok & differ(of(NOT_APPLICABLE), away)),
-    )
+
+    def judged(r):
+        ok = F.coalesce(r["valid"] & (F.size(F.array_distinct(r["named"])) == F.size(r["named"])), F.lit(False))
+        detected, open_ = r["detected"], r["not_evaluable"]
+        return codes(
+            ("pattern_outcomes_projection_invalid", ~ok), *((f"{f}_ids_invalid", ~r[f"{f}_ok"]) for f in lanes),
+            ("applicability_assessment_results_invalid", r["odd"]),
+            ("pattern_detection_polarity_overlap", F.arrays_overlap(r["patterns_detected"], r["antipatterns_detected"])), ("pattern_observation_lane_overlap", F.arrays_overlap(detected, F.array_union(open_, r["assessed"])) | F.arrays_overlap(open_, r["away"])),
+            ("pattern_outcomes_unknown_lane_ids", ok & (F.size(F.array_except(F.array_union(F.array_union(detected, open_), r["assessed"]), F.coalesce(r["named"], none))) > 0)),
+            ("pattern_outcomes_detected_projection_drift", ok & r["patterns_detected_ok"] & r["antipatterns_detected_ok"] & differ(r["is_detected"], detected)), ("pattern_outcomes_not_evaluable_projection_drift", ok & r["not_evaluable_ok"] & differ(r["is_not_evaluable"], open_)),
+            ("pattern_outcomes_not_applicable_projection_drift", ok & differ(r["is_not_applicable"], r["away"])),
+        )
+
+    return nested.bound(o, lambda o: nested.bound(read(o), judged))
 
 
 def swapped(evidence_is_dimensions: Column, dimensions_is_text: Column, evidence: Column, dimensions: Column) -> Column:
