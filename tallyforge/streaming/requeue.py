@@ -16,6 +16,12 @@ SCHEMA = "user_id long, generation int, state string, claims int, at timestamp"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def in_order(frames: Iterator[pd.DataFrame], kind: str) -> list[tuple[str, int]]:
+    """(kind, second) of a key's events by time and id; keys are many and have few events each, so no frame is made of them."""
+    events = [e for f in frames for e in zip(f["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist(), f["event_id"].tolist(), f[kind].tolist())]
+    return [(k, t // 1_000_000) for t, _, k in sorted(events, key=lambda e: e[:2])]
+
+
 def advanced(state: tuple, kind: str, t: int, stale: int) -> tuple[tuple, list[tuple]]:
     """The state (generation, claimed at, done, ended claims) after an event at second t, and what it says.
 
@@ -46,42 +52,43 @@ class Queue(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "generation int, claimed long, done boolean")
+        self.now = handle.getValueState("now", "generation int, claimed long, done boolean, ended int")
         self.claims = handle.getListState("claims", "generation int, state string, at long")
 
     def _held(self) -> tuple:
-        g, claimed, done = self.now.get() if self.now.exists() else (0, None, False)
-        return g, claimed, done, sum(1 for _ in self.claims.get()) if self.claims.exists() else 0
+        return self.now.get() or (0, None, False, 0)
 
     def _say(self, key, said: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(key[0], g, what, n, pd.Timestamp(t, unit="s")) for g, what, n, t in said], columns=["user_id", "generation", "state", "claims", "at"])
 
-    def _keep(self, state: tuple, said: list[tuple]) -> None:
-        self.now.update((state[0], state[1], state[2]))
-        for g, what, _, t in said:
-            if what != "requeued":
-                self.claims.appendValue((g, what, t))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if state[1] is not None:
-            self.handle.registerTimer((state[1] + self.stale) * 1000)
+    def _keep(self, held: tuple, state: tuple, said: list[tuple]) -> None:
+        """Writes what changed: each call to a store or a timer goes to the JVM and back."""
+        if state != held:
+            self.now.update(state)
+        if ended := [(g, what, t) for g, what, _, t in said if what != "requeued"]:
+            self.claims.appendList(ended)
+        if state[1] != held[1]:
+            if held[1] is not None:
+                self.handle.deleteTimer((held[1] + self.stale) * 1000)
+            if state[1] is not None:
+                self.handle.registerTimer((state[1] + self.stale) * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        state, out = self._held(), []
-        for kind, t in zip(events["kind"], events["ts"].astype("datetime64[us]").astype("int64") // 1_000_000):
-            state, said = advanced(state, kind, int(t), self.stale)
+        held = state = tuple(self._held())
+        out = []
+        for kind, t in in_order(rows, "kind"):
+            state, said = advanced(state, kind, t, self.stale)
             out += said
-        self._keep(state, out)
-        yield self._say(key, out)
+        self._keep(held, state, out)
+        if out:
+            yield self._say(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        g, claimed, done, ended = self._held()
-        said = []
+        held = g, claimed, done, ended = tuple(self._held())
         if claimed is not None:
             said = [(g, "expired", ended + 1, claimed + self.stale)]
-            self._keep((g, None, done, ended), said)
-        yield self._say(key, said)
+            self._keep(held, (g, None, done, ended + 1), said)
+            yield self._say(key, said)
 
     def close(self) -> None:
         pass
