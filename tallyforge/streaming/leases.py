@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyforge.streaming.requeue import in_order
+
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """The events table, a folder or one file, as a stream of files."""
@@ -42,15 +44,14 @@ def leases(events: DataFrame, stale_after: int = 3600, late: str = "10 minutes",
             state.remove()
             claimed = None
         else:
-            rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-            for kind, ts in zip(rows["event_type"], rows["ts"].astype("datetime64[us]").astype("int64") // 1_000_000):
+            for kind, ts in in_order(frames, "event_type"):
                 if claimed is not None and ts - claimed >= stale_after:
                     end("expired", claimed + stale_after)
                     claimed = None
                 if kind == opens and claimed is None:
-                    claimed = int(ts)
+                    claimed = ts
                 elif kind == closes and claimed is not None:
-                    end("completed", int(ts))
+                    end("completed", ts)
                     claimed = None
             if claimed is None:
                 if state.exists:
