@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallyforge.streaming.requeue import in_order
-
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """The events table, a folder or one file, as a stream of files."""
@@ -44,7 +42,9 @@ def leases(events: DataFrame, stale_after: int = 3600, late: str = "10 minutes",
             state.remove()
             claimed = None
         else:
-            for kind, ts in in_order(frames, "event_type"):
+            events = [e for f in frames for e in zip(f["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist(), f["event_id"].tolist(), f["event_type"].tolist())]
+            for us, _, kind in sorted(events, key=lambda e: e[:2]):
+                ts = us // 1_000_000
                 if claimed is not None and ts - claimed >= stale_after:
                     end("expired", claimed + stale_after)
                     claimed = None
