@@ -58,8 +58,8 @@ def repair_plan(spark, sf):
     sets = some.select("o_orderkey", F.lit("o_orderstatus").alias("field"), F.lit("P").alias("value"))
     out = []
     for name, asked in (("holds", holds), ("hopes", hopes)):
-        candidate, against, log = rp.repair(orders, "o_orderkey", asked, sets, ["o_orderstatus", "o_orderpriority"])
-        out.append(candidate.join(log.select("o_orderkey", F.lit("changed").alias("what")), "o_orderkey", "left").select(F.lit(name).alias("plan"), "o_orderkey", "o_orderstatus", "what"))
+        after, against = rp.settled(orders, "o_orderkey", asked, sets, ["o_orderstatus", "o_orderpriority"])
+        out.append(after.select(F.lit(name).alias("plan"), "o_orderkey", "o_orderstatus", F.when(F.size("_changes") > 0, "changed").alias("what")))
         out.append(against.select(F.lit(name).alias("plan"), "o_orderkey", F.lit(None).cast("string").alias("o_orderstatus"), F.col("code").alias("what")))
     return out[0].union(out[1]).union(out[2]).union(out[3])
 
