@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from .common import frugal, materialize, small_batches
 
-#: Bits of a word's code, the decisions that predict it; documents read side by side; bytes of text gathered for that.
+#: Bits of a word's code, the decisions that predict it; documents read side by side to learn weights; bytes of text gathered for that.
 BITS, SIDE, GATHER = 8, 512, 16 << 20
+#: Documents read side by side where no weights are learned, so that no text depends on another: what a step holds stays in a core's cache.
+APART = 64
 #: Words between two updates: in a text's beginning, its length, and after it.
 STEP, EARLY, LATER = 64, 512, 128
 CODES = 1 << BITS
@@ -33,14 +36,22 @@ SLOT_BITS = 20
 FREQUENT = 1 << 17
 
 
+#: What is known of a word where texts are read: its number (XXH64, seed 42), and its place among the frequent words or -1.
+WORD = np.dtype([("number", ">u8"), ("hot", ">i4")])
+
+
 class Words(dict):
-    """Numbers of words (XXH64, seed 42), remembered for the last million at most."""
+    """The WORD records of words: kept for the frequent ones, given in their order, made anew for each other word."""
+
+    def __init__(self, frequent: list[bytes] = ()):
+        super().__init__((word, self._record(word, at)) for at, word in enumerate(frequent))
+
+    @staticmethod
+    def _record(word: bytes, at: int) -> bytes:
+        return xxhash.xxh64_digest(word, 42) + at.to_bytes(4, "big", signed=True)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return found
+    def __missing__(self, word: bytes) -> bytes:
+        return xxhash.xxh64_digest(word, 42) + b"\xff\xff\xff\xff"
 
 
 def split(text: bytes | None) -> list[bytes]:
@@ -48,10 +59,32 @@ def split(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
+def read_words(texts: list[bytes | None], names: Words) -> list[np.ndarray]:
+    """For each text the WORD records of its words and of its end."""
+    return [np.frombuffer(b"".join(map(names.__getitem__, [*split(t), END])), WORD) for t in texts]
+
+
 def streams(texts: list[bytes | None], names: Words) -> list[np.ndarray]:
     """For each text the numbers of its words and of its end."""
-    end = names[END]
-    return [np.array([*map(names.__getitem__, split(t)), end], dtype=np.uint64) for t in texts]
+    return [found["number"].astype(np.uint64) for found in read_words(texts, names)]
+
+
+def hot_sums(places: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    """For each text a row: how many words have a place, and for each column of values the sum of count * value.
+
+    places: for each text, the places of its words in the rows of values, or -1. Each different word of a text adds its
+    count * value rounded to a whole number of parts of PART, so the order of words makes no difference.
+    """
+    row = np.repeat(np.arange(len(places)), [len(p) for p in places])
+    flat = np.concatenate([np.zeros(0, np.int64), *places])
+    pair, n = np.unique((row * max(1, len(values)) + flat)[flat >= 0], return_counts=True)
+    row, place = np.divmod(pair, max(1, len(values)))
+    out = np.zeros((len(places), 1 + values.shape[1]), np.int64)
+    if len(pair):
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        parts = np.column_stack((n, np.rint(n[:, None] * values[place] * PART).astype(np.int64)))
+        out[row[first]] = np.add.reduceat(parts, first, axis=0)
+    return out
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -64,6 +97,8 @@ _CODE = np.arange(CODES)[:, None]
 _PATHS = (1 << _DEEP) | (_CODE >> (BITS - _DEEP))
 _TURNS = (_CODE >> (BITS - 1 - _DEEP)) & 1
 _SIGNS = (1 - 2 * _TURNS).astype(np.float32)
+#: Where a code counts at each of its nodes: a node's zeros come before its ones.
+_STEPS = _PATHS * 2 + _TURNS
 
 
 def codes_of(words: np.ndarray) -> np.ndarray:
@@ -80,13 +115,27 @@ def contexts(before: np.ndarray, earlier: np.ndarray) -> list[np.ndarray]:
     return [h ^ (h >> np.uint64(31)) for h in (first, second, both)]
 
 
-def slots(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    """Slots of a table of 2^bits entries."""
-    return ((np.repeat(context, BITS) ^ _NODE[node]) & np.uint64((1 << bits) - 1)).astype(np.int64)
+def spread(bits: int) -> np.ndarray:
+    """What the nodes of each code's path add (by exclusive or) to a context's slot in a table of 2^bits entries."""
+    return (_NODE[_PATHS] & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def slots(contexts: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """Slots of the contexts themselves in tables of 2^bits entries."""
+    return [(h & np.uint64((1 << bits) - 1)).astype(np.int64) for h in contexts]
 
 
-def shifted(words: np.ndarray, n: int) -> np.ndarray:
-    return np.concatenate((np.zeros(min(n, len(words)), np.uint64), words[: max(0, len(words) - n)]))
+def laid(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts in a row, the word before each in its text, and the one before that (0: none)."""
+    lengths = np.array([len(t) for t in texts])
+    flat, start = np.concatenate(texts), (np.cumsum(lengths) - lengths)[lengths > 0]
+    found = [flat]
+    for _ in range(2):
+        before = np.zeros_like(flat)
+        before[1:] = found[-1][:-1]
+        before[start] = 0
+        found.append(before)
+    return tuple(found)
 
 
 def stretched(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
@@ -96,7 +145,7 @@ def stretched(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
 #: By a document's counts at a node, 256 * ones + zeros: the stretched probability, and the gate's class of how often.
 _PAIR = np.arange(1 << 16)
 _OWN = stretched(_PAIR // 256, _PAIR % 256).astype(np.float32)
-_OFTEN = np.digitize(_PAIR // 256 + _PAIR % 256, (1, 3, 16))
+_OFTEN = np.digitize(_PAIR // 256 + _PAIR % 256, (1, 3, 16)).astype(np.int8)
 
 
 class Model:
@@ -110,63 +159,73 @@ class Model:
         self.weights = weights.astype(np.float32)
 
     def read(self, texts: list[np.ndarray], learn: float = 0.0, own_rate: float = 0.05) -> np.ndarray:
-        """Bits that each text costs: all read side by side, STEP words at a time, after the first EARLY words LATER.
+        """Bits that each text costs: read side by side, STEP words at a time, after the first EARLY words LATER.
 
         Every bit of a word's code is predicted from the tables and from what the document had before the step; the
         gate is the bit's place and how often the document passed its node. After a step the document's counts take up
-        its words (a node's two counts are halved when one passes 255 - LATER), and the offsets that a document adds to the weights move along the gradient. With `learn` the weights
-        themselves move too.
+        its words (a node's two counts are halved when one passes 255 - LATER), and the offsets that a document adds to
+        the weights move along the gradient. With `learn` the weights themselves move too, by SIDE texts at a time;
+        without it a text costs the same beside any others.
         """
         cost = np.zeros(len(texts))
-        by_length = np.argsort([-len(t) for t in texts], kind="stable")
-        for at in range(0, len(texts), SIDE):
-            side = by_length[at : at + SIDE]
+        by_length, wide = np.argsort([-len(t) for t in texts], kind="stable"), SIDE if learn else APART
+        for at in range(0, len(texts), wide):
+            side = by_length[at : at + wide]
             cost[side] = self._side([texts[i] for i in side], learn, own_rate)
         return cost
 
     def _side(self, texts: list[np.ndarray], learn: float, own_rate: float) -> np.ndarray:
         cost, lengths = np.zeros(len(texts)), np.array([len(t) for t in texts])
         seen = np.zeros(len(texts) * CODES, '<u2')  # ones in the upper byte
-        offset = np.zeros((len(texts), INPUTS), np.float32)
+        counts = seen.view(np.uint8)
+        offset = np.zeros((INPUTS, len(texts), 1), np.float32)
         squares = np.full((GATES, INPUTS), 1e-6)
-        start, flat = np.cumsum(lengths) - lengths, np.concatenate(texts)
-        first, second = (np.concatenate([shifted(t, n) for t in texts]) for n in (1, 2))
+        start = np.cumsum(lengths) - lengths
+        flat, first, second = laid(texts)
+        codes, hashed = codes_of(flat), slots(contexts(first, second), self.bits)
+        apart, step = spread(self.bits), np.float32(1 / SCALE)
+        empty = self.tables[0][_PATHS] * step
+        constant = np.float32(0.3)
         longest = int(lengths.max(initial=0))
         for now in [*range(0, min(EARLY, longest), STEP), *range(EARLY, longest, LATER)]:
             n = np.clip(lengths - now, 0, STEP if now < EARLY else LATER)
             live = int((n > 0).sum())  # the longest come first
             n = n[:live]
-            rows = np.repeat(start[:live] + now - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            code = codes_of(flat[rows])
-            node, sign = _PATHS[code].ravel(), _SIGNS[code].ravel()
-            place = node + np.repeat(np.arange(live) * CODES, n * BITS)
-            had = seen[place]
-            x = [self.tables[0][node]]
-            x += [self.tables[k + 1][slots(h, node, self.bits)] for k, h in enumerate(contexts(first[rows], second[rows]))]
-            x = [part.astype(np.float32) * np.float32(1 / SCALE) for part in x]
-            x += [_OWN[had], np.full(len(node), 0.3, np.float32)]
-            gate = np.tile(_DEEP * 4, len(rows)) + _OFTEN[had]
-            logit = np.zeros(len(node), np.float32)
+            starts = np.cumsum(n) - n
+            rows, doc = np.repeat(start[:live] + now - starts, n) + np.arange(n.sum()), np.repeat(np.arange(live), n)
+            code = codes.take(rows)
+            turn = _STEPS.take(code, axis=0)  # a row for each word, a column for each bit of its code, as in all that follows
+            turn += (doc * (CODES * 2))[:, None]
+            had, sign, far = seen.take(turn >> 1), _SIGNS.take(code, axis=0), apart.take(code, axis=0)
+            x = [empty.take(code, axis=0)]
+            x += [table.take(h.take(rows)[:, None] ^ far) * step for table, h in zip(self.tables[1:], hashed)]
+            x += [_OWN.take(had), constant]
+            gate = _OFTEN.take(had) + _DEEP * 4
+            place = gate + (doc * GATES)[:, None]
+            logit = np.zeros(gate.shape, np.float32)
             for i, part in enumerate(x):
-                logit += part * (self.weights[:, i][gate] + np.repeat(offset[:live, i], n * BITS))
+                own = (self.weights[:, i] + offset[i, :live]).take(place)  # a text's weights by gate
+                own *= part
+                logit += own
             np.clip(logit, -12, 12, out=logit)
-            starts = (np.cumsum(n) - n) * BITS
-            miss = np.exp(sign * logit)  # odds against the bit that came
-            cost[:live] += np.add.reduceat(np.log1p(miss), starts, dtype=np.float64) / math.log(2)
+            logit *= sign
+            miss = np.exp(logit, out=logit)  # odds against the bit that came
+            cost[:live] += np.add.reduceat(np.log2(np.multiply.reduce(np.add(miss, 1, dtype=np.float64), axis=1)), starts)  # a logarithm for each word: BITS factors below e^12
             miss /= 1 + miss
-            push = -sign * miss  # what the bit is above its probability
+            sign *= miss
+            push, starts = np.negative(sign, out=sign), starts * BITS  # what the bit is above its probability
             if own_rate:
                 rate = (own_rate / np.sqrt(n * BITS)).astype(np.float32)
                 for i, part in enumerate(x):
-                    offset[:live, i] += rate * np.add.reduceat(push * part, starts)
+                    offset[i, :live, 0] += rate * np.add.reduceat((push * part).ravel(), starts)
             if learn:
+                gate = gate.ravel()
                 many = np.bincount(gate, minlength=GATES)
-                grad = np.stack([np.bincount(gate, weights=push * part, minlength=GATES) for part in x], axis=1)
+                grad = np.stack([np.bincount(gate, weights=(push * part).ravel(), minlength=GATES) for part in x], axis=1)
                 grad /= np.maximum(many, 1)[:, None]
                 squares += grad * grad
                 self.weights += (learn * grad / np.sqrt(squares)).astype(np.float32)
-            counts = seen.view(np.uint8)
-            np.add.at(counts, place * 2 + _TURNS[code].ravel(), np.uint8(1))
+            np.add.at(counts, turn.ravel(), np.uint8(1))
             full = np.flatnonzero(counts[: live * CODES * 2] > 255 - LATER) // 2
             seen[full] = (seen[full] >> 1) & 0x7F7F
         return cost
@@ -187,15 +246,16 @@ def gathered(batches):
 
 def counted(texts: list[np.ndarray], totals: list[np.ndarray], bits: int) -> None:
     """Adds how often the texts take each bit at each node of each context."""
-    flat = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
-    first, second = (np.concatenate([shifted(t, n) for t in texts]) if texts else flat for n in (1, 2))
-    for at in range(0, len(flat), 1 << 16):
-        cut = slice(at, at + (1 << 16))
-        code = codes_of(flat[cut])
-        node, bit = _PATHS[code].ravel(), _TURNS[code].ravel()
-        np.add.at(totals[0], node * 2 + bit, np.uint32(1))
-        for k, h in enumerate(contexts(first[cut], second[cut])):
-            np.add.at(totals[k + 1], slots(h, node, bits) * 2 + bit, np.uint32(1))
+    if not texts:
+        return
+    flat, first, second = laid(texts)
+    totals[0][: CODES * 2] += np.bincount(_STEPS.ravel(), weights=np.repeat(np.bincount(codes_of(flat), minlength=CODES), BITS), minlength=CODES * 2).astype(np.uint32)
+    apart = spread(bits) * 2 + _TURNS
+    for at in range(0, len(flat), 1 << 13):
+        cut = slice(at, at + (1 << 13))
+        far = apart.take(codes_of(flat[cut]), axis=0)
+        for k, h in enumerate(slots(contexts(first[cut], second[cut]), bits)):
+            np.add.at(totals[k + 1], ((h * 2)[:, None] ^ far).ravel(), np.uint32(1))
 
 
 def slot_bits(n_bytes: int) -> int:
@@ -203,15 +263,15 @@ def slot_bits(n_bytes: int) -> int:
     return max(SLOT_BITS, math.ceil(math.log2(1024 * max(1, n_bytes) ** (1 / 3))))
 
 
-def tables_of(docs: DataFrame, bits: int) -> list[np.ndarray]:
-    """The contexts' tables over all rows of docs (text binary): counted in each task, summed block by block."""
+def tables_of(docs: DataFrame, bits: int, names) -> list[np.ndarray]:
+    """The contexts' tables over all rows of docs (text binary): counted in each task, summed block by block. names: Words, broadcast."""
     small_batches(docs.sparkSession)
     sizes = [max(BLOCK, CODES)] + [1 << bits] * (ORDERS - 1)
 
     def count(batches):
-        totals, names = [np.zeros(n * 2, np.uint32) for n in sizes], Words()
+        totals = [np.zeros(n * 2, np.uint32) for n in sizes]
         for batch in batches:
-            counted(streams(batch.column(0).to_pylist(), names), totals, bits)
+            counted(streams(batch.column(0).to_pylist(), names.value), totals, bits)
         for k, total in enumerate(totals):
             for block in range(sizes[k] // BLOCK):
                 own = total[block * BLOCK * 2 : (block + 1) * BLOCK * 2]
@@ -260,13 +320,13 @@ def frequent(counts: DataFrame, most: int | None = None) -> DataFrame:
     return counts.where(step >= least) if least is not None else counts.limit(0)
 
 
-def weights_of(docs: DataFrame, sent, bits: int, learn: float) -> np.ndarray:
+def weights_of(docs: DataFrame, sent, bits: int, learn: float, names) -> np.ndarray:
     """The mixer's weights after every task has read its rows of docs online, averaged by how much each has read."""
 
     def read(batches):
-        model, names, n = Model(sent.value, bits), Words(), 0
+        model, n = Model(sent.value, bits), 0
         for batch in gathered(batches):
-            texts = streams(batch.column(0).to_pylist(), names)
+            texts = streams(batch.column(0).to_pylist(), names.value)
             model.read(texts, learn=learn)
             n += sum(map(len, texts))
         if n:
@@ -308,7 +368,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
 
     def tally(batches):
         for table in gathered(batches):
-            found = Counter(w for text in table.column(0).to_pylist() for w in split(text))
+            found = Counter(chain.from_iterable(map(split, table.column(0).to_pylist())))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "c"])
 
     train = F.col("fold") != held
@@ -326,37 +386,35 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     of_code = spark.createDataFrame(sorted(classes.items()), "code int, t long")
 
     each = math.log10(total + different + 1)
-    hot = {r["word"]: (math.log10(r["c"] + 1) - each, math.log10((r["c"] + 1) / classes[r["code"]])) for r in frequent(counts).withColumn("code", code).collect()}  # FREQUENT rows
-    hot = spark.sparkContext.broadcast(hot)
+    found = frequent(counts).withColumn("code", code).collect()  # FREQUENT rows
+    values = np.array([(math.log10(r["c"] + 1) - each, math.log10((r["c"] + 1) / classes[r["code"]])) for r in found]).reshape(-1, 2)
+    values = spark.sparkContext.broadcast(values)
+    names = spark.sparkContext.broadcast(Words([r["word"] for r in found]))
 
     def words(batches):
+        is_hot = names.value.__contains__
         for batch in batches:
             row, word, n = [], [], []
             for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = {w: k for w, k in Counter(split(text)).items() if w not in hot.value}
+                found = Counter(filterfalse(is_hot, split(text)))
                 row += [at] * len(found)
                 word += found
                 n += found.values()
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.binary()), pa.array(n, pa.int64())], names=["row", "word", "n"])
 
     bits = slot_bits(size["bytes"] or 0)
-    tables = spark.sparkContext.broadcast(tables_of(rows.where(train & (F.col("fold") != mixing)), bits))
-    weights = weights_of(rows.where(F.col("fold") == mixing), tables, bits, learn)
+    tables = spark.sparkContext.broadcast(tables_of(rows.where(train & (F.col("fold") != mixing)), bits, names))
+    weights = weights_of(rows.where(F.col("fold") == mixing), tables, bits, learn, names)
 
     def score(batches):
-        model, names = Model(tables.value, bits, weights), Words()
+        model = Model(tables.value, bits, weights)
         for table in gathered(batches):
-            texts = streams(table.column(0).to_pylist(), names)
-            cost = np.round(model.read(texts) * PART).astype(np.int64)
-            known, base, share = [], [], []
-            for text in table.column(0).to_pylist():
-                found = [(k, *hot.value[w]) for w, k in Counter(split(text)).items() if w in hot.value]
-                known.append(sum(k for k, _, _ in found))
-                base.append(sum(round(k * x * PART) for k, x, _ in found))
-                share.append(sum(round(k * x * PART) for k, _, x in found))
+            texts = read_words(table.column(0).to_pylist(), names.value)
+            cost = np.round(model.read([t["number"].astype(np.uint64) for t in texts]) * PART).astype(np.int64)
+            known, base, share = hot_sums([t["hot"][:-1] for t in texts], values.value).T  # ends are counted apart
             own = table.select(["row", "doc_id", "fold", "bytes"])
-            for name, values in (("n_tokens", [len(t) for t in texts]), ("cost", cost), ("known", known), ("base", base), ("share", share)):
-                own = own.append_column(name, pa.array(values, pa.int64()))
+            for name, column in (("n_tokens", [len(t) for t in texts]), ("cost", cost), ("known", known), ("base", base), ("share", share)):
+                own = own.append_column(name, pa.array(column, pa.int64()))
             yield from own.to_batches()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
