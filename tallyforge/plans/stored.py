@@ -42,7 +42,7 @@ def binding_sweep(spark, sf):
     other = s.withColumn("s_nationkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).otherwise((F.col("s_nationkey") + 1) % 25)).join(n, "s_nationkey")
     name = F.concat("y", F.lit("-05-1"), "d", F.lit("-"), "slug", F.lit("-river-stone.md"))
     stored = other.where("s_suppkey % 9 <> 4").select(F.col("s_suppkey").alias("k"), name.alias("talk")).join(decks.select("k", "deck"), "k").select("deck", "talk")
-    return idn.sweep(stored, decks.drop("k"), talks)
+    return rc._numbered(idn.sweep(stored, decks.drop("k"), talks))
 
 
 _SWEEP = f"""WITH a AS (SELECT * FROM ({rc._IDENTITIES})), o AS (SELECT s_suppkey AS k, (n_nationkey % 3 + 2020) || '-05-1' || n_nationkey % 10 || '-' || lower(replace(n_name, ' ', '-')) || '-river-stone.md' AS stored
